@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .pieces import PieceEncoder
+from .pieces import REMEMBERED, PieceEncoder
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
 WINDOW, MASK = 16, (1 << 10) - 1
@@ -97,6 +99,12 @@ class CrcJoin:
 _ENCODERS: dict[int, tuple[PieceEncoder, int]] = {}
 
 
+def one_id(tokenizer, text: str) -> int | None:
+    """The id of a text that is one token."""
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return ids[0] if len(ids) == 1 else None
+
+
 def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
     """An encoder from a tokenizers file's bytes, kept by the worker, and the vocabulary's size."""
     key = zlib.crc32(spec)
@@ -106,18 +114,38 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         t = Tokenizer.from_str(spec.decode())
         t.encode_special_tokens = True
         size = t.get_vocab_size()
-        begins = np.array([(t.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        line = one_id(t, "\n")
+        words = regex.compile(public_tokenizers.PATTERN)
+        known: dict[str, bytes] = {}
 
         def one(text: str) -> np.ndarray:
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
 
-        def many(pieces: list[str]) -> list[np.ndarray]:
-            """Pieces that begin with their only space are encoded as one text and parted where a token begins so."""
-            plain = [p for p in pieces if p.count(" ") == 1 and len(p) > 1]
-            ids = np.concatenate([one("".join(plain[i : i + 2000])) for i in range(0, len(plain), 2000)] or [np.zeros(0, "<u4")])
-            parts = np.split(ids, np.flatnonzero(begins[ids])[1:]) if len(plain) else []
-            known = dict(zip(plain, parts, strict=True)) if len(parts) == len(plain) else {}
-            return [known[p] if p in known else one(p) for p in pieces]
+        def learn(new: list[str]) -> None:
+            """Pre-tokens are encoded as lines of one text, which is parted at the lines' ends."""
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+            lines = [w for w in new if line is not None and "\n" not in w and not w[-1:].isspace() and not w[1:2].isspace()]
+            known.update((w, one(w).tobytes()) for w in set(new).difference(lines))
+            for i in range(0, len(lines), 2000):
+                some = lines[i : i + 2000]
+                ids = one("\n".join(some))
+                ends = [*np.flatnonzero(ids == line).tolist(), len(ids)]
+                data, at = ids.tobytes(), 0
+                for w, end in zip(some, ends, strict=True):
+                    known[w] = data[4 * at : 4 * end]
+                    at = end + 1
+
+        def many(pieces: list[str]) -> list[bytes]:
+            """Latin pieces, where all versions of the pattern agree, are cut into pre-tokens first."""
+            cut = [words.findall(p) if max(p) < "\u0250" else [p] for p in pieces]
+            of = [list(map(known.get, c)) for c in cut]
+            new = list({w for c, o in zip(cut, of, strict=True) if None in o for w, i in zip(c, o, strict=True) if i is None})
+            fresh = {}
+            if new:
+                learn(new)
+                fresh = {w: known[w] for w in new}
+            return [b"".join([fresh[w] if i is None else i for w, i in zip(c, o, strict=True)]) for c, o in zip(cut, of, strict=True)]
 
         _ENCODERS[key] = PieceEncoder(one, many), size
     return _ENCODERS[key]
