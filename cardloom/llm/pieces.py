@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ import numpy as np
 #: A single space between two non-spaces is always where a pre-token begins, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-#: Distinct pieces remembered by a worker; the table is emptied when full.
+#: Distinct pieces remembered by a worker.
 REMEMBERED = 600_000
 
 
@@ -23,20 +22,38 @@ def space_pieces(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """Encodings of pieces, made on first use by ``make(piece)``."""
+    """Encodings of pieces. A new one is made by ``make(piece)`` or, in bulk, found among those given to ``learn``.
 
-    def __init__(self, make: Callable[[str], bytes]):
+    The first ``REMEMBERED`` stay, as the most frequent come early; where many more have come since,
+    as when the kind of text changes, the table starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.new, self.passed = make, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+        if self.make is None:
+            return self.new[piece]
         out = self.make(piece)
-        if len(piece) < 64:
-            self[piece] = out
+        self.keep({piece: out})
         return out
 
+    def learn(self, new: dict[str, bytes]) -> None:
+        """Encodings for lookups until the next call of ``keep``."""
+        self.new = new
+
+    def keep(self, new: dict[str, bytes] | None = None) -> None:
+        new = self.new if new is None else new
+        if len(self) + len(new) > REMEMBERED:
+            self.passed += len(new)
+            if self.passed < 4 * REMEMBERED:
+                self.new = {}
+                return
+            self.clear()
+            self.passed = 0
+        self.update((p, i) for p, i in new.items() if len(p) < 64)
+        self.new = {}
+
 
 class PieceEncoder:
     """Encodes whole texts by their pieces. ``encode(str)`` gives the ids of any text as an array;
@@ -44,33 +61,18 @@ class PieceEncoder:
 
     def __init__(self, encode: Callable[[str], np.ndarray], many: Callable[[list[str]], list[bytes]] | None = None):
         self.first = Remembered(lambda p: np.asarray(encode(p), "<u4").tobytes())
-        self.later = Remembered(lambda p: np.asarray(encode(" " + p), "<u4").tobytes())
+        self.later = Remembered(None if many else lambda p: np.asarray(encode(" " + p), "<u4").tobytes())
         self.many = many
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        gc.disable()  # millions of small lists, none in a cycle: collecting costs a third of the time
-        try:
-            cut = [space_pieces(t) for t in texts]
-            return self._encode_many(cut) if self.many else self._encode_each(cut)
-        finally:
-            gc.enable()
-
-    def _encode_each(self, cut: list[list[str]]) -> list[bytes]:
+        cut = [space_pieces(t) for t in texts]
+        heads = [p.pop(0) for p in cut]
+        if self.many:
+            missing = list(set().union(*cut).difference(self.later))
+            self.later.learn(dict(zip(missing, self.many([" " + p for p in missing]), strict=True)))
         of = self.later.__getitem__
-        return [b"".join([self.first[p[0]], *map(of, p[1:])]) if p[0] or len(p) > 1 else b"" for p in cut]
-
-    def _encode_many(self, cut: list[list[str]]) -> list[bytes]:
-        """As ``encode``; the pieces that are new are encoded together."""
-        got = [list(map(self.later.get, p[1:])) for p in cut]
-        missing = {p for pieces, ids in zip(cut, got, strict=True) if None in ids for p, i in zip(pieces[1:], ids, strict=False) if i is None}
-        new = dict(zip(missing, self.many([" " + p for p in missing]), strict=True)) if missing else {}
-        out = []
-        for pieces, ids in zip(cut, got, strict=True):
-            if None in ids:
-                ids = [new[p] if i is None else i for p, i in zip(pieces[1:], ids, strict=True)]
-            out.append(b"".join([self.first[pieces[0]] if pieces[0] else b"", *ids]))
-        if len(self.later) + len(new) > REMEMBERED:
-            self.later.clear()
-        self.later.update((p, i) for p, i in new.items() if len(p) < 64)
+        out = [b"".join([self.first[h] if h else b"", *map(of, p)]) for h, p in zip(heads, cut, strict=True)]
+        if self.many:
+            self.later.keep()
         return out

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .pieces import REMEMBERED, PieceEncoder
+from .pieces import PieceEncoder, Remembered
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
 WINDOW, MASK = 16, (1 << 10) - 1
@@ -116,36 +116,30 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         size = t.get_vocab_size()
         line = one_id(t, "\n")
         words = regex.compile(public_tokenizers.PATTERN)
-        known: dict[str, bytes] = {}
+        known = Remembered()
 
         def one(text: str) -> np.ndarray:
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
 
-        def learn(new: list[str]) -> None:
+        def encoded(new: set[str]) -> dict[str, bytes]:
             """Pre-tokens are encoded as lines of one text, which is parted at the lines' ends."""
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
             lines = [w for w in new if line is not None and "\n" not in w and not w[-1:].isspace() and not w[1:2].isspace()]
-            known.update((w, one(w).tobytes()) for w in set(new).difference(lines))
+            out = {w: one(w).tobytes() for w in new.difference(lines)}
             for i in range(0, len(lines), 2000):
-                some = lines[i : i + 2000]
-                ids = one("\n".join(some))
-                ends = [*np.flatnonzero(ids == line).tolist(), len(ids)]
-                data, at = ids.tobytes(), 0
-                for w, end in zip(some, ends, strict=True):
-                    known[w] = data[4 * at : 4 * end]
-                    at = end + 1
+                ids = one("\n".join(lines[i : i + 2000]))
+                ends = [*(4 * np.flatnonzero(ids == line)).tolist(), 4 * len(ids)]
+                data = ids.tobytes()
+                out.update(zip(lines[i : i + 2000], [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
+            return out
 
         def many(pieces: list[str]) -> list[bytes]:
             """Latin pieces, where all versions of the pattern agree, are cut into pre-tokens first."""
             cut = [words.findall(p) if max(p) < "\u0250" else [p] for p in pieces]
-            of = [list(map(known.get, c)) for c in cut]
-            new = list({w for c, o in zip(cut, of, strict=True) if None in o for w, i in zip(c, o, strict=True) if i is None})
-            fresh = {}
-            if new:
-                learn(new)
-                fresh = {w: known[w] for w in new}
-            return [b"".join([fresh[w] if i is None else i for w, i in zip(c, o, strict=True)]) for c, o in zip(cut, of, strict=True)]
+            known.learn(encoded(set().union(*cut).difference(known)))
+            of = known.__getitem__
+            out = [b"".join(map(of, c)) for c in cut]
+            known.keep()
+            return out
 
         _ENCODERS[key] = PieceEncoder(one, many), size
     return _ENCODERS[key]
