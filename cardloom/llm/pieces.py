@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -12,6 +12,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
 #: Distinct pieces remembered by a worker.
 REMEMBERED = 600_000
+#: Characters from which a piece is not remembered.
+LONG = 64
 
 
 def space_pieces(text: str) -> list[str]:
@@ -22,37 +24,35 @@ def space_pieces(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """Encodings of pieces. A new one is made by ``make(piece)`` or, in bulk, found among those given to ``learn``.
+    """Encodings of pieces. A new one is made by ``make(piece)``, or many are added before they are looked up.
 
     The first ``REMEMBERED`` stay, as the most frequent come early; where many more have come since,
     as when the kind of text changes, the table starts anew."""
 
     def __init__(self, make: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.make, self.new, self.passed = make, {}, 0
+        self.make, self.passed = make, 0
 
     def __missing__(self, piece: str) -> bytes:
         if self.make is None:
-            return self.new[piece]
+            raise KeyError(piece)
         out = self.make(piece)
-        self.keep({piece: out})
+        if len(piece) < LONG:
+            self[piece] = out
+            self.trim([piece])
         return out
 
-    def learn(self, new: dict[str, bytes]) -> None:
-        """Encodings for lookups until the next call of ``keep``."""
-        self.new = new
-
-    def keep(self, new: dict[str, bytes] | None = None) -> None:
-        new = self.new if new is None else new
-        if len(self) + len(new) > REMEMBERED:
-            self.passed += len(new)
-            if self.passed < 4 * REMEMBERED:
-                self.new = {}
-                return
+    def trim(self, new: Iterable[str]) -> None:
+        """Forget what is new (and looked up) where the table is full, and long pieces in any case."""
+        full = len(self) > REMEMBERED
+        gone = [p for p in new if full or len(p) >= LONG]
+        self.passed += len(gone) * full
+        if self.passed > 4 * REMEMBERED:
             self.clear()
             self.passed = 0
-        self.update((p, i) for p, i in new.items() if len(p) < 64)
-        self.new = {}
+        else:
+            for p in gone:
+                del self[p]
 
 
 class PieceEncoder:
@@ -70,9 +70,9 @@ class PieceEncoder:
         heads = [p.pop(0) for p in cut]
         if self.many:
             missing = list(set().union(*cut).difference(self.later))
-            self.later.learn(dict(zip(missing, self.many([" " + p for p in missing]), strict=True)))
+            self.later.update(zip(missing, self.many([" " + p for p in missing]), strict=True))
         of = self.later.__getitem__
         out = [b"".join([self.first[h] if h else b"", *map(of, p)]) for h, p in zip(heads, cut, strict=True)]
         if self.many:
-            self.later.keep()
+            self.later.trim(missing)
         return out

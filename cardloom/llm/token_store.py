@@ -1,6 +1,7 @@
 """A content-addressed store of token ids: chunks cut by rolling hashes, recipes and Merkle manifests."""
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -37,10 +38,9 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    gear = _mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    roll = gear.copy()
-    for j in range(1, WINDOW):
-        roll[j:] += gear[:-j] << np.uint64(j)
+    roll = _mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for j in (1, 2, 4, 8):  # sums of 2, 4, 8 and WINDOW ids, each shifted by its distance
+        roll[j:] += roll[:-j] << np.uint64(j)
     marks = np.flatnonzero(roll >> np.uint64(WINDOW) & np.uint64(MASK) == 0) + 1
     ends, at = [], 0
     while n - at > LEAST:
@@ -109,6 +109,7 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
     """An encoder from a tokenizers file's bytes, kept by the worker, and the vocabulary's size."""
     key = zlib.crc32(spec)
     if key not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(spec.decode())
@@ -125,8 +126,9 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
             """Pre-tokens are encoded as lines of one text, which is parted at the lines' ends."""
             lines = [w for w in new if line is not None and "\n" not in w and not w[-1:].isspace() and not w[1:2].isspace()]
             out = {w: one(w).tobytes() for w in new.difference(lines)}
-            for i in range(0, len(lines), 2000):
-                ids = one("\n".join(lines[i : i + 2000]))
+            joined = ["\n".join(lines[i : i + 2000]) for i in range(0, len(lines), 2000)]
+            for i, e in zip(range(0, len(lines), 2000), t.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
                 ends = [*(4 * np.flatnonzero(ids == line)).tolist(), 4 * len(ids)]
                 data = ids.tobytes()
                 out.update(zip(lines[i : i + 2000], [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
@@ -135,10 +137,11 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         def many(pieces: list[str]) -> list[bytes]:
             """Latin pieces, where all versions of the pattern agree, are cut into pre-tokens first."""
             cut = [words.findall(p) if max(p) < "\u0250" else [p] for p in pieces]
-            known.learn(encoded(set().union(*cut).difference(known)))
+            new = encoded(set().union(*cut).difference(known))
+            known.update(new)
             of = known.__getitem__
             out = [b"".join(map(of, c)) for c in cut]
-            known.keep()
+            known.trim(new)
             return out
 
         _ENCODERS[key] = PieceEncoder(one, many), size
