@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from .hashing import mixed, shingle_sets
 #: 64-bit words of a bitmap signature.
 BITMAP = 8
 #: Growth of the size bands.
-BAND = 1.25
+BAND = 1.5
+#: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
+FEW = 500_000
 
 
 def bands(largest: int) -> list[int]:
@@ -32,13 +35,31 @@ def most_apart(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+@lru_cache(maxsize=4096)
+def parts_of(size: int, least: int, percent: int) -> tuple[int, int]:
+    """Parts of a band whose largest set has ``size`` elements, and how many empty parts a set may have unseen.
+
+    Sets that are alike differ in ``m`` parts at most. Of ``m + 1 + x`` parts ``x + 1`` are equal, so one
+    of them holds something unless more than ``x`` are empty. ``x`` is the least that few sets exceed.
+    """
+    m, best = most_apart(size, percent), (2.0, 1, 0)
+    for x in range(m // 4 + 9):
+        k = m + 1 + x
+        mean = k * (1 - 1 / k) ** least
+        over = 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(x + 1))
+        best = min(best, (over, k, x))
+        if over < 1e-3:
+            return k, x
+    return best[1:]
+
+
 def tiles(own: np.ndarray, percent: int) -> np.ndarray:
     """The tiles of a set of shingle hashes: two sets that are alike share one at least.
 
-    In the band of the larger set, the sets differ in ``m`` elements at most; of ``m + 1`` parts into
-    which elements are dealt by hash, one is then equal in both. A tile names band, part and the
-    sum of the part's elements. A set takes part in its own band and in those that a larger set
-    like it can be in.
+    Elements are dealt into parts by hash, as many as ``parts_of`` the larger set's band says, so that
+    one part that is equal in both holds something. A tile names band, part and the sum of the part's
+    elements. Only sets with more empty parts than allowed for also name those. A set takes part in
+    its own band and in those that a larger set like it can be in.
     """
     n = len(own)
     if not n:
@@ -46,9 +67,9 @@ def tiles(own: np.ndarray, percent: int) -> np.ndarray:
     least = bands(n * 100 // percent)
     out, strong = [], mixed(own ^ np.uint64(0xA24BAED4963EE407))
     for b in range(np.searchsorted(least, n, "right") - 1, len(least) - 1):
-        if b > 0 and least[b] > n * 100 // percent:
+        if least[b] > n * 100 // percent:
             break
-        parts = most_apart(least[b + 1] - 1, percent) + 1
+        parts, spare = parts_of(least[b + 1] - 1, max(1, least[b] * percent // 100), percent)
         part = ((own >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
@@ -56,7 +77,8 @@ def tiles(own: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(strong[order], out=sums[1:])
         key = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(b << 40)) + counts.astype(np.uint64)
-        out.append(mixed(mixed(sums[ends] - sums[ends - counts]) ^ key))
+        named = mixed(mixed(sums[ends] - sums[ends - counts]) ^ key)
+        out.append(named if (counts == 0).sum() > spare else named[counts > 0])
     return np.concatenate(out)
 
 
@@ -66,8 +88,11 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def _per_text(docs: DataFrame, shingle: int, ddl: str, make) -> DataFrame:
+def _per_text(docs: DataFrame, shingle: int, ddl: str, maker, fresh: bool = False) -> DataFrame:
+    """Columns made from the sets of each document; ``fresh``: by what ``maker`` gives in each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker() if fresh else maker
         for batch in batches:
             step = max(1, min(1000, 1 + batch.num_rows * (4 << 20) // (batch.nbytes + 1)))
             for i in range(0, batch.num_rows, step):
@@ -88,17 +113,39 @@ def _lists(arrays: list[np.ndarray], of: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, of))
 
 
-def _signed(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Per document the size of its set, a hash of the whole set and its tiles."""
+def _whole(own: np.ndarray) -> np.uint64:
+    return mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """Per document the size of its set and a hash of the whole set."""
 
     def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        whole = np.array([mixed(mixed(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0] for s in sets], np.uint64)
-        return {
-            "n": pa.array([len(s) for s in sets], pa.int64()), "whole": pa.array(whole.view(np.int64)),
-            "tiles": _lists([tiles(s, percent) for s in sets], pa.int64()),
-        }
+        whole = np.array([_whole(s) for s in sets], np.uint64)
+        return {"n": pa.array([len(s) for s in sets], pa.int64()), "whole": pa.array(whole.view(np.int64))}
+
+    return _per_text(docs, shingle, "n bigint, whole bigint", make)
+
+
+def _tiled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Per document its tiles; of equal sets a task tells one, so copies do not crowd a tile."""
+
+    def maker():
+        told: set[int] = set()
+
+        def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+            if len(told) > 1_000_000:
+                told.clear()
+            out = []
+            for s in sets:
+                key = int(_whole(s))
+                out.append(tiles(s, percent) if key not in told else np.zeros(0, np.uint64))
+                told.add(key)
+            return {"tiles": _lists(out, pa.int64())}
+
+        return make
 
-    return _per_text(docs, shingle, "n bigint, whole bigint, tiles array<bigint>", make)
+    return _per_text(docs, shingle, "tiles array<bigint>", maker, fresh=True)
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -172,15 +219,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     linked is left out unless its ends are connected already.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    signed = written(_signed(docs, shingle, percent), "signed")
+    signed = written(_signed(docs, shingle), "signed")
     some = signed.where("n > 0 and doc_id is not null")
-    classes = written(some.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tiles").alias("tiles")), "classes")
+    classes = written(some.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
     within = Window.partitionBy("tile")
-    rows = classes.select("doc_id", "n", F.explode("tiles").alias("tile")).select(
-        "*", F.min(F.struct("doc_id", "n")).over(within).alias("head"), F.max("doc_id").over(within).alias("last"))
+    told = _tiled(docs.where("doc_id is not null"), shingle, percent).select("doc_id", F.explode("tiles").alias("tile"))
+    crowded = told.select("*", F.min("doc_id").over(within).alias("lo"), F.max("doc_id").over(within).alias("hi")).where("lo <> hi")
+    crowded = written(crowded.select("tile", "doc_id"), "tiles")
+    named = written(
+        crowded.select("doc_id").distinct().join(some, "doc_id")
+        .join(classes.select("whole", F.col("doc_id").alias("holder")), "whole").select("doc_id", "holder", "n").distinct(), "holders")
+    rows = crowded.join(named, "doc_id").select("tile", F.col("holder").alias("doc_id"), "n").distinct()
+    rows = rows.select("*", F.min(F.struct("doc_id", "n")).over(within).alias("head"), F.max("doc_id").over(within).alias("last"))
     shared = written(rows.where("head.doc_id <> last").select("tile", "doc_id", "n", "head"), "tiles")
-    wanted = shared.select("doc_id").distinct()
-    sets = written(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
+    wanted = written(shared.select("doc_id").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    sets = written(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
     signs = sets.drop("own").join(shared.select("doc_id", "n").distinct(), "doc_id")
     signs = written(signs, "signs")
     stars = shared.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
