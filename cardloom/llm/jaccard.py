@@ -46,7 +46,7 @@ def parts_of(size: int, least: int, percent: int) -> tuple[int, int]:
     for x in range(m // 4 + 9):
         k = m + 1 + x
         mean = k * (1 - 1 / k) ** least
-        over = 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(x + 1))
+        over = 0.5 * math.erfc((x + 0.5 - mean) / math.sqrt(2 * mean + 1e-9))  # of a normal of that mean and variance
         best = min(best, (over, k, x))
         if over < 1e-3:
             return k, x
