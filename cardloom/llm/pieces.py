@@ -10,8 +10,8 @@ import numpy as np
 #: A single space between two non-spaces is always where a pre-token begins, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-#: Distinct pieces remembered by a worker.
-REMEMBERED = 600_000
+#: Distinct pieces remembered by each table of a worker, about 230 bytes each.
+REMEMBERED = 250_000
 #: Characters from which a piece is not remembered.
 LONG = 64
 
@@ -26,12 +26,12 @@ def space_pieces(text: str) -> list[str]:
 class Remembered(dict):
     """Encodings of pieces. A new one is made by ``make(piece)``, or many are added before they are looked up.
 
-    The first ``REMEMBERED`` stay, as the most frequent come early; where many more have come since,
+    The first ``most`` stay, as the most frequent come early; where many more have come since,
     as when the kind of text changes, the table starts anew."""
 
-    def __init__(self, make: Callable[[str], bytes] | None = None):
+    def __init__(self, make: Callable[[str], bytes] | None = None, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.passed = make, 0
+        self.make, self.most, self.passed = make, most, 0
 
     def __missing__(self, piece: str) -> bytes:
         if self.make is None:
@@ -44,10 +44,10 @@ class Remembered(dict):
 
     def trim(self, new: Iterable[str]) -> None:
         """Forget what is new (and looked up) where the table is full, and long pieces in any case."""
-        full = len(self) > REMEMBERED
+        full = len(self) > self.most
         gone = [p for p in new if full or len(p) >= LONG]
         self.passed += len(gone) * full
-        if self.passed > 4 * REMEMBERED:
+        if self.passed > 4 * self.most:
             self.clear()
             self.passed = 0
         else:
@@ -59,9 +59,9 @@ class PieceEncoder:
     """Encodes whole texts by their pieces. ``encode(str)`` gives the ids of any text as an array;
     ``many(list)``, where given, those of many pieces in one call, each as bytes."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], many: Callable[[list[str]], list[bytes]] | None = None):
-        self.first = Remembered(lambda p: np.asarray(encode(p), "<u4").tobytes())
-        self.later = Remembered(None if many else lambda p: np.asarray(encode(" " + p), "<u4").tobytes())
+    def __init__(self, encode: Callable[[str], np.ndarray], many: Callable[[list[str]], list[bytes]] | None = None, most: int = REMEMBERED):
+        self.first = Remembered(lambda p: np.asarray(encode(p), "<u4").tobytes(), most // 8)
+        self.later = Remembered(None if many else lambda p: np.asarray(encode(" " + p), "<u4").tobytes(), most)
         self.many = many
 
     def encode(self, texts: list[str]) -> list[bytes]:

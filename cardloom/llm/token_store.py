@@ -21,6 +21,8 @@ from .pieces import PieceEncoder, Remembered
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
 WINDOW, MASK = 16, (1 << 10) - 1
+#: Distinct pieces, and pre-tokens, that a worker remembers.
+REMEMBERED = 600_000
 #: Least and most ids of a chunk (a document's last may be shorter); LEAST exceeds WINDOW.
 LEAST, MOST = 256, 4096
 
@@ -117,7 +119,7 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         size = t.get_vocab_size()
         line = one_id(t, "\n")
         words = regex.compile(public_tokenizers.PATTERN)
-        known = Remembered()
+        known = Remembered(most=REMEMBERED)
 
         def one(text: str) -> np.ndarray:
             return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
@@ -144,7 +146,7 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
             known.trim(new)
             return out
 
-        _ENCODERS[key] = PieceEncoder(one, many), size
+        _ENCODERS[key] = PieceEncoder(one, many, REMEMBERED), size
     return _ENCODERS[key]
 
 
