@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,9 +73,9 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
     key = (len(ranks), max(ranks, key=ranks.get), pattern)
     if key not in _ENCODERS:
         words = regex.compile(pattern)
-        known = Remembered(lambda w: np.array(merge(w.encode(), ranks), "<u4").tobytes())
+        known = Remembered(lambda w: struct.pack(f"<{len(ids := merge(w.encode(), ranks))}I", *ids))
         of = known.__getitem__
-        _ENCODERS[key] = PieceEncoder(lambda t: np.frombuffer(b"".join(map(of, words.findall(t))), "<u4"))
+        _ENCODERS[key] = PieceEncoder(lambda t: b"".join(map(of, words.findall(t))))
     return _ENCODERS[key]
 
 

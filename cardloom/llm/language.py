@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, models, limits = shared.value
         for batch in batches:
-            step = max(1, min(1000, 1 + batch.num_rows * (2 << 20) // (batch.nbytes + 1)))
+            step = max(1, min(1000, 1 + batch.num_rows * (1 << 19) // (batch.nbytes + 1)))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 h, n = cross_entropies(models, [x or "" for x in part.column("text").to_pylist()])

@@ -5,13 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 #: A single space between two non-spaces is always where a pre-token begins, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
 #: Distinct pieces remembered by each table of a worker, about 230 bytes each.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Characters from which a piece is not remembered.
 LONG = 64
 
@@ -56,12 +54,12 @@ class Remembered(dict):
 
 
 class PieceEncoder:
-    """Encodes whole texts by their pieces. ``encode(str)`` gives the ids of any text as an array;
+    """Encodes whole texts by their pieces. ``encode(str)`` gives the ids of any text as bytes;
     ``many(list)``, where given, those of many pieces in one call, each as bytes."""
 
-    def __init__(self, encode: Callable[[str], np.ndarray], many: Callable[[list[str]], list[bytes]] | None = None, most: int = REMEMBERED):
-        self.first = Remembered(lambda p: np.asarray(encode(p), "<u4").tobytes(), most // 8)
-        self.later = Remembered(None if many else lambda p: np.asarray(encode(" " + p), "<u4").tobytes(), most)
+    def __init__(self, encode: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, most: int = REMEMBERED):
+        self.first = Remembered(encode, most // 8)
+        self.later = Remembered(None if many else lambda p: encode(" " + p), most)
         self.many = many
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -146,7 +146,7 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
             known.trim(new)
             return out
 
-        _ENCODERS[key] = PieceEncoder(one, many, REMEMBERED), size
+        _ENCODERS[key] = PieceEncoder(lambda text: one(text).tobytes(), many, REMEMBERED), size
     return _ENCODERS[key]
 
 
