@@ -15,12 +15,18 @@ LONG = 64
 
 
 def space_pieces(text: str) -> list[str]:
-    """Cut a text at single spaces between non-spaces; every piece but the first begins after its space."""
-    if not _RUN.search(text) and text[:1] != " " and text[-1:] != " ":
-        return text.split(" ")
+    """Cut a text at single spaces, and before single line ends, between non-spaces. Every piece but the
+    first begins after its space, or with its line end where it has one (see ``as_in_text``)."""
+    if not _RUN.search(text) and not text[:1].isspace() and not text[-1:].isspace():
+        return text.replace("\n", " \n").split(" ")
     return _CUT.split(text)
 
 
+def as_in_text(piece: str) -> str:
+    """A later piece as it stands in its text."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 class Remembered(dict):
     """Encodings of pieces. A new one is made by ``make(piece)``, or many are added before they are looked up.
 
@@ -59,7 +65,7 @@ class PieceEncoder:
 
     def __init__(self, encode: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, most: int = REMEMBERED):
         self.first = Remembered(encode, most // 8)
-        self.later = Remembered(None if many else lambda p: encode(" " + p), most)
+        self.later = Remembered(None if many else lambda p: encode(as_in_text(p)), most)
         self.many = many
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -68,7 +74,7 @@ class PieceEncoder:
         heads = [p.pop(0) for p in cut]
         if self.many:
             missing = list(set().union(*cut).difference(self.later))
-            self.later.update(zip(missing, self.many([" " + p for p in missing]), strict=True))
+            self.later.update(zip(missing, self.many(list(map(as_in_text, missing))), strict=True))
         of = self.later.__getitem__
         out = [b"".join([self.first[h] if h else b"", *map(of, p)]) for h, p in zip(heads, cut, strict=True)]
         if self.many:

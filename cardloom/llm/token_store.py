@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -9,19 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .pieces import PieceEncoder, Remembered
+from .pieces import PieceEncoder
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
 WINDOW, MASK = 16, (1 << 10) - 1
-#: Distinct pieces, and pre-tokens, that a worker remembers.
+#: Distinct pieces that a worker remembers.
 REMEMBERED = 600_000
 #: Least and most ids of a chunk (a document's last may be shorter); LEAST exceeds WINDOW.
 LEAST, MOST = 256, 4096
@@ -98,6 +97,7 @@ class CrcJoin:
         return a ^ b
 
 
+_ODD = re.compile(r"\s")
 _ENCODERS: dict[int, tuple[PieceEncoder, int]] = {}
 
 
@@ -118,35 +118,29 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         t.encode_special_tokens = True
         size = t.get_vocab_size()
         line = one_id(t, "\n")
-        words = regex.compile(public_tokenizers.PATTERN)
-        known = Remembered(most=REMEMBERED)
-
-        def one(text: str) -> np.ndarray:
-            return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
-
-        def encoded(new: set[str]) -> dict[str, bytes]:
-            """Pre-tokens are encoded as lines of one text, which is parted at the lines' ends."""
-            lines = [w for w in new if line is not None and "\n" not in w and not w[-1:].isspace() and not w[1:2].isspace()]
-            out = {w: one(w).tobytes() for w in new.difference(lines)}
-            joined = ["\n".join(lines[i : i + 2000]) for i in range(0, len(lines), 2000)]
-            for i, e in zip(range(0, len(lines), 2000), t.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = [*(4 * np.flatnonzero(ids == line)).tolist(), 4 * len(ids)]
-                data = ids.tobytes()
-                out.update(zip(lines[i : i + 2000], [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)], strict=True))
-            return out
+        first = b"" if line is None else struct.pack("<I", line)
+
+        def one(text: str) -> bytes:
+            return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         def many(pieces: list[str]) -> list[bytes]:
-            """Latin pieces, where all versions of the pattern agree, are cut into pre-tokens first."""
-            cut = [words.findall(p) if max(p) < "\u0250" else [p] for p in pieces]
-            new = encoded(set().union(*cut).difference(known))
-            known.update(new)
-            of = known.__getitem__
-            out = [b"".join(map(of, c)) for c in cut]
-            known.trim(new)
-            return out
-
-        _ENCODERS[key] = PieceEncoder(lambda text: one(text).tobytes(), many, REMEMBERED), size
+            """Pieces are encoded as lines of one text, which is parted at the lines' ends. A line end before
+            a non-space is a token of its own; pieces with other white space are encoded by themselves."""
+            odd = [line is None or len(p) < 2 or _ODD.search(p, 1) is not None for p in pieces]
+            lines, alone = [p for p, o in zip(pieces, odd, strict=True) if not o], [p for p, o in zip(pieces, odd, strict=True) if o]
+            parts: list[bytes] = []
+            for i in range(0, len(lines), 2000):
+                some = lines[i : i + 2000]
+                ids = np.array(t.encode_batch_fast(["\n".join([p.removeprefix("\n") for p in some])], add_special_tokens=False)[0].ids, "<u4")
+                marks = np.append(np.flatnonzero(ids == line), len(ids))
+                ends = (4 * marks).tolist()
+                data = ids.tobytes()
+                starts = [0, *(e + 4 for e in ends[:-1])]
+                parts += [first + data[x:y] if p[0] == "\n" else data[x:y] for p, x, y in zip(some, starts, ends, strict=True)]
+            whole, rest = iter(parts), iter([np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(alone, add_special_tokens=False)])
+            return [next(rest if o else whole) for o in odd]
+
+        _ENCODERS[key] = PieceEncoder(one, many, REMEMBERED), size
     return _ENCODERS[key]
 
 
