@@ -13,7 +13,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import PieceEncoder, Remembered
+from .common import give_back, small_batches
+from .pieces import REMEMBERED, PieceEncoder, Remembered
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +74,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> PieceEncoder:
     key = (len(ranks), max(ranks, key=ranks.get), pattern)
     if key not in _ENCODERS:
         words = regex.compile(pattern)
-        known = Remembered(lambda w: struct.pack(f"<{len(ids := merge(w.encode(), ranks))}I", *ids))
+        known = Remembered(lambda w: struct.pack(f"<{len(ids := merge(w.encode(), ranks))}I", *ids), REMEMBERED // 3)
         of = known.__getitem__
         _ENCODERS[key] = PieceEncoder(lambda t: b"".join(map(of, words.findall(t))))
     return _ENCODERS[key]
@@ -89,6 +90,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     are joined from their words' ids. There is no shuffle.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     rest = [c for c in docs.columns if c != "ids"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
@@ -103,6 +105,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 ends = np.concatenate(([0], np.cumsum([len(m) // 4 for m in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), ids], [*rest, "ids"])
+        give_back()
 
     return docs.select(*rest).mapInArrow(run, f"{fields}, ids array<int>")
 

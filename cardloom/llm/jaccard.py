@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, small_batches, written
 from .hashing import mixed, shingle_sets
 
 #: 64-bit words of a bitmap signature.
@@ -99,7 +99,9 @@ def _per_text(docs: DataFrame, shingle: int, ddl: str, maker, fresh: bool = Fals
                 part = batch.slice(i, step)
                 sets = shingle_sets([x or "" for x in part.column(1).to_pylist()], shingle)
                 yield _batch(part.column(0), make(sets))
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, " + ddl)
 
 

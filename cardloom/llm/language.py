@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 #: Characters of the longest n-gram.
 ORDER = 4
 #: Mass of an unseen character: one of so many.
@@ -167,6 +169,7 @@ def learn(labelled: DataFrame, per_language: int = 400, quantile: float = 0.99,
         held = pdf["_k"] % 5 == 0
         texts, back = list(pdf.text[~held]), list(pdf.text[held])
         model = fit(texts)
+        give_back()
         if not model:
             return pd.DataFrame({"lang": [], "model": [], "limit": []})
         h, n = cross_entropies([model], back or texts)
@@ -188,6 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language was learned, give ``und``, 0 and true. Columns of these names in ``docs`` are replaced.
     An empty table gives an empty table. There is no shuffle.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.models, model.limits))
     new = ["lang_pred", "score", "rejected"]
     rest = [c for c in docs.columns if c not in new]
@@ -209,6 +213,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 else:
                     lang, score, out = ["und"] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=rest + new)
+        give_back()
 
     return docs.select(*rest).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 

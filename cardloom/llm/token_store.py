@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import give_back, shared_dir, small_batches
 from .pieces import PieceEncoder
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
@@ -175,6 +175,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Non
     a document with very many copies makes no large partition.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(path, "rb") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = "kind string, key binary, ids binary, width int, doc_id bigint, n_tokens bigint, recipe array<struct<digest:binary,n:int>>"
@@ -213,6 +214,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Non
                     ],
                     names=["kind", "key", "ids", "width", "doc_id", "n_tokens", "recipe"],
                 )
+        give_back()
 
     coded = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
     coded.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/stored")
