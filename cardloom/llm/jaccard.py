@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = written(some.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
     within = Window.partitionBy("tile")
     told = _tiled(docs.where("doc_id is not null"), shingle, percent).select("doc_id", F.explode("tiles").alias("tile"))
-    crowded = told.select("*", F.min("doc_id").over(within).alias("lo"), F.max("doc_id").over(within).alias("hi")).where("lo <> hi")
-    crowded = written(crowded.select("tile", "doc_id"), "tiles")
+    ends = [F.min("doc_id").over(within).alias("lo"), F.max("doc_id").over(within).alias("hi")]
+    # near copies share most of their tiles: tiles of the same members become one (by their hash; a clash only adds candidates)
+    crowded = told.select("*", *ends, F.bit_xor(F.xxhash64("doc_id")).over(within).alias("members")).where("lo <> hi")
+    crowded = written(crowded.select(F.xxhash64("lo", "hi", "members").alias("tile"), "doc_id").distinct(), "tiles")
     named = written(
         crowded.select("doc_id").distinct().join(some, "doc_id")
         .join(classes.select("whole", F.col("doc_id").alias("holder")), "whole").select("doc_id", "holder", "n").distinct(), "holders")
