@@ -150,15 +150,15 @@ def _tiled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return _per_text(docs, shingle, "tiles array<bigint>", maker, fresh=True)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per document its sorted set and its bitmap."""
+def _bitmaps(docs: DataFrame, shingle: int) -> DataFrame:
+    """Per document the bitmap of its set."""
     names = [f"b{i}" for i in range(BITMAP)]
 
     def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         maps = np.stack([bitmap(s) for s in sets]) if sets else np.zeros((0, BITMAP), np.int64)
-        return {"own": _lists(sets, pa.int64()), **{c: pa.array(maps[:, i].copy()) for i, c in enumerate(names)}}
+        return {c: pa.array(maps[:, i].copy()) for i, c in enumerate(names)}
 
-    return _per_text(docs, shingle, "own array<bigint>, " + ", ".join(f"{c} bigint" for c in names), make)
+    return _per_text(docs, shingle, ", ".join(f"{c} bigint" for c in names), make)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,22 +186,37 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) of documents whose sets are alike, by exact intersection of sorted arrays."""
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents of these ids (a written table), broadcast only where they are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) of documents whose sets are alike, by exact intersection of sorted arrays.
+
+    Texts of these pairs alone are shuffled: compressed they are a fraction of their sets' hashes."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                s, t = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in ("own_a", "own_b"))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+            step = max(1, min(1000, 1 + batch.num_rows * (4 << 20) // (batch.nbytes + 1)))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                one, two = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
+                seen = list(dict.fromkeys(x or "" for x in one + two))
+                own, good = dict(zip(seen, shingle_sets(seen, shingle), strict=True)), []
+                for x, y in zip(one, two, strict=True):
+                    s, t = own[x or ""], own[y or ""]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    good.append(100 * both >= percent * (len(s) + len(t) - both))
+                keep = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+        give_back()
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").mapInArrow(exact, "a bigint, b bigint")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    needed = _of(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed"))
+    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -237,13 +252,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = rows.select("*", F.min(F.struct("doc_id", "n")).over(within).alias("head"), F.max("doc_id").over(within).alias("last"))
     shared = written(rows.where("head.doc_id <> last").select("tile", "doc_id", "n", "head"), "tiles")
     wanted = written(shared.select("doc_id").distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    sets = written(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
-    signs = sets.drop("own").join(shared.select("doc_id", "n").distinct(), "doc_id")
-    signs = written(signs, "signs")
+    texts = written(_of(docs, wanted), "texts")
+    signs = written(_bitmaps(texts, shingle).join(shared.select("doc_id", "n").distinct(), "doc_id"), "signs")
     stars = shared.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = stars.alias("p").join(signs.alias("x"), F.expr("p.a = x.doc_id")).join(signs.alias("y"), F.expr("p.b = y.doc_id")).where(_alike("x", "y", percent))
-    links = written(_linked(near.select("a", "b"), sets, percent), "links")
+    links = written(_linked(near, texts, shingle, percent), "links")
     so_far = components(links)
     placed = shared.select("tile", "doc_id").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
@@ -253,7 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rest.alias("x").join(rest.alias("y"), F.expr("x.tile = y.tile AND x.doc_id < y.doc_id AND x.component <> y.component AND x.doc_id <> x.head") & _alike("x", "y", percent))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
-    more = written(_linked(apart, sets, percent), "links")
+    more = written(_linked(apart, texts, shingle, percent), "links")
     whole = written(components(links.union(more)), "components")
     of_class = written(
         classes.select("whole", "doc_id").join(whole, F.col("doc_id") == F.col("node"), "left")
