@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_uid, normalize_number, variant_class
@@ -70,3 +70,25 @@ def page_links(pages: DataFrame) -> DataFrame:
     links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), lambda x: F.regexp_replace(x, "[?#].*$", ""))
     found = pages.select("page_id", F.posexplode(links).alias("place", "link")).where("link <> ''")
     return found.groupBy("page_id", "link").agg(F.min("place").alias("place"))
+
+
+def highlight(points: DataFrame, text: str, kind: str | None = None) -> DataFrame:
+    """Points whose name or variant holds ``text`` in any case, of one variant if given."""
+    found = F.contains(F.lower(F.concat_ws(" ", "name", "variant")), F.lit(text.lower()))
+    return points.where(found if kind is None else found & (F.col("variant") == kind))
+
+
+def with_image(cards: DataFrame, images: DataFrame, key: str = "id") -> DataFrame:
+    return cards.join(images.select(key), key, "left_semi")
+
+
+def unseen(rows: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
+    return rows.join(seen.select(*keys), list(keys), "left_anti")
+
+
+def union_candidates(candidates: DataFrame, by: str, limit: int = 10) -> DataFrame:
+    """Per ``by`` the first ``limit`` different (set, name), in any case, by source and id."""
+    keys = [F.lower("set_id").alias("set_key"), F.lower("name").alias("name_key")]
+    first = candidates.groupBy(by, *keys).agg(F.min(F.struct("source_order", "id")).alias("f"))
+    w = Window.partitionBy(by).orderBy("f")
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(by, "f.source_order", "f.id", "place")

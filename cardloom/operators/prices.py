@@ -61,3 +61,14 @@ def merge_references(prices: DataFrame) -> DataFrame:
     return merged.select(
         "card_id", *(c for k in kinds for c in (F.col(f"{k}.value").alias(k), F.col(f"{k}.source").alias(f"{k}_source"))),
         F.array_join(F.transform("s", lambda x: x["source"]), ",").alias("sources"))
+
+
+def positive_prices(rows: DataFrame, price: str = "price") -> DataFrame:
+    return rows.where(is_positive(F.col(price)))
+
+
+def attach_prices(cards: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every card with its sources' rows in their order; a card without prices has an empty array."""
+    rows = prices.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("source_order", "source", "raw", "psa9", "psa10"))).alias("prices"))
+    joined = cards.join(rows.withColumnRenamed("card_id", "id"), "id", "left")
+    return joined.withColumn("prices", F.coalesce("prices", F.array().cast(rows.schema["prices"].dataType)))

@@ -118,3 +118,16 @@ def auto_select(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def needs_review(score: Column, cutoff: float = 0.72) -> Column:
     return F.coalesce(score, F.lit(0.0)) < cutoff
+
+
+def coarse_to_fine(scores: DataFrame, coarse: int = 80, top: int = 10) -> DataFrame:
+    """Per query the ``top`` of highest ``fine`` among the ``coarse`` of highest ``score``; ties to the smaller card."""
+    kept = rank_candidates(scores, coarse).drop("rank")
+    w = Window.partitionBy("query_id").orderBy(F.desc("fine"), "card_id")
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def best_per_card(scores: DataFrame) -> DataFrame:
+    """Per card its highest score over all queries; of equal ones the smallest query."""
+    best = scores.groupBy("card_id").agg(F.max(F.struct("score", (-F.col("query_id")).alias("q"))).alias("m"))
+    return best.select("card_id", F.col("m.score").alias("score"), (-F.col("m.q")).alias("query_id"))

@@ -159,6 +159,25 @@ def a11(spark, d):
     return prices.merge_references(fx.provider_prices(spark, d))
 
 
+@_query("a4_lowest_listing", with_views(f""", o AS (SELECT *, condition = 'EX' AS exact FROM listings WHERE price > 0 AND {_RANK} <= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY NOT exact, price, article_id, condition, seller) AS k,
+  count(*) FILTER (exact) OVER (PARTITION BY product_id) AS exact_count, count(*) OVER (PARTITION BY product_id) AS listing_count FROM o)
+SELECT product_id, price, article_id, condition, seller, exact_count, listing_count FROM k WHERE k = 1""", "listings"))
+def a4(spark, d):
+    return prices.reference_listing(fx.listings(spark, d), "EX")
+
+
+@_query("f2_positive_price", with_views(" SELECT condition, count(*) AS n, min(price) AS lowest FROM listings WHERE price > 0 AND isfinite(price) GROUP BY condition", "listings"))
+def f2(spark, d):
+    return prices.positive_prices(fx.listings(spark, d)).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("lowest"))
+
+
+@_query("j6_attach_prices", with_views(" SELECT c.id, count(p.source) AS n, min(p.raw) AS lowest FROM cards c LEFT JOIN provider_prices p ON p.card_id = c.id AND p.raw IS NOT NULL GROUP BY c.id", "cards", "provider_prices"))
+def j6(spark, d):
+    found = prices.attach_prices(fx.cards(spark, d), fx.provider_prices(spark, d).where("raw is not null"))
+    return found.select("id", F.size("prices").cast("long").alias("n"), F.array_min(F.transform("prices", lambda p: p["raw"])).alias("lowest"))
+
+
 # Vectors
 
 _Q25 = """, q AS (SELECT vec_id AS query_id, vector, label, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS v FROM vectors WHERE vec_id % 25 = 0),
@@ -212,6 +231,31 @@ def f5(spark, d):
     return best.withColumn("review", similarity.needs_review(F.col("best")))
 
 
+@_query("w2_expected_rank", with_views(_Q25 + """ SELECT q.query_id, min(top.rank) AS rank FROM q JOIN (SELECT DISTINCT label, card_id FROM r) l ON l.label = q.label
+  LEFT JOIN top ON top.query_id = q.query_id AND top.card_id = l.card_id GROUP BY q.query_id""", "vectors"))
+def w2(spark, d):
+    q, r = _sides(spark, d)
+    labels = q.select("query_id", "label").join(r.select("label", "card_id").distinct(), "label").select("query_id", "card_id")
+    return similarity.expected_rank(_top(spark, d), labels)
+
+
+@_query("k5_candidate_topk", with_views(_Q25 + " SELECT query_id, card_id, score, rank FROM top WHERE rank <= 8", "vectors"))
+def k5(spark, d):
+    return similarity.rank_candidates(_top(spark, d).drop("rank"), 8)
+
+
+@_query("k2_coarse_to_fine", with_views(_Q25 + """, f AS (SELECT query_id, card_id, score, round(0.62::DOUBLE * score + 0.38::DOUBLE * ((card_id % 100) / 100::DOUBLE), 6) AS fine FROM top WHERE rank <= 15),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, card_id) AS INT) AS rank FROM f) SELECT * FROM g WHERE rank <= 5""", "vectors"))
+def k2(spark, d):
+    fine = F.round(0.62 * F.col("score") + 0.38 * ((F.col("card_id") % 100) / 100.0), 6)
+    return similarity.coarse_to_fine(_top(spark, d).drop("rank").withColumn("fine", fine), 15, 5)
+
+
+@_query("a15_best_per_card", with_views(_Q25 + " SELECT card_id, max(score) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM top GROUP BY card_id", "vectors"))
+def a15(spark, d):
+    return similarity.best_per_card(_top(spark, d))
+
+
 def _hist(v: str) -> str:
     return f"list_transform({v}, lambda x: abs(x))"
 
@@ -294,6 +338,35 @@ def f3(spark, d):
     return fx.cards(spark, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("f14_text_search", with_views(" SELECT id, name FROM cards WHERE contains(lower(name || ' ' || variant), 'er')", "cards"))
+def f14(spark, d):
+    return catalog.highlight(fx.cards(spark, d), "ER").select("id", "name")
+
+
+@_query("j10_with_image", with_views(" SELECT id FROM cards WHERE id IN (SELECT product_id FROM listings WHERE price > 50000)", "cards", "listings"))
+def j10(spark, d):
+    return catalog.with_image(fx.cards(spark, d), fx.listings(spark, d).where("price > 50000").select(F.col("product_id").alias("id"))).select("id")
+
+
+@_query("j11_unseen", with_views(" SELECT id FROM cards WHERE id NOT IN (SELECT product_id FROM listings WHERE price > 50000)", "cards", "listings"))
+def j11(spark, d):
+    return catalog.unseen(fx.cards(spark, d), fx.listings(spark, d).where("price > 50000").select(F.col("product_id").alias("id")), "id").select("id")
+
+
+@_query("a14_dedupe_candidates", with_views(" SELECT lower(set_id) AS set_key, lower(name) AS name_key, min(id) AS id, arg_min(local_id, id) AS local_id FROM cards GROUP BY ALL", "cards"))
+def a14(spark, d):
+    c = fx.cards(spark, d).select(F.lower("set_id").alias("set_key"), F.lower("name").alias("name_key"), "id", "local_id")
+    return catalog.first_seen(c, ["set_key", "name_key"], "id")
+
+
+@_query("u3_union_candidates", with_views(""", u AS (SELECT 0 AS source_order, * FROM cards WHERE language = 'en' UNION ALL SELECT 1, * FROM cards WHERE language = 'ja'),
+f AS (SELECT variant, min((source_order, id)) AS f FROM u GROUP BY variant, lower(set_id), lower(name)),
+k AS (SELECT variant, f[1] AS source_order, f[2] AS id, CAST(row_number() OVER (PARTITION BY variant ORDER BY f) AS INT) AS place FROM f) SELECT * FROM k WHERE place <= 10""", "cards"))
+def u3(spark, d):
+    c = fx.cards(spark, d)
+    return catalog.union_candidates(catalog.concat_sources(c.where("language = 'en'"), c.where("language = 'ja'")), "variant", 10)
+
+
 def _axes(spark, d):
     return fx.vectors(spark, d).select("vec_id", *(F.get("vector", i).alias(a) for i, a in enumerate("xyz")))
 
