@@ -17,8 +17,10 @@ from .hashing import mixed
 
 #: Bytes of texts in a group that shares one list of distinct words.
 GROUP_BYTES = 8 << 20
-#: Bytes of the longest piece used.
-LONGEST = 16
+#: Bytes up to which stretches of every word are looked up; beyond, only stretches that begin as a longer piece does.
+STEM = 16
+#: Log probability of a word that no class can write; nothing else is bound by it.
+FLOOR = -1e5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: The token that ends every text; no word holds a space.
 END = b" "
@@ -38,7 +40,7 @@ def vocabulary(path: str) -> dict[bytes, float]:
         if model.is_control(i) or model.is_byte(i) or model.is_unknown(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST and b" " not in piece[1:]:
+        if b" " not in piece[1:]:
             out[piece] = -float(np.log1p(abs(model.get_score(i))))
     return out
 
@@ -61,18 +63,24 @@ class Lattice:
         bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 4)
         self.keys, self.order, self.shift = keys, order, np.uint64(64 - bits)
         self.slots = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.longest = max(map(len, self.pieces))
+        self.stems = np.array(sorted({int(self._sum(p[:STEM])[0]) for p in self.pieces if len(p) > STEM}), np.uint64)
 
     @staticmethod
-    def _hash(piece: bytes) -> int:
+    def _sum(piece: bytes) -> np.ndarray:
         h = np.zeros(1, np.uint64)
         for b in piece:
             h = h * _MUL + np.uint64(b + 1)
-        return int(mixed(h)[0])
+        return h
+
+    @classmethod
+    def _hash(cls, piece: bytes) -> int:
+        return int(mixed(cls._sum(piece))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these (unmixed) hashes, -1 for none."""
         h = mixed(h)
-        at, out = self.slots[h >> self.shift], np.full(len(h), -1, np.int32)
+        at, out = self.slots[h >> self.shift], np.full(h.shape, -1, np.int32)
         for _ in range(12):  # slots hold about 1/16 of a piece: few probes
             at = np.minimum(at, len(self.keys) - 1)
             hit = self.keys[at] == h
@@ -82,27 +90,43 @@ class Lattice:
             at = at + 1
         return out
 
-    def arcs(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Of words of one length (a row of bytes each, with the space before), the piece of each stretch."""
-        n, out = words.shape[1], {}
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(n, i + LONGEST)):
-                h = h * _MUL + (words[:, j].astype(np.uint64) + np.uint64(1))
-                found = self.find(h)
-                if (found >= 0).any():
-                    out[i, j + 1] = found
+    def arcs(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """Of words of one length (a row of bytes each, with the space before), by length of a stretch: the
+        piece of each stretch, by its first byte and word. Lengths without any piece are left out."""
+        w, out = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1), {}
+        n, h = len(w), np.zeros_like(w)
+        for size in range(1, min(n, STEM) + 1):
+            h = h[: n - size + 1] * _MUL + w[size - 1 :]
+            found = self.find(h)
+            if (found >= 0).any():
+                out[size] = found
+        if n <= STEM or not len(self.stems):
+            return out
+        at, row = np.nonzero(np.isin(h, self.stems))
+        h = h[at, row]
+        for size in range(STEM + 1, min(n, self.longest) + 1):
+            inside = at + size <= n
+            at, row, h = at[inside], row[inside], h[inside]
+            if not len(at):
+                break
+            h = h * _MUL + w[at + size - 1, row]
+            hit = self.find(h)
+            if (hit >= 0).any():
+                out[size] = np.full((n - size + 1, w.shape[1]), -1, np.int32)
+                out[size][at, row] = hit
         return out
 
-    def forward(self, words: np.ndarray, arcs: dict) -> list[np.ndarray]:
+    def forward(self, words: np.ndarray, arcs: dict[int, np.ndarray]) -> np.ndarray:
         """Log probability of what stands before each place, over all segmentations of it."""
         n = words.shape[1]
-        alpha = [np.zeros(len(words))] + [np.full(len(words), -np.inf) for _ in range(n)]
+        alpha = np.full((n + 1, len(words)), -np.inf)
+        alpha[0] = 0
         logs = np.append(self.logs, -np.inf)  # -1: no piece
+        some = {size: (found >= 0).any(axis=1) for size, found in arcs.items()}
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                if (i, j) in arcs:
-                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[arcs[i, j]])
+            for size, found in arcs.items():
+                if size <= j and some[size][j - size]:
+                    np.logaddexp(alpha[j], alpha[j - size] + logs[found[j - size]], out=alpha[j])
         return alpha
 
     def log_probs(self, words: np.ndarray) -> np.ndarray:
@@ -112,16 +136,19 @@ class Lattice:
         """Expected uses of each piece over all segmentations of the words (forward and backward sums)."""
         n, arcs = words.shape[1], self.arcs(words)
         alpha = self.forward(words, arcs)
-        beta = [np.full(len(words), -np.inf) for _ in range(n)] + [np.zeros(len(words))]
+        beta = np.full((n + 1, len(words)), -np.inf)
+        beta[n] = 0
         logs = np.append(self.logs, -np.inf)
+        some = {size: (found >= 0).any(axis=1) for size, found in arcs.items()}
         for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if (i, j) in arcs:
-                    beta[i] = np.logaddexp(beta[i], logs[arcs[i, j]] + beta[j])
+            for size, found in arcs.items():
+                if i + size <= n and some[size][i]:
+                    np.logaddexp(beta[i], logs[found[i]] + beta[i + size], out=beta[i])
         uses = np.zeros(len(self.pieces) + 1)
-        for (i, j), found in arcs.items():
-            share = np.exp(alpha[i] + logs[found] + beta[j] - alpha[n])
-            uses += np.bincount(found + 1, share, len(uses))
+        for size, found in arcs.items():
+            hit = found >= 0
+            share = np.exp((alpha[: n - size + 1] + beta[size:] - alpha[n])[hit] + logs[found[hit]])
+            uses += np.bincount(found[hit] + 1, share, len(uses))
         return uses[1:]
 
 
@@ -143,7 +170,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        step = max(1, (1 << 19) // (int(n) + 1) ** 2 * 8)
+        step = max(1, (1 << 16) // (int(n) + 1))
         for i in range(0, len(at), step):
             some = at[i : i + step]
             yield some, np.frombuffer(b"".join(b" " + words[k] for k in some), np.uint8).reshape(len(some), -1)
@@ -162,7 +189,9 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
     vocabulary's pieces, by forward recursion in log space, times that of the word's end. D is n1 /
     (n1 + 2 n2), from the numbers of words seen once and twice. The lattice starts from the
     vocabulary's own scores; ``rounds`` of expectation maximisation over the different training words
-    (each once) fit its weights. The end token has its share of the training tokens alone.
+    (each once) fit its weights. The end token has its share of the training tokens alone. Log
+    probabilities stay in log space, so words of any length have their own; where training has no word
+    at all, so that no unseen word has any, one counts ``FLOOR``.
 
     Where ``docs`` has a column ``class`` (a language, say), counts are kept apart for the ``classes``
     most frequent values and the rest, and a text's probability is the mixture over these by their
@@ -243,23 +272,23 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
         lattice = pickle.loads(shared.value)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            logs = np.zeros(len(words), np.float32)
+            logs = np.zeros(len(words))
             for at, rows in by_length(words):
                 logs[at] = lattice.log_probs(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], ["word", *names, "lattice"])
 
-    scores = written(counts.select("word", *names).mapInArrow(scored, f"word binary, {ddl}, lattice float"), "word-scores")
+    scores = written(counts.select("word", *names).mapInArrow(scored, f"word binary, {ddl}, lattice double"), "word-scores")
     by_group = lists.select("g", "word").join(scores, "word")
 
     def summed(left, right):
         index = dict(zip(right.column("word").to_pylist(), range(right.num_rows), strict=True))
         c = np.stack([right.column(x).to_numpy() for x in names]).astype(float)
         n = np.maximum(per[:, :1], 1)
-        logs = np.exp(right.column("lattice").to_numpy().astype(float))
         with np.errstate(divide="ignore"):
-            s = np.log(np.maximum(c - discount[:, None], 0) / n + free[:, None] * logs)
+            s = np.logaddexp(np.log(np.maximum(c - discount[:, None], 0) / n), np.log(free)[:, None] + right.column("lattice").to_numpy())
             s[:, index[END]] = np.log(np.maximum(c[:, index[END]], 0.5) / n[:, 0])
-            s = np.maximum(s, -1e5)
+            if not free[share > 0].any():
+                s = np.maximum(s, FLOOR)
             prior_of = np.log(share)
         seen = c.sum(0)
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (kinds + 1)))

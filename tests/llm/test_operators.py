@@ -66,6 +66,46 @@ def test_lattice_sums_all_segmentations():
     assert sum(math.exp(x) for q, x in zip(m.pieces, m.logs) if q[:1] == b" ") == pytest.approx(1)
 
 
+def log_of_all_cuts(model, word):
+    """The log of the sum over all segmentations, by a plain loop."""
+    logs, text = dict(zip(model.pieces, model.logs)), b" " + word
+    longest, alpha = max(map(len, logs)), [0.0]
+    for j in range(1, len(text) + 1):
+        ways = [alpha[i] + logs[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in logs]
+        alpha.append(max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways)))
+    return alpha[-1] + model.end
+
+
+def test_lattice_of_long_words(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    weights = lattice.vocabulary(path)
+    assert " Становништво".encode() in weights
+    model = lattice.normalised({p: math.exp(s) * 1e4 for p, s in weights.items()}, 1e4, 0.1)
+    long = [hashlib.sha512(b"word").hexdigest() * 40, "Становништво" + "漢字仮名министрацииинистратив" * 80, "Становништво", "z" * 30_000]
+    long = [w.encode()[:5000].decode(errors="ignore") if i < 2 else w for i, w in enumerate(long)]
+    for w in long[:3]:
+        row = np.frombuffer(b" " + w.encode(), np.uint8)[None]
+        assert model.log_probs(row)[0] == pytest.approx(log_of_all_cuts(model, w.encode()), rel=1e-12)
+    rows = [(i, w, True) for i, w in enumerate(long)]
+    want = [log_of_all_cuts(model, w.encode().lower()) for w in long]
+    assert want[0] < -745 and want[3] < -1e5
+    ddl = "doc_id long, text string, held_out boolean"
+    alone = by_id(lattice.score_texts(spark.createDataFrame(rows, ddl), path, rounds=0))
+    for i, w in enumerate(want):
+        assert alone[i].score == pytest.approx((w + math.log(0.5)) / math.log(10), rel=1e-9)
+    # of a, a, b and the end, two are seen once and one twice: a discount of 1/2, for two words of four tokens
+    learned = by_id(lattice.score_texts(spark.createDataFrame([*rows, (9, "a a b", False)], ddl), path, rounds=0))
+    for i, w in enumerate(want):
+        assert learned[i].score == pytest.approx((w + math.log(0.25) + math.log(0.25)) / math.log(10), rel=1e-9)
+    # texts without words in the training of one class say nothing of the other
+    classes = [(*r, "x") for r in rows] + [(9, "a a b", False, "x"), (10, "", False, "y")]
+    both = by_id(lattice.score_texts(spark.createDataFrame(classes, ddl + ", class string"), path, rounds=0))
+    for i in range(len(long)):
+        assert both[i].score == pytest.approx(learned[i].score + math.log10(0.5), rel=1e-9)
+    none = by_id(lattice.score_texts(spark.createDataFrame([*rows, (9, "", False)], ddl), path, rounds=0))
+    assert none[0].score == pytest.approx(-1e5 / math.log(10))
+
+
 def test_bpe_equals_tiktoken(spark, odd, docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
