@@ -68,7 +68,8 @@ def bought_totals(deals: DataFrame, settings: Settings = Settings()) -> DataFram
                     F.round(F.coalesce(F.sum(cost_of(F.col("shop_price_yen"), settings)), F.lit(0.0)), 2).alias("dkk"))
 
 
-def newest_first(deals: DataFrame, n: int, by: str = "card_id") -> DataFrame:
-    """The ``n`` newest deals of each card."""
+def newest_first(deals: DataFrame, n: int | None = None, by: str = "card_id") -> DataFrame:
+    """The deals of each card with their place, newest first; with ``n`` the ``n`` newest alone."""
     w = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
-    return deals.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    placed = deals.withColumn("place", F.row_number().over(w))
+    return placed if n is None else placed.where(F.col("place") <= n)

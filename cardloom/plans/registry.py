@@ -100,6 +100,11 @@ def k9(spark, d):
     return deals.newest_first(fx.deals(spark, d), 3).select("id", "card_id", "place")
 
 
+@_query("k9_deal_history", with_views(" SELECT id, card_id, CAST(row_number() OVER (PARTITION BY card_id ORDER BY created_at DESC, id DESC) AS INT) AS place FROM deals", "deals"))
+def k9_history(spark, d):
+    return deals.newest_first(fx.deals(spark, d)).select("id", "card_id", "place")
+
+
 @_query("c23_history", with_views(" SELECT status, condition, count(*) AS n, round(sum(shop_price_yen), 2) AS yen, max(id) AS last_id FROM deals GROUP BY ALL", "deals"))
 def c23(spark, d):
     return fx.deals(spark, d).groupBy("status", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("shop_price_yen"), 2).alias("yen"), F.max("id").alias("last_id"))

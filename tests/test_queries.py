@@ -9,6 +9,12 @@ def test_query_equals_sql(spark, name):
     assert_same(registry.queries()[name](spark, SMALL), registry.oracle_sql()[name], SMALL)
 
 
+def test_history_is_whole(spark):
+    got = registry.queries()["k9_deal_history"](spark, SMALL)
+    assert got.count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert got.where("place > 3").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
