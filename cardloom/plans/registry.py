@@ -256,6 +256,14 @@ def k2(spark, d):
     return similarity.coarse_to_fine(_top(spark, d).drop("rank").withColumn("fine", fine), 15, 5)
 
 
+@_query("k2_coarse_to_fine_whole", with_views(_Q25 + """, f AS (SELECT query_id, card_id, score, round(0.62::DOUBLE * score + 0.38::DOUBLE * ((card_id % 100) / 100::DOUBLE), 6) AS fine FROM k WHERE rank <= 80),
+g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, card_id) AS INT) AS rank FROM f) SELECT * FROM g WHERE rank <= 10""", "vectors"))
+def k2_whole(spark, d):
+    q, r = _sides(spark, d)
+    fine = F.round(0.62 * F.col("score") + 0.38 * ((F.col("card_id") % 100) / 100.0), 6)
+    return similarity.coarse_to_fine(similarity.vector_topk(q.select("query_id", "vector"), r, 80).drop("rank").withColumn("fine", fine), 80, 10)
+
+
 @_query("a15_best_per_card", with_views(_Q25 + " SELECT card_id, max(score) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM top GROUP BY card_id", "vectors"))
 def a15(spark, d):
     return similarity.best_per_card(_top(spark, d))

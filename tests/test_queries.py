@@ -15,6 +15,13 @@ def test_history_is_whole(spark):
     assert got.where("place > 3").count() > 0
 
 
+def test_coarse_ranks_beyond_the_lists_reach_the_top(spark):
+    got = registry.queries()["k2_coarse_to_fine_whole"](spark, SMALL)
+    short = registry.queries()["k1_vector_topk"](spark, SMALL)
+    assert got.groupBy("query_id").count().where("count <> 10").count() == 0
+    assert got.join(short, ["query_id", "card_id"], "left_anti").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
