@@ -15,12 +15,25 @@ CANDIDATES, QUERIES = 16_384, 512
 DEPTHS = (0.2, 0.4, 0.6, 0.8, 1.0)
 
 
+def most(values: np.ndarray) -> int:
+    """The largest absolute value, exact for any integer."""
+    return max(int(values.max()), -int(values.min()))
+
+
+def fitting(bound: int) -> type:
+    """The integers that hold all of at most this absolute value."""
+    if bound >= 2**63:
+        raise ValueError("inner products of these components may not fit 64 bits")
+    return np.int32 if bound < 2**31 else np.int64
+
+
 class Lists:
     """A block of candidates as one sorted list per component."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], np.ascontiguousarray(values[order].T.astype(np.int32))
+        self.most = most(values)
+        self.ids, self.values = ids[order], np.ascontiguousarray(values[order].T.astype(fitting(self.most)))
         self.sorted = np.sort(self.values, axis=1)
         ranks = np.argsort(np.argsort(self.values, axis=1, kind="stable"), axis=1, kind="stable")
         self.ranks = ranks.astype(np.int32)
@@ -39,10 +52,11 @@ def search(lists: Lists, query: np.ndarray, own: int, k: int) -> tuple[np.ndarra
     n = lists.values.shape[1]
     if not len(used) or not len(alive):
         return lists.ids[alive[:k]], np.zeros(min(k, len(alive)), np.int64)
-    lower = np.zeros(len(alive), np.int64)
+    kind = fitting(lists.most * most(query) * len(used))
+    lower = np.zeros(len(alive), kind)
     for part in DEPTHS:
         depth = max(1, int(np.ceil(part * n)))
-        lower, upper = np.zeros(len(alive), np.int32), np.zeros(len(alive), np.int32)
+        lower, upper = np.zeros(len(alive), kind), np.zeros(len(alive), kind)
         for d in used:
             q = int(query[d])
             ends = lists.sorted[d]
@@ -50,7 +64,7 @@ def search(lists: Lists, query: np.ndarray, own: int, k: int) -> tuple[np.ndarra
                 seen, last, worst = lists.ranks[d][alive] >= n - depth, q * int(ends[n - depth]), q * int(ends[0])
             else:
                 seen, last, worst = lists.ranks[d][alive] < depth, q * int(ends[depth - 1]), q * int(ends[-1])
-            shown = lists.values[d][alive] * np.int32(q)
+            shown = lists.values[d][alive] * kind(q)
             lower += np.where(seen, shown, worst)
             upper += np.where(seen, shown, last)
         if depth == n:
@@ -81,7 +95,9 @@ def usable(vector: Column) -> Column:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, candidates: int = CANDIDATES, block: int = QUERIES) -> DataFrame:
     """The ``k`` highest inner products of each query with ``vectors`` but its own row.
 
-    Both hold ``vec_id`` and ``vector`` (array<int>, no nulls, all of one length: others take no part).
+    Both hold ``vec_id`` and ``vector`` (array<int> or array<bigint>, no nulls, all of one length: others
+    take no part). Products and sums are 64-bit where 32 bits might not hold them; components whose sums
+    might not fit 64 bits are an error, never wrong scores.
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``, ties to the smaller id; all, if fewer.
     A repeated ``vec_id`` is one candidate per row; a query's rows are taken once; a null id takes no
     part. Empty tables give an empty table.
@@ -113,6 +129,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, candidates: int =
 
 def embedding_top_k(embeddings: DataFrame, scale: int = 64, k: int = 20, every: int = 20) -> DataFrame:
     """Quantised embeddings, floor(scale * x): rows whose id is divisible by ``every`` against all rows."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     ready = written(embeddings.where(usable(F.col("embedding"))).select("vec_id", whole.alias("vector")), "vectors")
     return top_k(ready.where(F.col("vec_id") % every == 0), ready, k)

@@ -201,6 +201,22 @@ def test_top_k_ties_and_gaps(spark):
     assert topk.top_k(v.limit(0), v, 3).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((200, 16)) * 5000).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = np.floor(x.astype(float) * 64).astype(np.int64)
+    scores = whole @ whole.T
+    assert abs(scores).max() > 2**31
+    got = topk.embedding_top_k(v, k=5).orderBy("query_id", "rank").collect()
+    want = [(q, i, scores[q, i]) for q in range(0, 200, 20) for i in [i for i in np.lexsort((np.arange(200), -scores[q])) if i != q][:5]]
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == want
+    lists = topk.Lists(np.arange(2), np.array([[2**40, 1], [-(2**40), 1]]))
+    assert topk.search(lists, np.array([2**20, 1]), -1, 2)[1].tolist() == [2**60 + 1, -(2**60) + 1]
+    with pytest.raises(ValueError):
+        topk.search(lists, np.array([2**40, 1]), -1, 2)
+
+
 def test_lines(odd):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(odd, 2, 1).collect()}
     assert got[1].text == "" and got[1].n_lines == 1 and got[3].n_dropped == 0
