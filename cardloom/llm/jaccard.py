@@ -225,9 +225,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     A document's set holds its different ``shingle``-word shingles (words by ASCII white space, A-Z
     lower-cased; with fewer words, all of them as one). Two are linked where 100 * |both| >= percent
     * |either|. ``component_id`` is the smallest id reachable by links, the document's own included.
-    Null text, and text without words, has an empty set and no link. Rows that repeat an id share
-    its links; a null id is returned with a null component and links nothing. An empty table gives
-    an empty table.
+    Null text, and text without words, has an empty set and no link. Rows that repeat an id should
+    repeat its text: of unlike texts of one id, each has the component of its own class, and a link of
+    one may count for the other. A null id is returned with a null component and links nothing. An
+    empty table gives an empty table.
 
     Sets that are equal are one class, held by its smallest id, so copies cost a row each. Classes
     meet only in a tile (see ``tiles``), which unlike texts do not share even where they share long

@@ -39,10 +39,18 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (6): five-word shingles, similarity 0.8; the smallest id of each group stays.
 
-    Of rows that repeat an id one stays; rows without an id stay."""
-    groups = written(near_duplicates(docs, shingle=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    rest = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    Each text of an id is decided on alone: of rows that repeat id and text one stays, and of rows of one
+    id with unlike texts all that copy nothing. Rows without an id stay."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    named = keyed.where("doc_id is not null")
+    found = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
+    groups = written(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct(), "groups")
+    groups = groups.join(groups.where("_key <> _group").select("_group").distinct(), "_group", "left_semi")
+    members = written(groups.join(named.select("_key", "doc_id").distinct(), "_key"), "members")
+    first = members.groupBy("_group").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_first"))
+    copies = written(members.join(first, "_group").where("_key <> _first").select("_key"), "copies")
+    rest = named.join(copies, "_key", "left_anti").dropDuplicates(["doc_id", "_key"])
+    return rest.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,6 +258,30 @@ def test_streams(odd, spark):
     assert media.media_digests(odd.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_near_copies_go_by_text_not_by_id(spark):
+    import corpus_pipeline
+
+    def text(name, new=()):
+        return " ".join("new" if j in new else f"{name}{j}" for j in range(200))
+
+    rows = [
+        (1, text("a")), (5, text("a", [3])), (5, text("b")), (5, text("b")), (6, text("b", [9])), (7, text("a")), (7, text("e")), (8, text("c")), (8, text("d")),
+        (2, text("f", [1])), (-4, text("f")), (9, ""), (9, None), (9, None), (10, "a b"), (11, "A b"), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()
+    named = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t or "")) else set() for _, t in named]
+    group = list(range(len(named)))
+    for _ in named:  # least label around, until none changes
+        for i, s in enumerate(sets):
+            for j, t in enumerate(sets):
+                if s and 100 * len(s & t) >= 80 * len(s | t):
+                    group[i] = min(group[i], group[j])
+    want = [r for i, r in enumerate(named) if group[i] == i] + [r for r in rows if r[0] is None]
+    assert (5, text("b")) in want and (7, text("e")) in want and (5, text("a", [3])) not in want
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
