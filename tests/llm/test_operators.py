@@ -191,16 +191,49 @@ def test_top_k_ties_and_gaps(spark):
     v = spark.createDataFrame(rows, "vec_id long, vector array<int>")
     got = topk.top_k(v.where("vec_id in (0, 3, 5)"), v, 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 5), (0, 2, 5), (0, 3, 0), (3, 0, 0), (3, 1, 0), (3, 2, 0)]
-    rng = np.random.default_rng(1)
-    x, lists = rng.integers(-9, 9, (500, 12)), None
-    lists = topk.Lists(np.arange(500), x)
-    for q in (0, 7, 499):
-        s = x @ x[q]
-        want = [i for i in np.lexsort((np.arange(500), -s)) if i != q][:20]
-        assert topk.search(lists, x[q], q, 20)[0].tolist() == want
     assert topk.top_k(v.limit(0), v, 3).count() == 0
 
 
+def test_no_random_access_reads_less_and_finds_all():
+    rng = np.random.default_rng(1)
+    for spread, n, part in ((9, 500, 64), (2, 700, 100), (60, 900, 900)):
+        x = rng.integers(-spread, spread, (n, 12))
+        x[::3] = x[0]  # a third of all alike
+        ids = rng.permutation(n) * 3
+        got = topk.search_block(ids, x, ids, x, 20, part)
+        for q in range(n):
+            s = x @ x[q]
+            want = [i for i in np.lexsort((ids, -s)) if i != q][:20]
+            mine = got[got.query_id == ids[q]]
+            assert mine.vec_id.tolist() == ids[want].tolist() and mine.score.tolist() == s[want].tolist()
+
+
+def test_bounds_let_outsiders_go():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-20, 21, (2000, 16))
+    q = x[:1]
+    best = topk.Best(1, 5)
+    best.add(0, np.arange(-5, 0), np.full(5, int((x @ q[0]).max())))
+    seen = []
+
+    class Counted(topk.Lists):
+        def ends(self, share):
+            seen.append(share)
+            return super().ends(share)
+
+    topk.read(Counted(np.arange(2000), x), q, np.array([0]), best)
+    assert seen and seen[-1] < max(topk.DEPTHS) and best.ids[0].tolist() == [-5, -4, -3, -2, -1]
+
+
+def test_top_k_of_odd_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "x"), (1, [nan, 1.0], "x"), (2, [inf, 1.0], "x"), (3, None, "x"), (4, [None, 1.0], "x"), (20, [2.0, 1.0], None), (None, [9.0, 9.0], "x"), (40, [], "x"), (5, [0.5, -0.01], "x")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = topk.embedding_top_k(v).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 20, 64 * 64 * 4), (0, 5, 64 * (32 - 2)), (20, 0, 64 * 64 * 4), (20, 0, 64 * 64 * 4), (20, 5, 64 * (64 - 1))]
+    assert topk.embedding_top_k(v.limit(0)).count() == 0
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(2)
     x = (rng.standard_normal((200, 16)) * 5000).astype(np.float32)
@@ -211,10 +244,10 @@ def test_top_k_of_large_components(spark):
     got = topk.embedding_top_k(v, k=5).orderBy("query_id", "rank").collect()
     want = [(q, i, scores[q, i]) for q in range(0, 200, 20) for i in [i for i in np.lexsort((np.arange(200), -scores[q])) if i != q][:5]]
     assert [(r.query_id, r.vec_id, r.score) for r in got] == want
-    lists = topk.Lists(np.arange(2), np.array([[2**40, 1], [-(2**40), 1]]))
-    assert topk.search(lists, np.array([2**20, 1]), -1, 2)[1].tolist() == [2**60 + 1, -(2**60) + 1]
+    far = np.array([[2**40, 1], [-(2**40), 1]])
+    assert topk.search_block(np.arange(2), far, np.array([-1]), np.array([[2**20, 1]]), 2).score.tolist() == [2**60 + 1, -(2**60) + 1]
     with pytest.raises(ValueError):
-        topk.search(lists, np.array([2**40, 1]), -1, 2)
+        topk.search_block(np.arange(2), far, np.array([-1]), np.array([[2**40, 1]]), 2)
 
 
 def test_lines(odd):
