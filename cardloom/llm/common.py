@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def parts(batch: pa.RecordBatch, texts: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose ``texts`` come to about ``size`` bytes; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system, as the worker stays beside the stages that follow."""
     pa.default_memory_pool().release_unused()

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Sequence
+
+import numpy as np
 
 #: A single space between two non-spaces is always where a pre-token begins, so texts can be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-#: Distinct pieces remembered by each table of a worker, about 230 bytes each.
-REMEMBERED = 150_000
+#: A letter or digit before a last comma or full stop: the mark is a pre-token of its own.
+_MARKED = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ɏ][,.]\Z")
+#: Distinct pieces that a worker remembers, about 230 bytes each.
+REMEMBERED = 300_000
 #: Characters from which a piece is not remembered.
 LONG = 64
 
@@ -27,56 +31,79 @@ def as_in_text(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
-class Remembered(dict):
-    """Encodings of pieces. A new one is made by ``make(piece)``, or many are added before they are looked up.
-
-    The first ``most`` stay, as the most frequent come early; where many more have come since,
-    as when the kind of text changes, the table starts anew."""
-
-    def __init__(self, make: Callable[[str], bytes] | None = None, most: int = REMEMBERED):
-        super().__init__()
-        self.make, self.most, self.passed = make, most, 0
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.make is None:
-            raise KeyError(piece)
-        out = self.make(piece)
-        if len(piece) < LONG:
-            self[piece] = out
-            self.trim([piece])
+class PieceEncoder:
+    """Encodes whole texts by their pieces; ids are little-endian unsigned 32-bit integers.
+
+    ``ids_of(str)`` gives the ids of any text. Distinct pieces that are not remembered go to it many at
+    once, as ``lines`` lines of one text, whose ids are parted at those of the line ends: a line end
+    before a non-space is a token of its own. Pieces that hold other white space or a ``special`` string
+    go alone. The first ``most`` pieces are remembered, as the most
+    frequent come early; where many more have come since, the table starts anew.
+    """
+
+    def __init__(self, ids_of: Callable[[str], np.ndarray], lines: int, most: int = REMEMBERED, special: Sequence[str] = ()):
+        self.odd = re.compile("|".join([r"(?s:.)\s|^[^\S \n]", *map(re.escape, special)]))
+        self.ids_of, self.lines, self.most, self.passed = ids_of, lines, most, 0
+        self.known: dict[str, bytes] = {}
+        self.marks = {c: self._one(c) for c in ",.\n"}
+        self.line = int.from_bytes(self.marks["\n"], "little") if len(self.marks["\n"]) == 4 else None
+
+    def _one(self, text: str) -> bytes:
+        return self.ids_of(text).astype("<u4").tobytes() if text else b""
+
+    def _many(self, strings: Sequence[str]) -> dict[str, bytes]:
+        """The ids of these strings, each as it stands in its text or at its beginning."""
+        out, plain = {}, []
+        for s in strings:
+            if self.line is None or s in ("", " ", "\n") or self.odd.search(s):
+                out[s] = self._one(s)
+            else:
+                plain.append(s)
+        first = self.marks["\n"]
+        for i in range(0, len(plain), self.lines):
+            some = plain[i : i + self.lines]
+            ids = self.ids_of("\n".join([s[1:] if s[0] == "\n" else s for s in some])).astype("<u4", copy=False)
+            data, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.line)).tolist(), 4 * len(ids)]
+            starts = [0, *(e + 4 for e in ends[:-1])]
+            out.update(zip(some, [first + data[a:b] if s[0] == "\n" else data[a:b] for s, a, b in zip(some, starts, ends, strict=True)], strict=True))
         return out
 
-    def trim(self, new: Iterable[str]) -> None:
-        """Forget what is new (and looked up) where the table is full, and long pieces in any case."""
-        full = len(self) > self.most
-        gone = [p for p in new if full or len(p) >= LONG]
-        self.passed += len(gone) * full
-        if self.passed > 4 * self.most:
-            self.clear()
-            self.passed = 0
+    def _new(self, missing: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Later pieces that are not known, and first ones; a comma or full stop after a word does not make another word."""
+        marked = [p for p in missing if _MARKED.search(p)]
+        known = self.known
+        bases = [p for p in missing.difference(marked).union([p[:-1] for p in marked]) if p not in known]
+        strings = list(map(as_in_text, bases))
+        made = self._many([*heads.union(strings)])
+        out = {p: made[s] for p, s in zip(bases, strings, strict=True)}
+        for p in marked:
+            base = p[:-1]
+            out[p] = (out.get(base) or known[base]) + self.marks[p[-1]]
+        room = self.most - len(known)
+        if room > 0:
+            known.update([x for x in out.items() if len(x[0]) < LONG][:room])
         else:
-            for p in gone:
-                del self[p]
-
-
-class PieceEncoder:
-    """Encodes whole texts by their pieces. ``encode(str)`` gives the ids of any text as bytes;
-    ``many(list)``, where given, those of many pieces in one call, each as bytes."""
-
-    def __init__(self, encode: Callable[[str], bytes], many: Callable[[list[str]], list[bytes]] | None = None, most: int = REMEMBERED):
-        self.first = Remembered(encode, most // 8)
-        self.later = Remembered(None if many else lambda p: encode(as_in_text(p)), most)
-        self.many = many
+            self.passed += len(out)
+            if self.passed > 4 * self.most:
+                known.clear()
+                self.passed = 0
+        return out, made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [space_pieces(t) for t in texts]
-        heads = [p.pop(0) for p in cut]
-        if self.many:
-            missing = list(set().union(*cut).difference(self.later))
-            self.later.update(zip(missing, self.many(list(map(as_in_text, missing))), strict=True))
-        of = self.later.__getitem__
-        out = [b"".join([self.first[h] if h else b"", *map(of, p)]) for h, p in zip(heads, cut, strict=True)]
-        if self.many:
-            self.later.trim(missing)
-        return out
+        """The ids of each text."""
+        get, cut, found, heads = self.known.get, [], [], []
+        missing: set[str] = set()
+        for t in texts:
+            pieces = space_pieces(t)
+            heads.append(pieces.pop(0))
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+            else:
+                pieces = []
+            cut.append(pieces)
+            found.append(ids)
+        new, first = self._new(missing, set(heads))
+        return [
+            first[h] + b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if pieces else ids)
+            for h, pieces, ids in zip(heads, cut, found, strict=True)]

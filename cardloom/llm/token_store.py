@@ -2,7 +2,6 @@
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, shared_dir, small_batches
+from .common import give_back, parts, shared_dir, small_batches
 from .pieces import PieceEncoder
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
@@ -33,23 +32,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end: where the rolling hash of the last ``WINDOW`` ids says so,
-    so equal passages are cut alike wherever they stand."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def chunk_marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ``WINDOW`` ids lets a chunk end. As no chunk is shorter than the
+    window but a document's last, the ids of many documents can be hashed at once."""
     roll = _mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     for j in (1, 2, 4, 8):  # sums of 2, 4, 8 and WINDOW ids, each shifted by its distance
         roll[j:] += roll[:-j] << np.uint64(j)
-    marks = np.flatnonzero(roll >> np.uint64(WINDOW) & np.uint64(MASK) == 0) + 1
-    ends, at = [], 0
-    while n - at > LEAST:
+    return np.flatnonzero(roll >> np.uint64(WINDOW) & np.uint64(MASK) == 0) + 1
+
+
+def chunk_ends(marks: np.ndarray, start: int, end: int) -> list[int]:
+    """Where the chunks of a document's ids, from ``start`` to ``end``, end: at the first mark after
+    ``LEAST`` ids, or after ``MOST``, so equal passages are cut alike wherever they stand."""
+    ends, at = [], start
+    while end - at > LEAST:
         i = np.searchsorted(marks, at + LEAST)
-        end = int(marks[i]) if i < len(marks) else n
-        at = min(end, at + MOST, n)
+        at = min(int(marks[i]) if i < len(marks) else end, at + MOST, end)
         ends.append(at)
-    return ends if at == n else [*ends, n]
+    return ends if at == end else [*ends, end]
 
 
 def digest(data: bytes) -> bytes:
@@ -97,16 +97,9 @@ class CrcJoin:
         return a ^ b
 
 
-_ODD = re.compile(r"\s")
 _ENCODERS: dict[int, tuple[PieceEncoder, int]] = {}
 
 
-def one_id(tokenizer, text: str) -> int | None:
-    """The id of a text that is one token."""
-    ids = tokenizer.encode(text, add_special_tokens=False).ids
-    return ids[0] if len(ids) == 1 else None
-
-
 def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
     """An encoder from a tokenizers file's bytes, kept by the worker, and the vocabulary's size."""
     key = zlib.crc32(spec)
@@ -115,36 +108,15 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(spec.decode())
-        t.encode_special_tokens = True
-        size = t.get_vocab_size()
-        line = one_id(t, "\n")
-        first = b"" if line is None else struct.pack("<I", line)
-
-        def one(text: str) -> bytes:
-            return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        def many(pieces: list[str]) -> list[bytes]:
-            """Pieces are encoded as lines of one text, which is parted at the lines' ends. A line end before
-            a non-space is a token of its own; pieces with other white space are encoded by themselves."""
-            odd = [line is None or len(p) < 2 or _ODD.search(p, 1) is not None for p in pieces]
-            lines, alone = [p for p, o in zip(pieces, odd, strict=True) if not o], [p for p, o in zip(pieces, odd, strict=True) if o]
-            parts: list[bytes] = []
-            for i in range(0, len(lines), 2000):
-                some = lines[i : i + 2000]
-                ids = np.array(t.encode_batch_fast(["\n".join([p.removeprefix("\n") for p in some])], add_special_tokens=False)[0].ids, "<u4")
-                marks = np.append(np.flatnonzero(ids == line), len(ids))
-                ends = (4 * marks).tolist()
-                data = ids.tobytes()
-                starts = [0, *(e + 4 for e in ends[:-1])]
-                parts += [first + data[x:y] if p[0] == "\n" else data[x:y] for p, x, y in zip(some, starts, ends, strict=True)]
-            whole, rest = iter(parts), iter([np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(alone, add_special_tokens=False)])
-            return [next(rest if o else whole) for o in odd]
-
-        _ENCODERS[key] = PieceEncoder(one, many, REMEMBERED), size
+        special = sorted(x.content for x in t.get_added_tokens_decoder().values())
+
+        def ids_of(text: str) -> np.ndarray:
+            return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        _ENCODERS[key] = PieceEncoder(ids_of, 50, REMEMBERED, special), t.get_vocab_size()
     return _ENCODERS[key]
 
 
-_RECIPE = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())]))
 #: Documents under one node of the manifest.
 FAN_OUT = 1024
 
@@ -186,31 +158,35 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Non
         end, sent, row = np.array([end_id], "<u4").tobytes(), set(), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
-            step = max(1, min(2000, 1 + batch.num_rows * (8 << 20) // (batch.nbytes + 1)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                docs_out, chunks = [], {}
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    ids, recipe, at = np.frombuffer(raw + end, "<u4"), [], 0
-                    small = ids.astype(f"<u{width}").tobytes()
-                    for to in chunk_ends(ids):
+            for part in parts(batch, batch.column(1), 4 << 20):
+                raw = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+                ids = np.frombuffer(b"".join([x for r in raw for x in (r, end)]), "<u4")
+                marks, small = chunk_marks(ids), ids.astype(f"<u{width}").tobytes()
+                chunks, digests, lengths, ends, at = {}, [], [], [0], 0
+                counts = [len(r) // 4 + 1 for r in raw]
+                for n in counts:
+                    for to in chunk_ends(marks, at, at + n):
                         data = small[at * width : to * width]
                         key = digest(data)
-                        recipe.append({"digest": key, "n": to - at})
+                        digests.append(key)
+                        lengths.append(to - at)
                         if key not in sent:
                             if len(sent) >= 1_000_000:
                                 sent.clear()
                             sent.add(key)
                             chunks[key] = data
                         at = to
-                    row += 1
-                    docs_out.append((struct.pack(">IQ", task, row), doc_id, len(ids), recipe))
-                keys, doc_ids, n, recipes = zip(*docs_out, strict=True)
-                a, b = len(chunks), len(keys)
+                    ends.append(len(digests))
+                a, b = len(chunks), len(raw)
+                keys = [*chunks, *(struct.pack(">IQ", task, row + i) for i in range(b))]
+                row += b
+                uses = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(lengths, pa.int32())], ["digest", "n"])
+                recipes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), uses)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(["chunk"] * a + ["recipe"] * b), pa.array([*chunks, *keys], pa.binary()), pa.array([*chunks.values(), *[None] * b], pa.binary()),
-                        pa.array([width] * a + [None] * b, pa.int32()), pa.array([None] * a + [*doc_ids], pa.int64()), pa.array([None] * a + [*n], pa.int64()), pa.array([None] * a + [*recipes], _RECIPE),
+                        pa.array(["chunk"] * a + ["recipe"] * b), pa.array(keys, pa.binary()), pa.array([*chunks.values(), *[None] * b], pa.binary()),
+                        pa.array([width] * a + [None] * b, pa.int32()), pa.concat_arrays([pa.nulls(a, pa.int64()), part.column(0)]), pa.array([None] * a + counts, pa.int64()),
+                        pa.concat_arrays([pa.nulls(a, recipes.type), recipes]),
                     ],
                     names=["kind", "key", "ids", "width", "doc_id", "n_tokens", "recipe"],
                 )

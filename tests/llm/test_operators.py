@@ -259,7 +259,6 @@ def test_lines(odd):
 def test_token_store(spark, odd, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got, start = by_id(queries.op9_token_store(spark, SMALL)), 0
     for i, text in sorted(docs):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
