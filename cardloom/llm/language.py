@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import give_back, parts, small_batches
 
 #: Characters of the longest n-gram.
 ORDER = 4
 #: Mass of an unseen character: one of so many.
 ALPHABET = 4096
-#: Documents shorter than this many letters and spaces are not rejected by their cross-entropy.
-LEAST = 40
+#: Bytes of texts that a task looks at together.
+STEP = 1 << 17
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TABLE: list[np.ndarray] = []
 
@@ -143,25 +143,33 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     A first cut by the hash keeps about twice that, so that no task sorts a whole language."""
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    few = labelled.join(F.broadcast(counts.orderBy(F.desc("_n"), "lang").limit(256)), "lang").withColumn("_h", place).where(
+    few = labelled.join(counts, "lang").withColumn("_h", place).where(
         F.col("_h") * F.col("_n") <= 2 * per_language + 16)
     return few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= per_language).select("lang", "text", "_k")
 
 
 class LanguageModel:
-    """Models, thresholds and names of languages; see ``learn`` and ``predict``."""
+    """Models, names, limits and spreads of languages; see ``learn`` and ``predict``."""
 
-    def __init__(self, names: list[str], models: list, limits: list[float]):
-        self.names, self.models, self.limits = names, models, np.array(limits)
+    def __init__(self, names: list[str], models: list, limits: list[float], spreads: list[float]):
+        self.names, self.models, self.limits, self.spreads = names, models, np.array(limits), np.array(spreads)
 
 
-def learn(labelled: DataFrame, per_language: int = 400, quantile: float = 0.99, slack: float = 1.6) -> LanguageModel:
+def spread(model: list, texts: list[str]) -> float:
+    """The standard deviation of a character's log probability."""
+    codes, _ = characters(texts)
+    real = np.flatnonzero(codes != 1)
+    return float(log_probs(model, hashes(codes), real).std()) if len(real) else 0.0
+
+
+def learn(labelled: DataFrame, per_language: int = 400, quantile: float = 0.99, slack: float = 1.6, sigmas: float = 3.0) -> LanguageModel:
     """Fit one model per language on ``per_language`` labelled documents at most (``doc_id``, ``text``, ``lang``).
 
     Every fifth of the sample is held back: the limit of a language's cross-entropy is ``slack`` times
-    the ``quantile`` of those texts'. Rows of null text or language are left out. A language is fitted
-    in one task, from at most ``per_language`` whole texts; the models (a size bound by that) come to
-    the driver. At most 256 languages, the most frequent, are learned.
+    the ``quantile`` of those texts', for a text of n characters plus ``sigmas`` standard deviations of
+    a character's log probability over the root of n. Rows of null text or language are left out. A
+    language is fitted in one task, from at most ``per_language`` whole texts; the models (a size bound
+    by that, one for every language there is) come to the driver.
     """
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,15 +179,15 @@ def learn(labelled: DataFrame, per_language: int = 400, quantile: float = 0.99,
         model = fit(texts)
         give_back()
         if not model:
-            return pd.DataFrame({"lang": [], "model": [], "limit": []})
+            return pd.DataFrame({"lang": [], "model": [], "limit": [], "spread": []})
         h, n = cross_entropies([model], back or texts)
-        h = h[n >= LEAST, 0]
+        h = h[n > 0, 0]
         limit = float(np.quantile(h, quantile) * slack) if len(h) else float("inf")
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "model": [pickle.dumps([tuple(a.astype(np.float32) if a.dtype == float else a for a in m) for m in model])], "limit": [limit]})
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "model": [pickle.dumps([tuple(a.astype(np.float32) if a.dtype == float else a for a in m) for m in model])], "limit": [limit], "spread": [spread(model, back or texts)]})
 
     rows = sample(labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text"), per_language)
-    got = sorted(rows.groupBy("lang").applyInPandas(fitted, "lang string, model binary, limit double").collect())
-    return LanguageModel([r.lang for r in got], [pickle.loads(r.model) for r in got], [r.limit for r in got])
+    got = sorted(rows.groupBy("lang").applyInPandas(fitted, "lang string, model binary, limit double, spread double").collect())
+    return LanguageModel([r.lang for r in got], [pickle.loads(r.model) for r in got], [r.limit for r in got], [sigmas * r.spread for r in got])
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -187,28 +195,26 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     The language of least cross-entropy per character; ``score`` is its share (0 to 1) of the models'
     likelihoods per character to the power 20; ``rejected`` where the text has no letter or its
-    cross-entropy exceeds the language's limit. Null text, text without a letter, and any text if no
+    cross-entropy exceeds the language's limit for its length. Null text, text without a letter, and any text if no
     language was learned, give ``und``, 0 and true. Columns of these names in ``docs`` are replaced.
     An empty table gives an empty table. There is no shuffle.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.models, model.limits))
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.models, model.limits, model.spreads))
     new = ["lang_pred", "score", "rejected"]
     rest = [c for c in docs.columns if c not in new]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, models, limits = shared.value
+        names, models, limits, spreads = shared.value
         for batch in batches:
-            step = max(1, min(1000, 1 + batch.num_rows * (1 << 19) // (batch.nbytes + 1)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            for part in parts(batch, batch.column("text"), STEP):
                 h, n = cross_entropies(models, [x or "" for x in part.column("text").to_pylist()])
                 if names:
                     best = h.argmin(1)
                     low = h[np.arange(len(h)), best]
                     score = np.where(n > 0, 1 / np.exp(np.maximum(-700, 20 * (low[:, None] - h))).sum(1), 0.0)
-                    out = (n == 0) | ((n >= LEAST) & (low > limits[best]))
+                    out = (n == 0) | (low > limits[best] + spreads[best] / np.sqrt(np.maximum(n, 1)))
                     lang = [names[b] if k else "und" for b, k in zip(best, n, strict=True)]
                 else:
                     lang, score, out = ["und"] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
