@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, written
+from .common import give_back, parts, small_batches, written
 from .hashing import mixed, shingle_sets
 
 #: 64-bit words of a bitmap signature.
 BITMAP = 8
 #: Growth of the size bands.
 BAND = 1.5
+#: Bytes of texts whose shingles a task holds at once; hashing takes about 50 times that.
+STEP = 1 << 19
+#: Members of a tile that meet in one group; larger tiles are cut into blocks, each pair of blocks a group.
+MEMBERS = 256
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 
@@ -94,9 +98,7 @@ def _per_text(docs: DataFrame, shingle: int, ddl: str, maker, fresh: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker() if fresh else maker
         for batch in batches:
-            step = max(1, min(1000, 1 + batch.num_rows * (4 << 20) // (batch.nbytes + 1)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            for part in parts(batch, batch.column(1), STEP):
                 sets = shingle_sets([x or "" for x in part.column(1).to_pylist()], shingle)
                 yield _batch(part.column(0), make(sets))
         give_back()
@@ -115,32 +117,34 @@ def _lists(arrays: list[np.ndarray], of: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, of))
 
 
-def _whole(own: np.ndarray) -> np.uint64:
-    return mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+def _whole(own: np.ndarray) -> bytes:
+    """16 bytes that tell a set."""
+    one = mixed(own ^ np.uint64(0x5851F42D4C957F2D))
+    sums = np.array([one.sum(dtype=np.uint64), mixed(one).sum(dtype=np.uint64)], np.uint64)
+    return mixed(sums + np.uint64(len(own))).tobytes()
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     """Per document the size of its set and a hash of the whole set."""
 
     def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
-        whole = np.array([_whole(s) for s in sets], np.uint64)
-        return {"n": pa.array([len(s) for s in sets], pa.int64()), "whole": pa.array(whole.view(np.int64))}
+        return {"n": pa.array([len(s) for s in sets], pa.int64()), "whole": pa.array([_whole(s) for s in sets], pa.binary())}
 
-    return _per_text(docs, shingle, "n bigint, whole bigint", make)
+    return _per_text(docs, shingle, "n bigint, whole binary", make)
 
 
 def _tiled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Per document its tiles; of equal sets a task tells one, so copies do not crowd a tile."""
 
     def maker():
-        told: set[int] = set()
+        told: set[bytes] = set()
 
         def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
             if len(told) > 1_000_000:
                 told.clear()
             out = []
             for s in sets:
-                key = int(_whole(s))
+                key = _whole(s)
                 out.append(tiles(s, percent) if key not in told else np.zeros(0, np.uint64))
                 told.add(key)
             return {"tiles": _lists(out, pa.int64())}
@@ -198,9 +202,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(1000, 1 + batch.num_rows * (4 << 20) // (batch.nbytes + 1)))
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            for part in parts(batch, batch.column("text_a"), STEP // 2):
                 one, two = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
                 seen = list(dict.fromkeys(x or "" for x in one + two))
                 own, good = dict(zip(seen, shingle_sets(seen, shingle), strict=True)), []
@@ -230,6 +232,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     one may count for the other. A null id is returned with a null component and links nothing. An
     empty table gives an empty table.
 
+    Sets are compared by the 64-bit hashes of their shingles, and equal sets are told by two sums of
+    them, 64 bits each, and their size: two of n shingles share a hash with probability n^2 / 2^65 (for a
+    million shingles in one pair of sets under 1 in 10^7), two of n sets a class with n^2 / 2^129.
+
     Sets that are equal are one class, held by its smallest id, so copies cost a row each. Classes
     meet only in a tile (see ``tiles``), which unlike texts do not share even where they share long
     passages. In a tile all are first compared with its smallest; then, between classes that this
@@ -261,10 +267,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     so_far = components(links)
     placed = shared.select("tile", "doc_id").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    open_tiles = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("head")).where("lo <> hi")
-    rest = written(placed.join(open_tiles.select("tile", "head"), "tile").join(signs, "doc_id"), "open-tiles")
+    open_tiles = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    crowds = open_tiles.withColumn("blocks", F.ceil(F.col("size") / MEMBERS).cast("int")).select("tile", "head", "blocks")
+    in_blocks = placed.join(crowds, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = written(in_blocks.join(signs, "doc_id"), "open-tiles")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left, right = rest.withColumn("other", F.explode(every)), rest.withColumnRenamed("block", "other").withColumn("block", F.explode(every))
     apart = (
-        rest.alias("x").join(rest.alias("y"), F.expr("x.tile = y.tile AND x.doc_id < y.doc_id AND x.component <> y.component AND x.doc_id <> x.head") & _alike("x", "y", percent))
+        left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.other = y.other AND x.doc_id < y.doc_id AND x.component <> y.component AND x.doc_id <> x.head") & _alike("x", "y", percent))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
     more = written(_linked(apart, texts, shingle, percent), "links")

@@ -158,6 +158,45 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in none.collect()} == {"und"} and language.predict(odd.limit(0), model).count() == 0
 
 
+def test_kneser_ney_by_dictionaries():
+    texts = ["abra cadabra", "a bar, a car!", "Abracadabra bab"]
+    streams = ["\x01\x01\x01" + t for t in ("abra cadabra", "a bar a car ", "abracadabra bab")]
+    order, model = language.ORDER, language.fit(texts)
+    grams = [Counter(s[i - n : i + 1] for s in streams for i in range(3, len(s))) for n in range(order)]
+    counts = [Counter(g[1:] for g in grams[n + 1]) for n in range(order - 1)] + [grams[-1]]
+
+    def prob(gram):
+        n = len(gram) - 1
+        below = prob(gram[1:]) if n else 1 / language.ALPHABET
+        c = counts[n]
+        ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        after = {g: x for g, x in c.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return below
+        total = sum(after.values())
+        return (max(0, c[gram] - d) if gram in c else 0) / total + d * len(after) / total * below
+
+    for t, s in (("abra", "abra"), ("czbra cab", "czbra cab"), ("BAR?? ab", "bar ab")):
+        s = "\x01\x01\x01" + s
+        want = -sum(math.log(prob(s[i - 3 : i + 1])) for i in range(3, len(s))) / (len(s) - 3)
+        h, n = language.cross_entropies([model], [t])
+        assert n[0] == len(s) - 3 and h[0, 0] == pytest.approx(want, rel=1e-6)
+
+
+def test_languages_of_all_kinds_and_lengths_are_told_or_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.learn(docs.select("doc_id", "text", "lang"))
+    foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "我能吞下玻璃而不伤身体", "чай", "zzqx jjwkq xzzv qqkzj wvxk zzjq kkqx"]
+    rows = [(i, t) for i, t in enumerate(foreign)] + [(10, "the"), (11, "de la"), (12, "a"), (13, "")]
+    got = by_id(language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model))
+    assert [got[i].rejected for i in (0, 1, 2, 3, 10, 11, 12, 13)] == [True] * 4 + [False] * 3 + [True]
+    many = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 9, f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    learned = language.learn(many)
+    assert len(learned.names) == 300
+    assert language.predict(many, learned).where("lang = lang_pred").count() == 300
+
+
 def test_near_duplicates(spark, docs):
     texts = docs + [(10_000, "a b"), (10_001, "A  B"), (10_002, "a b c"), (10_003, ""), (10_004, None)] + [(20_000 + i, " ".join(f"w{j}" if j != 20 * i else "new" for j in range(400))) for i in range(12)]
     got = by_id(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90))
