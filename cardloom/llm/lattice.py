@@ -61,8 +61,9 @@ class Lattice:
         if len(keys) > 1 and (keys[1:] == keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 4)
-        self.keys, self.order, self.shift = keys, order, np.uint64(64 - bits)
+        self.keys, self.order, self.shift = np.append(keys, np.uint64(2**64 - 1)), np.append(order, -1), np.uint64(64 - bits)
         self.slots = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.full = np.diff(self.slots, append=len(keys)) > 0
         self.longest = max(map(len, self.pieces))
         self.stems = np.array(sorted({int(self._sum(p[:STEM])[0]) for p in self.pieces if len(p) > STEM}), np.uint64)
 
@@ -79,15 +80,16 @@ class Lattice:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these (unmixed) hashes, -1 for none."""
-        h = mixed(h)
-        at, out = self.slots[h >> self.shift], np.full(h.shape, -1, np.int32)
-        for _ in range(12):  # slots hold about 1/16 of a piece: few probes
-            at = np.minimum(at, len(self.keys) - 1)
-            hit = self.keys[at] == h
-            out[hit] = self.order[at[hit]]
-            if (self.keys[at] >= h).all():
-                break
-            at = at + 1
+        out, h = np.full(h.shape, -1, np.int32), mixed(h)
+        slot, flat = h >> self.shift, out.ravel()
+        at = np.flatnonzero(self.full[slot])  # most stretches are no piece: their slots are empty
+        h, place = h.ravel()[at], self.slots[slot.ravel()[at]]
+        while len(at):
+            key = self.keys[place]
+            hit = key == h
+            flat[at[hit]] = self.order[place[hit]]
+            more = key < h
+            at, h, place = at[more], h[more], place[more] + 1
         return out
 
     def arcs(self, words: np.ndarray) -> dict[int, np.ndarray]:
@@ -116,12 +118,13 @@ class Lattice:
                 out[size][at, row] = hit
         return out
 
-    def forward(self, words: np.ndarray, arcs: dict[int, np.ndarray]) -> np.ndarray:
-        """Log probability of what stands before each place, over all segmentations of it."""
+    def forward(self, words: np.ndarray, arcs: dict[int, np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of what stands before each place, over all segmentations of it, by the pieces' log
+        weights or by others."""
         n = words.shape[1]
         alpha = np.full((n + 1, len(words)), -np.inf)
         alpha[0] = 0
-        logs = np.append(self.logs, -np.inf)  # -1: no piece
+        logs = np.append(self.logs if weights is None else weights, -np.inf)  # -1: no piece
         some = {size: (found >= 0).any(axis=1) for size, found in arcs.items()}
         for j in range(1, n + 1):
             for size, found in arcs.items():
@@ -180,7 +183,7 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1, classes: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1) -> DataFrame:
     """Log10 probabilities of texts (``doc_id``, ``text``, ``held_out``), learned from rows not held out.
 
     A text is its words (by ASCII white space, A-Z lower-cased) and one end token; null text is empty.
@@ -193,13 +196,15 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
     probabilities stay in log space, so words of any length have their own; where training has no word
     at all, so that no unseen word has any, one counts ``FLOOR``.
 
-    Where ``docs`` has a column ``class`` (a language, say), counts are kept apart for the ``classes``
-    most frequent values and the rest, and a text's probability is the mixture over these by their
-    share of the training texts; its own class is no input.
+    Where ``docs`` has a column ``class`` (a language, say; of few values, as each has a column of
+    counts), counts are kept apart for each value and for null, and a text's probability is the
+    mixture over these by their share of the training texts; its own class is no input.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (seen in training), ``train_tokens``
-    (N), ``base_score`` (add-half unigram) and ``score``. Rows that repeat an id are kept. With no
-    training row N is 0 and words score by the lattice alone. An empty table gives an empty table.
+    (N), ``base_score`` (add-half unigram), ``score`` and ``lattice_score``: the marginal log10
+    probability of the words by the vocabulary's own scores, with nothing learned. Rows that repeat an
+    id are kept. With no training row N is 0 and words score by the lattice alone. An empty table gives
+    an empty table.
 
     Texts are dealt by hash into groups of about ``GROUP_BYTES`` and sent twice: once to list a group's
     different words with their counts, once to meet their scores. Counts are summed and words scored
@@ -212,7 +217,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
     first = docs.groupBy("class").agg(F.sum(F.octet_length("text")).alias("b"), F.count_if(~F.col("held_out")).alias("n"))
     first = written(first, "classes")
     total = first.agg(F.sum("b")).first()[0] or 0
-    named = [r[0] for r in first.where("class is not null and n > 0").orderBy(F.desc("n"), "class").limit(classes).collect()]
+    named = [r[0] for r in first.where("class is not null and n > 0").orderBy("class").collect()]
     many = len(named) + 1
     groups = max(32, -(-total // GROUP_BYTES))
     which = F.coalesce(F.array_position(F.array(*map(F.lit, named)), F.col("class")), F.lit(0)) if named else F.lit(0)
@@ -249,8 +254,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
     free = np.where(per[:, 0] > 0, discount * (per[:, 1] - (ends > 0)) / np.maximum(per[:, 0], 1), 1.0)
     share = ends / ends.sum() if ends.sum() else np.eye(many)[0]
 
-    weights = vocabulary(path)
-    model = normalised({p: float(np.exp(s)) * 1e4 for p, s in weights.items()}, 1e4, prior)
+    model = own = normalised({p: float(np.exp(s)) * 1e4 for p, s in vocabulary(path).items()}, 1e4, prior)
     for _ in range(rounds if kinds else 0):
         shared = spark.sparkContext.broadcast(pickle.dumps(model))
 
@@ -266,18 +270,21 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
         got = counts.where(every > 0).select("word").mapInArrow(used, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         model = normalised(dict.fromkeys(model.pieces, 0.0) | {model.pieces[r.piece]: r.uses for r in got}, float(kinds), prior)
 
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    by_piece = dict(zip(own.pieces, own.logs, strict=True))
+    shared = spark.sparkContext.broadcast(pickle.dumps((model, np.array([by_piece[p] for p in model.pieces]), own.end)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = pickle.loads(shared.value)
+        lattice, own_logs, own_end = pickle.loads(shared.value)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            logs = np.zeros(len(words))
+            logs, own = np.zeros(len(words)), np.zeros(len(words))
             for at, rows in by_length(words):
-                logs[at] = lattice.log_probs(rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], ["word", *names, "lattice"])
+                arcs = lattice.arcs(rows)
+                logs[at] = lattice.forward(rows, arcs)[-1] + lattice.end
+                own[at] = lattice.forward(rows, arcs, own_logs)[-1] + own_end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs), pa.array(own)], ["word", *names, "lattice", "own"])
 
-    scores = written(counts.select("word", *names).mapInArrow(scored, f"word binary, {ddl}, lattice double"), "word-scores")
+    scores = written(counts.select("word", *names).mapInArrow(scored, f"word binary, {ddl}, lattice double, own double"), "word-scores")
     by_group = lists.select("g", "word").join(scores, "word")
 
     def summed(left, right):
@@ -290,18 +297,18 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1,
             if not free[share > 0].any():
                 s = np.maximum(s, FLOOR)
             prior_of = np.log(share)
-        seen = c.sum(0)
+        seen, own = c.sum(0), right.column("own").to_numpy()
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (kinds + 1)))
         rows = []
         for text in left.column("text").to_pylist():
             words = _tokens(text)
             at = np.array([*map(index.__getitem__, words), index[END]])
             by_class = s[:, at].sum(1) + prior_of
-            rows.append((len(at), int((seen[at] > 0).sum()), float(base[at].sum()), float(np.logaddexp.reduce(by_class) / np.log(10))))
-        n_tokens, known, b, score = zip(*rows, strict=True) if rows else ((),) * 4
+            rows.append((len(at), int((seen[at] > 0).sum()), float(base[at].sum()), float(np.logaddexp.reduce(by_class) / np.log(10)), float(own[at[:-1]].sum() / np.log(10))))
+        n_tokens, known, b, score, lattice = zip(*rows, strict=True) if rows else ((),) * 5
         return pa.Table.from_arrays(
-            [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([tokens] * len(rows), pa.int64()), pa.array(b, pa.float64()), pa.array(score, pa.float64())],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            [left.column("doc_id"), left.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([tokens] * len(rows), pa.int64()), pa.array(b, pa.float64()), pa.array(score, pa.float64()), pa.array(lattice, pa.float64())],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
     return dealt.select("doc_id", "text", "held_out", "g").groupBy("g").cogroup(by_group.groupBy("g")).applyInArrow(summed, out)

@@ -93,6 +93,7 @@ def test_lattice_of_long_words(spark):
     alone = by_id(lattice.score_texts(spark.createDataFrame(rows, ddl), path, rounds=0))
     for i, w in enumerate(want):
         assert alone[i].score == pytest.approx((w + math.log(0.5)) / math.log(10), rel=1e-9)
+        assert alone[i].lattice_score == pytest.approx(w / math.log(10), rel=1e-9)
     # of a, a, b and the end, two are seen once and one twice: a discount of 1/2, for two words of four tokens
     learned = by_id(lattice.score_texts(spark.createDataFrame([*rows, (9, "a a b", False)], ddl), path, rounds=0))
     for i, w in enumerate(want):
@@ -106,6 +107,37 @@ def test_lattice_of_long_words(spark):
     assert none[0].score == pytest.approx(-1e5 / math.log(10))
 
 
+def test_scores_of_odd_rows_and_of_an_independent_sum(spark, odd):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = odd.select("doc_id", "text", (F.col("doc_id") % 2 == 1).alias("held_out"), F.lit("x").alias("score"), F.lit(1).alias("word"))
+    got = lattice.score_texts(rows, path, rounds=0).collect()
+    assert len(got) == len(ODD) and lattice.score_texts(rows.limit(0), path).count() == 0
+    model = lattice.normalised({p: math.exp(s) * 1e4 for p, s in lattice.vocabulary(path).items()}, 1e4, 0.1)
+    train = [r[1] or "" for r in ODD if r[0] is None or r[0] % 2 == 0]
+    c = Counter(w for t in train for w in [*words(t), b" "])
+    n, ones, twos, ends = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()), c[b" "]
+    d = min(0.95, max(0.05, ones / (ones + 2 * twos)))
+    free = d * (len(c) - 1) / n
+    of = {w: log_of_all_cuts(model, w) for r in ODD for w in set(words(r[1] or ""))}
+    for r in got:
+        texts = [x[1] or "" for x in ODD if x[0] == r.doc_id]
+        logs = [math.log(math.exp(of[w]) * free + max(0, c[w] - d) / n) if of[w] > -700 else of[w] + math.log(free) for w in words(texts[0])]
+        assert r.score == pytest.approx((sum(logs) + math.log(ends / n)) / math.log(10), rel=1e-9)
+        assert r.lattice_score == pytest.approx(sum(of[w] for w in words(texts[0])) / math.log(10), rel=1e-9)
+        assert (r.n_tokens, r.n_known) == (len(logs) + 1, sum(w in c for w in words(texts[0])) + 1)
+
+
+def test_classes_are_mixed_by_their_share(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, f"only{i}", False, f"c{i}") for i in range(12)] + [(99, "only3", True, None)]
+    got = by_id(lattice.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, class string"), path, rounds=0))
+    model = lattice.normalised({p: math.exp(s) * 1e4 for p, s in lattice.vocabulary(path).items()}, 1e4, 0.1)
+    free = 0.95 / 2  # each class: its word once, its end once; a discount of 1 is cut to 0.95
+    word = math.exp(log_of_all_cuts(model, b"only3"))
+    want = (sum(free * word * 0.5 for _ in range(11)) + (0.05 / 2 + free * word) * 0.5) / 12
+    assert got[99].score == pytest.approx(math.log10(want), rel=1e-9)
+
+
 def test_bpe_equals_tiktoken(spark, odd, docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
