@@ -20,8 +20,10 @@ BITMAP = 8
 BAND = 1.5
 #: Bytes of texts whose shingles a task holds at once; hashing takes about 50 times that.
 STEP = 1 << 19
-#: Members of a tile that meet in one group; larger tiles are cut into blocks, each pair of blocks a group.
+#: Members of a tile that meet in one group; larger tiles are cut into blocks.
 MEMBERS = 256
+#: Turns in which the members of a tile that are not connected meet one of them, before all meet all.
+TURNS = 3
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 
@@ -190,6 +192,22 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _candidates(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that sizes and bitmaps allow."""
+    both = pairs.alias("p").join(signs.alias("x"), F.expr("p.a = x.doc_id")).join(signs.alias("y"), F.expr("p.b = y.doc_id"))
+    return both.where(_alike("x", "y", percent))
+
+
+def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the tiles that hold more than one component by ``links``, with their component, the tile's
+    most common one and its number of rows."""
+    labels = components(links).withColumnRenamed("node", "doc_id")
+    placed = shared.select("tile", "doc_id").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    kinds = placed.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("k"))
+    tiles = kinds.groupBy("tile").agg(F.max_by("component", F.struct("k", "component")).alias("common"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("size"))
+    return written(placed.join(tiles.where("kinds > 1"), "tile"), "open-tiles")
+
+
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents of these ids (a written table), broadcast only where they are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
@@ -238,9 +256,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Sets that are equal are one class, held by its smallest id, so copies cost a row each. Classes
     meet only in a tile (see ``tiles``), which unlike texts do not share even where they share long
-    passages. In a tile all are first compared with its smallest; then, between classes that this
-    has not connected, sizes and bitmaps decide which pairs are compared exactly. No pair that is
-    linked is left out unless its ends are connected already.
+    passages. In a tile all are first compared with its smallest, then, in ``TURNS`` turns, what is not
+    connected with another member, so large groups of near copies become one component by few pairs.
+    At last each member outside a tile's most common component meets all members of others, in blocks;
+    sizes and bitmaps decide which pairs are compared exactly. No pair that is linked is left out unless
+    its ends are connected already.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     signed = written(_signed(docs, shingle), "signed")
@@ -262,20 +282,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = written(_of(docs, wanted), "texts")
     signs = written(_bitmaps(texts, shingle).join(shared.select("doc_id", "n").distinct(), "doc_id"), "signs")
     stars = shared.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = stars.alias("p").join(signs.alias("x"), F.expr("p.a = x.doc_id")).join(signs.alias("y"), F.expr("p.b = y.doc_id")).where(_alike("x", "y", percent))
-    links = written(_linked(near, texts, shingle, percent), "links")
-    so_far = components(links)
-    placed = shared.select("tile", "doc_id").join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    open_tiles = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    crowds = open_tiles.withColumn("blocks", F.ceil(F.col("size") / MEMBERS).cast("int")).select("tile", "head", "blocks")
-    in_blocks = placed.join(crowds, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rest = written(in_blocks.join(signs, "doc_id"), "open-tiles")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left, right = rest.withColumn("other", F.explode(every)), rest.withColumnRenamed("block", "other").withColumn("block", F.explode(every))
+    links = written(_linked(_candidates(stars, signs, percent), texts, shingle, percent), "links")
+    for turn in range(TURNS):
+        rest = _open(shared, links)
+        if rest.isEmpty():
+            break
+        heads = rest.groupBy("tile").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("head"))
+        pairs = rest.join(heads, "tile").where("component <> head.component").select(
+            F.least("doc_id", "head.doc_id").alias("a"), F.greatest("doc_id", "head.doc_id").alias("b")).distinct()
+        links = written(links.union(_linked(_candidates(pairs, signs, percent), texts, shingle, percent)), "links")
+    rest = written(_open(shared, links).withColumn("lone", F.col("component") != F.col("common")).join(signs, "doc_id"), "open-rows")
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    left = rest.where("lone").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     apart = (
-        left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.other = y.other AND x.doc_id < y.doc_id AND x.component <> y.component AND x.doc_id <> x.head") & _alike("x", "y", percent))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.component <> y.component AND (NOT y.lone OR x.doc_id < y.doc_id)") & _alike("x", "y", percent))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     )
     more = written(_linked(apart, texts, shingle, percent), "links")
     whole = written(components(links.union(more)), "components")

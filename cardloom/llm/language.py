@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, parts, small_batches
+from .common import give_back, parts, small_batches, written
 
 #: Characters of the longest n-gram.
 ORDER = 4
@@ -141,7 +141,7 @@ def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows (``lang``, ``text``) of each language, in the order of a hash of their id.
 
     A first cut by the hash keeps about twice that, so that no task sorts a whole language."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")  # broadcast by its size
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     few = labelled.join(counts, "lang").withColumn("_h", place).where(
         F.col("_h") * F.col("_n") <= 2 * per_language + 16)
