@@ -92,3 +92,20 @@ def union_candidates(candidates: DataFrame, by: str, limit: int = 10) -> DataFra
     first = candidates.groupBy(by, *keys).agg(F.min(F.struct("source_order", "id")).alias("f"))
     w = Window.partitionBy(by).orderBy("f")
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(by, "f.source_order", "f.id", "place")
+
+
+def complete(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of these columns is null or blank."""
+    there = [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in columns]
+    return rows.where(reduce(lambda a, b: a & b, there))
+
+
+def manifest(crops: DataFrame, by: str, crop: str) -> DataFrame:
+    """Per label its crops in order, and how many there are."""
+    return complete(crops, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(crop)).alias("crops"))
+
+
+def provenance(points: DataFrame, *by: str) -> DataFrame:
+    """How many points there are of each value of each column."""
+    counts = [points.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("by"), "value", "n") for c in by]
+    return reduce(lambda a, b: a.unionByName(b), counts)

@@ -73,3 +73,34 @@ def newest_first(deals: DataFrame, n: int | None = None, by: str = "card_id") ->
     w = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
     placed = deals.withColumn("place", F.row_number().over(w))
     return placed if n is None else placed.where(F.col("place") <= n)
+
+
+def decide_fully(deals: DataFrame, values: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``decide``, with the margins of all graded values and a warning of manual values where there is no other.
+
+    ``values`` holds psa7, psa8, psa95 and is_manual as well."""
+    cost = cost_of(F.col("shop_price_yen"), settings)
+    graded = {f"{k}_margin": margin_of(F.col(k), cost, settings) for k in ("psa7", "psa8", "psa95")}
+    more = deals.join(values, "card_id", "left").select("id", *(c.alias(k) for k, c in graded.items()), F.coalesce("is_manual", F.lit(False)).alias("_manual"))
+    decided = decide(deals, values.select("card_id", "raw", "psa9", "psa10"), settings).join(more, "id")
+    return decided.withColumn("warning", F.coalesce("warning", F.when(F.col("_manual"), "MANUAL_VALUES"))).drop("_manual")
+
+
+def append_deals(history: DataFrame, new: DataFrame) -> DataFrame:
+    return history.unionByName(new)
+
+
+def set_status(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """The history with the statuses of ``changes`` (id, status)."""
+    new = changes.select("id", F.col("status").alias("_s"))
+    return history.join(new, "id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s").select(*history.columns)
+
+
+def delete_deals(history: DataFrame, gone: DataFrame) -> DataFrame:
+    return history.join(gone.select("id"), "id", "left_anti").select(*history.columns)
+
+
+def saved_deals(deals: DataFrame, decided: DataFrame) -> DataFrame:
+    """The records of a history: what was asked and what was decided."""
+    return deals.join(decided.drop("cost"), "id").select(
+        "id", "card_id", "condition", "shop_price_yen", "status", "created_at", "route", "net", "profit", "margin", "decision", "warning")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one block: what is broadcast or sent at once is bound by it.
-BLOCK = 4096
+#: Queries and references in one block; a task holds one of each.
+BLOCK, REFS = 4_096, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,33 +28,61 @@ def rescaled(score: Column) -> Column:
     return F.least(F.greatest((score + 1) / 2, F.lit(0.0)), F.lit(1.0))
 
 
+def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
+    """``kernel`` over each pair of a block of ``queries`` (by query_id) and a block of ``refs`` (by all their columns).
+
+    The queries are a stated set. Blocks are bounded, and each side is sent once per block of the other."""
+    def blocks(df: DataFrame, size: int) -> int:
+        return max(1, -(-df.count() // size))
+
+    n, m = blocks(queries, BLOCK), blocks(refs, REFS)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # columns of both sides may come from one table
+    left = own.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"), "_r": every(m)})
+    right = refs.withColumns({"_r": F.pmod(F.xxhash64(*refs.columns), F.lit(m)).cast("int"), "_q": every(n)})
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        return kernel(q, r) if len(q) and len(r) else pd.DataFrame({c.split()[0]: [] for c in ddl.split(", ")})
+
+    return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInPandas(run, ddl)
+
+
+def _matrix(arrays: pd.Series) -> np.ndarray:
+    return np.stack(arrays.to_list()).astype(float)
+
+
+def _card_scores(q: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The cards of a block in order, and per query and card the highest cosine."""
+    r = r.sort_values("card_id")
+    cards, starts = np.unique(r.card_id.to_numpy(), return_index=True)
+    return cards, np.round(np.maximum.reduceat(_matrix(q.v) @ _matrix(r.vector).T, starts, axis=1), 6)
+
+
+def max_similarity(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Per query and card the highest cosine over the card's vectors, as ``score``. ``queries``: query_id, vector;
+    ``refs``: card_id, vector (unit length). The result has a row for each pair, as asked."""
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        cards, scores = _card_scores(q, r)
+        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), len(cards)), "card_id": np.tile(cards, len(q)), "score": scores.ravel()})
+
+    found = tiled(queries.select("query_id", normalized(F.col("vector")).alias("v")), refs.select("card_id", "vector"), best, "query_id bigint, card_id bigint, score double")
+    return found.groupBy("query_id", "card_id").agg(F.max("score").alias("score"))
+
+
 def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:
     """Per query the ``k`` cards of highest cosine over their vectors (rounded to 6 places; ties to the smaller card).
 
-    ``queries``: query_id, vector; ``refs``: card_id, vector (unit length). Queries are packed into rows of
-    ``BLOCK`` at most and each block meets every partition of references, which keeps ``k`` cards a query;
-    partial and final maxima per card are taken before each cut, so the result is exact.
+    ``queries``: query_id, vector; ``refs``: card_id, vector (unit length). Each pair of blocks keeps ``k`` cards a
+    query. Maxima per card are taken before each cut, so the result is exact: a card of the final list is in
+    the list of the block that holds its best vector.
     """
-    blocks = queries.withColumn("_b", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / BLOCK))
-    packed = blocks.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("_p"), "_b").agg(
-        F.collect_list(F.struct("query_id", normalized(F.col("vector")).alias("v"))).alias("qs")).select("qs")
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for qs, part in f.groupby(f.qs.map(lambda q: q[0]["query_id"])):
-                rows = part.qs.iloc[0]
-                ids, q = np.array([r["query_id"] for r in rows]), np.stack([np.asarray(r["v"], float) for r in rows])
-                cards, of = np.unique(part.card_id.to_numpy(), return_inverse=True)
-                scores = np.full((len(q), len(cards)), -np.inf)
-                np.maximum.at(scores.T, of, (q @ np.stack(part.vector.to_list()).T).T)
-                scores = np.round(scores, 6)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "card_id": cards[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    found = refs.select("card_id", "vector").join(packed).mapInPandas(best, "query_id bigint, card_id bigint, score double")
-    merged = found.groupBy("query_id", "card_id").agg(F.max("score").alias("score"))
-    return rank_candidates(merged, k)
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        cards, scores = _card_scores(q, r)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), top.shape[1]), "card_id": cards[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    found = tiled(queries.select("query_id", normalized(F.col("vector")).alias("v")), refs.select("card_id", "vector"), best, "query_id bigint, card_id bigint, score double")
+    return rank_candidates(found.groupBy("query_id", "card_id").agg(F.max("score").alias("score")), k)
 
 
 def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
@@ -100,12 +128,27 @@ def hist_similarity(a: Column, b: Column) -> Column:
 def best_coarse(queries: DataFrame, prints: DataFrame, weight: float = 0.72) -> DataFrame:
     """Per query and card the best of its prints by hash and histogram; of equal ones the smallest vector id.
 
-    ``queries`` are a stated set (query_id, hash, histogram), sent to every partition of ``prints``
-    where small, else a nested loop in blocks.
-    """
-    pairs = prints.join(queries.withColumnsRenamed({"hash": "q_hash", "histogram": "q_histogram"}))
-    score = F.round(weight * hash_score(F.col("hash"), F.col("q_hash")) + (1 - weight) * hist_similarity(F.col("histogram"), F.col("q_histogram")), 6)
-    scored = pairs.select("query_id", "card_id", "vec_id", score.alias("score"))
+    ``queries``: query_id, hash, histogram; ``prints``: card_id, vec_id, hash, histogram. Pairs of blocks give a row per
+    query and card."""
+    def unit(arrays: pd.Series) -> np.ndarray:
+        h = _matrix(arrays)
+        h = h - h.mean(axis=1, keepdims=True)
+        size = np.sqrt((h * h).sum(axis=1, keepdims=True))
+        return np.divide(h, size, out=np.full_like(h, np.nan), where=size > 0)
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values(["card_id", "vec_id"])
+        cards, starts, sizes = np.unique(r.card_id.to_numpy(), return_index=True, return_counts=True)
+        apart = np.bitwise_count(q["hash"].to_numpy().view(np.uint64)[:, None] ^ r["hash"].to_numpy().view(np.uint64))
+        alike = np.clip((unit(q.histogram) @ unit(r.histogram).T + 1) / 2, 0, 1)  # a constant histogram is like none
+        scores = np.round(weight * np.maximum(0, 1 - apart / 64.0) + (1 - weight) * np.nan_to_num(alike), 6)
+        most = np.maximum.reduceat(scores, starts, axis=1)
+        ids = np.where(scores == np.repeat(most, sizes, axis=1), r.vec_id.to_numpy(), np.iinfo(np.int64).max)
+        return pd.DataFrame({
+            "query_id": np.repeat(q.query_id.to_numpy(), len(cards)), "card_id": np.tile(cards, len(q)),
+            "score": most.ravel(), "vec_id": np.minimum.reduceat(ids, starts, axis=1).ravel()})
+
+    scored = tiled(queries.select("query_id", "hash", "histogram"), prints.select("card_id", "vec_id", "hash", "histogram"), best, "query_id bigint, card_id bigint, score double, vec_id bigint")
     return scored.groupBy("query_id", "card_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m")).select(
         "query_id", "card_id", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
 

@@ -10,28 +10,7 @@ from ..operators import catalog, deals, prices, similarity
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
 from ..streaming.latest import fresh, latest
-
-_Q: dict = {}
-_SQL: dict = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def add(f):
-        _Q[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict:
-    return dict(_SQL)
-
+from .base import _query, oracle_sql, queries  # noqa: F401
 
 # Deals
 
@@ -210,8 +189,7 @@ def k1(spark, d):
 @_query("a1_max_similarity", with_views(_Q25 + " SELECT query_id, card_id, round(least(greatest((score + 1) / 2, 0), 1), 7) AS similarity FROM s", "vectors"))
 def a1(spark, d):
     q, r = _sides(spark, d)
-    pairs = r.join(q.select("query_id", similarity.normalized(F.col("vector")).alias("v")))
-    best = pairs.groupBy("query_id", "card_id").agg(F.max(F.round(similarity.dot(F.col("v"), F.col("vector")), 6)).alias("score"))
+    best = similarity.max_similarity(q.select("query_id", "vector"), r)
     return best.select("query_id", "card_id", F.round(similarity.rescaled(F.col("score")), 7).alias("similarity"))
 
 
@@ -444,3 +422,6 @@ def st1(spark, d):
 @_query("st1_fresh", "WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS observed_at FROM events GROUP BY user_id, event_type) SELECT * FROM l WHERE observed_at + INTERVAL 12 HOUR > TIMESTAMP '2024-01-29 00:00:00'")
 def st1_fresh(spark, d):
     return fresh(latest(fx.table(spark, d, "events"), ["user_id", "event_type"]), F.lit("2024-01-29 00:00:00").cast("timestamp"))
+
+
+from . import more, pricing, searching  # noqa: E402, F401  each registers its queries

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.deals import decide
+
 
 def latest(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The value of the last observation (ts, then event_id) of each key; the same plan for batch and stream.
@@ -25,3 +27,10 @@ def start_latest(stream: DataFrame, keys: Sequence[str], name: str, checkpoint:
     return (
         latest(stream, keys).writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def start_decisions(offers: DataFrame, values: DataFrame, name: str, checkpoint: str):
+    """Decide over what a stream of offers holds now, against static values, into the in-memory table ``name``; no state."""
+    return (
+        decide(offers, values).writeStream.outputMode("append").format("memory").queryName(name)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
