@@ -22,8 +22,6 @@ BAND = 1.5
 STEP = 1 << 19
 #: Members of a tile that meet in one group; larger tiles are cut into blocks.
 MEMBERS = 256
-#: Turns in which the members of a tile that are not connected meet one of them, before all meet all.
-TURNS = 3
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 
@@ -202,7 +200,7 @@ def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the tiles that hold more than one component by ``links``, with their component, the tile's
     most common one and its number of rows."""
     labels = components(links).withColumnRenamed("node", "doc_id")
-    placed = shared.select("tile", "doc_id").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = shared.select("tile", "doc_id", F.col("head.doc_id").alias("first")).join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     kinds = placed.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("k"))
     tiles = kinds.groupBy("tile").agg(F.max_by("component", F.struct("k", "component")).alias("common"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("size"))
     return written(placed.join(tiles.where("kinds > 1"), "tile"), "open-tiles")
@@ -256,11 +254,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Sets that are equal are one class, held by its smallest id, so copies cost a row each. Classes
     meet only in a tile (see ``tiles``), which unlike texts do not share even where they share long
-    passages. In a tile all are first compared with its smallest, then, in ``TURNS`` turns, what is not
-    connected with another member, so large groups of near copies become one component by few pairs.
-    At last each member outside a tile's most common component meets all members of others, in blocks;
-    sizes and bitmaps decide which pairs are compared exactly. No pair that is linked is left out unless
-    its ends are connected already.
+    passages. In a tile all are first compared with its
+    smallest, so large groups of near copies become one component by few pairs. Then each member outside
+    a tile's most common component meets all members of others, in blocks (a tile that lies within
+    another is left out); sizes and bitmaps decide
+    which pairs are compared exactly. No pair that is linked is left out unless its ends are connected
+    already.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     signed = written(_signed(docs, shingle), "signed")
@@ -276,22 +275,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         crowded.select("doc_id").distinct().join(some, "doc_id")
         .join(classes.select("whole", F.col("doc_id").alias("holder")), "whole").select("doc_id", "holder", "n").distinct(), "holders")
     rows = crowded.join(named, "doc_id").select("tile", F.col("holder").alias("doc_id"), "n").distinct()
-    rows = rows.select("*", F.min(F.struct("doc_id", "n")).over(within).alias("head"), F.max("doc_id").over(within).alias("last"))
-    shared = written(rows.where("head.doc_id <> last").select("tile", "doc_id", "n", "head"), "tiles")
-    wanted = written(shared.select("doc_id").distinct(), "wanted")
+    stats = rows.groupBy("tile").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    every = written(rows.join(stats, "tile"), "tiles")
+    # a tile whose members are all in the one tile that is the largest of each has no pair of its own
+    largest = every.groupBy("doc_id").agg(F.max_by("tile", F.struct("size", "tile")).alias("largest"))
+    needed = every.join(largest, "doc_id").groupBy("tile").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi")).where("lo <> hi OR lo = tile")
+    shared = written(every.join(needed.select("tile"), "tile").select("tile", "doc_id", "n", "head"), "tiles")
+    wanted = written(every.select("doc_id").distinct(), "wanted")
     texts = written(_of(docs, wanted), "texts")
-    signs = written(_bitmaps(texts, shingle).join(shared.select("doc_id", "n").distinct(), "doc_id"), "signs")
-    stars = shared.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    signs = written(_bitmaps(texts, shingle).join(every.select("doc_id", "n").distinct(), "doc_id"), "signs")
+    stars = every.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(_linked(_candidates(stars, signs, percent), texts, shingle, percent), "links")
-    for turn in range(TURNS):
-        rest = _open(shared, links)
-        if rest.isEmpty():
-            break
-        heads = rest.groupBy("tile").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(turn))).alias("head"))
-        pairs = rest.join(heads, "tile").where("component <> head.component").select(
-            F.least("doc_id", "head.doc_id").alias("a"), F.greatest("doc_id", "head.doc_id").alias("b")).distinct()
-        links = written(links.union(_linked(_candidates(pairs, signs, percent), texts, shingle, percent)), "links")
-    rest = written(_open(shared, links).withColumn("lone", F.col("component") != F.col("common")).join(signs, "doc_id"), "open-rows")
+    rest = _open(shared, links).where("doc_id <> first").withColumn("lone", F.col("component") != F.col("common"))  # the first has met all
+    rest = written(rest.join(signs, "doc_id"), "open-rows")
     blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
     left = rest.where("lone").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
