@@ -9,6 +9,7 @@ other columns pass through, and ``n_chars`` follows the text where it is there.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +41,22 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """N-gram Jaccard join (6): five-word shingles, similarity 0.8; the smallest id of each group stays.
 
     Each text of an id is decided on alone: of rows that repeat id and text one stays, and of rows of one
-    id with unlike texts all that copy nothing. Rows without an id stay."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    named = keyed.where("doc_id is not null")
-    found = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
+    id with unlike texts all that copy nothing. Rows without an id stay. A text is known by its id, or, where
+    several rows hold that id, by a hash of both; so only rows that repeat an id are shuffled whole."""
+    named = docs.where("doc_id is not null")
+    repeated = written(named.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_repeated")), "repeated")
+    keyed = named.join(repeated, "doc_id", "left").withColumn(
+        "_key", F.when(F.col("_repeated"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("bigint")))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80)
     groups = written(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct(), "groups")
     groups = groups.join(groups.where("_key <> _group").select("_group").distinct(), "_group", "left_semi")
-    members = written(groups.join(named.select("_key", "doc_id").distinct(), "_key"), "members")
+    members = written(groups.join(keyed.select("_key", "doc_id").distinct(), "_key"), "members")
     first = members.groupBy("_group").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_first"))
     copies = written(members.join(first, "_group").where("_key <> _first").select("_key"), "copies")
-    rest = named.join(copies, "_key", "left_anti").dropDuplicates(["doc_id", "_key"])
-    return rest.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rest = keyed.join(copies, "_key", "left_anti")
+    once = rest.where("_repeated is null")
+    again = rest.where("_repeated").dropDuplicates(["doc_id", "_key"])
+    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in (once, again, docs.where("doc_id is null"))])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
