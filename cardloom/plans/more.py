@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import boxes, text
 from ..operators import catalog, deals, extract
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
@@ -134,6 +134,31 @@ def t13(spark, d):
     return fx.table(spark, d, "events").select("event_id", text.first_json_text(F.col("props"), "$.text", "$.k").alias("text"))
 
 
+# Boxes and confidences
+
+@_query("x30_boxes", """WITH b AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_partkey % 100 AS INT) AS l, CAST(l_suppkey % 80 AS INT) AS t, CAST(l_partkey % 100 + l_linenumber * 40 AS INT) AS r, CAST(l_suppkey % 80 + l_orderkey % 70 AS INT) AS b,
+  CAST(l_suppkey % 200 AS INT) AS l2, CAST(l_partkey % 60 AS INT) AS t2, CAST(l_suppkey % 200 + 50 AS INT) AS r2, CAST(l_partkey % 60 + 40 AS INT) AS b2 FROM lineitem),
+p AS (SELECT *, least(r, r2) - greatest(l, l2) AS w, least(b, b2) - greatest(t, t2) AS h, least((r - l) * (b - t), 2000) AS area, greatest(8, CAST(floor((r - l) * 0.08::DOUBLE) AS INT)) AS x, greatest(8, CAST(floor((b - t) * 0.16::DOUBLE) AS INT)) AS y FROM b)
+SELECT id, line, round(CASE WHEN w > 0 AND h > 0 AND area <> 0 THEN w * h / area::DOUBLE ELSE 0 END, 9) AS overlap, greatest(0, l - x) AS "left", greatest(0, t - y) AS top, least(300, r + x) AS "right", least(120, b + y) AS bottom FROM p""")
+def x30(spark, d):
+    i = lambda x: F.expr(x).cast("int")
+    one = boxes.box(i("l_partkey % 100"), i("l_suppkey % 80"), i("l_partkey % 100 + l_linenumber * 40"), i("l_suppkey % 80 + l_orderkey % 70"))
+    two = boxes.box(i("l_suppkey % 200"), i("l_partkey % 60"), i("l_suppkey % 200 + 50"), i("l_partkey % 60 + 40"))
+    wider = boxes.expand_box(F.col("one"), F.lit(300), F.lit(120))
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), one.alias("one"), two.alias("two"))
+    return rows.select("id", "line", F.round(boxes.overlap_ratio(F.col("one"), F.col("two")), 9).alias("overlap"), wider.alias("w")).select("id", "line", "overlap", "w.*")
+
+
+@_query("x27_confidence", """WITH e AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN value END AS v, event_id % 400 AS score, event_id % 3 = 0 AS trusted FROM events), f AS (SELECT *, CASE WHEN v IS NOT NULL THEN least(greatest(CASE WHEN v > 1 THEN v / 100 ELSE v END, 0), 1) END AS fraction FROM e)
+SELECT event_id, round(fraction, 9) AS fraction, round(CASE WHEN trusted AND score >= 180 THEN least(greatest(coalesce(fraction, 0), 0.8::DOUBLE), 0.99::DOUBLE)
+  ELSE least(greatest(coalesce(fraction, 0) * 0.55::DOUBLE + least(greatest(score / 420::DOUBLE, 0.1::DOUBLE), 0.85::DOUBLE) * 0.45::DOUBLE, 0.1::DOUBLE), 0.99::DOUBLE) END, 9) AS confidence FROM f""")
+def x27(spark, d):
+    k = F.col("event_id")
+    e = fx.table(spark, d, "events").select("event_id", boxes.fraction(F.when(k % 5 > 0, F.col("value"))).alias("fraction"))
+    own = boxes.candidate_confidence(F.coalesce("fraction", F.lit(0.0)), k % 400, F.when(k % 3 == 0, "gibltcg").otherwise("tcgdex"))
+    return e.select("event_id", F.round("fraction", 9).alias("fraction"), F.round(own, 9).alias("confidence"))
+
+
 # Full decisions
 
 def _all_values(spark, d):

@@ -5,8 +5,8 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from cardloom.functions import boxes, values
 from cardloom.functions import search as keys
-from cardloom.functions import values
 from cardloom.operators import deals, extract, references, rerank, search
 from cardloom.streaming.latest import start_decisions
 
@@ -36,6 +36,17 @@ def test_evidence(spark):
     assert got[3].numbers == [] and got[3].price is None
 
 
+def test_boxes(spark):
+    n = lambda *xs: [F.lit(x) for x in xs]
+    assert one(spark, boxes.overlap_ratio(boxes.box(*n(0, 0, 10, 10)), boxes.box(*n(5, 5, 9, 25)))) == 20 / 80
+    assert one(spark, boxes.overlap_ratio(boxes.box(*n(0, 0, 10, 10)), boxes.box(*n(10, 0, 20, 10)))) == 0
+    assert tuple(one(spark, boxes.expand_box(boxes.box(*n(4, 20, 204, 120)), F.lit(210), F.lit(400)))) == (0, 4, 210, 136)
+    assert tuple(one(spark, boxes.absolute_box(*n(100, 200, 0.1, 0.25, 0.5, 2.0)))) == (10, 50, 60, 200)
+    assert tuple(one(spark, boxes.absolute_box(*n(100, 200, 1.5, 0.0, 0.0, 0.0)))) == (99, 0, 100, 1)
+    assert [one(spark, boxes.fraction(F.lit(x).cast("double"))) for x in (None, 0.4, 87.0, 250.0, -1.0)] == [None, 0.4, 0.87, 1.0, 0.0]
+    assert one(spark, boxes.candidate_confidence(F.lit(0.5), F.lit(200), F.lit("gibltcg"))) == 0.8
+
+
 def test_search_keys(spark):
     assert one(spark, keys.search_token(F.lit("Flabébé’s  (holo) #12"))) == "FLABEBES HOLO #12"
     assert one(spark, keys.collector_id(F.lit("TG 015/030"))) == "TG15"
