@@ -16,6 +16,8 @@ from .hashing import mixed, shingle_sets
 
 #: 64-bit words of a bitmap signature.
 BITMAP = 8
+#: Bits an element that the wide bitmap of a large set has at least; sets that need no more than ``BITMAP`` words have none.
+WIDE = 2
 #: Growth of the size bands.
 BAND = 1.5
 #: Bytes of texts whose shingles a task holds at once; hashing takes about 50 times that.
@@ -86,12 +88,20 @@ def tiles(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """A bit per hash value, flipped by each element: two bitmaps differ in no more bits than the sets in elements."""
-    flips = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+def bitmap(own: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """A bit per hash value, flipped by each element: two bitmaps differ in no more bits than the sets in elements.
+
+    With a power of two as ``words``, the exclusive or of a bitmap's halves is the bitmap of half as many."""
+    flips = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def wide_words(size: int) -> int:
+    """Words of the wide bitmap of a set of ``size`` elements; 0: it has none."""
+    words = 1 << max(0, WIDE * size - 1).bit_length()
+    return words // 64 if words > 64 * BITMAP else 0
+
+
 def _per_text(docs: DataFrame, shingle: int, ddl: str, maker, fresh: bool = False) -> DataFrame:
     """Columns made from the sets of each document; ``fresh``: by what ``maker`` gives in each task."""
 
@@ -155,14 +165,15 @@ def _tiled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _bitmaps(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per document the bitmap of its set."""
+    """Per document the bitmap of its set and, of a large set, the wide one."""
     names = [f"b{i}" for i in range(BITMAP)]
 
     def make(sets: list[np.ndarray]) -> dict[str, pa.Array]:
         maps = np.stack([bitmap(s) for s in sets]) if sets else np.zeros((0, BITMAP), np.int64)
-        return {c: pa.array(maps[:, i].copy()) for i, c in enumerate(names)}
+        wide = [bitmap(s, w) if (w := wide_words(len(s))) else None for s in sets]
+        return {c: pa.array(maps[:, i].copy()) for i, c in enumerate(names)} | {"wide": pa.array(wide, pa.list_(pa.int64()))}
 
-    return _per_text(docs, shingle, ", ".join(f"{c} bigint" for c in names), make)
+    return _per_text(docs, shingle, ", ".join(f"{c} bigint" for c in names) + ", wide array<bigint>", make)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,6 +201,27 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _folded(wide: Column, words: Column) -> Column:
+    """A wide bitmap as one of ``words`` words: that many, or half as many, as it has."""
+    halves = F.zip_with(F.slice(wide, 1, words), F.slice(wide, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(wide) > words, halves).otherwise(wide)
+
+
+def _not_told_apart(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that wide bitmaps allow, and those without them on either side.
+
+    Sizes of pairs that come here are alike, so one bitmap has twice the other's words at most; other
+    sizes are those of further texts of an id, which tell nothing."""
+    one = signs.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("wide").alias("v"))
+    two = signs.select(F.col("doc_id").alias("b"), "n", "wide")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    words = F.least(F.size("v"), F.size("wide"))
+    bits = F.aggregate(
+        F.zip_with(_folded(F.col("v"), words), _folded(F.col("wide"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    untold = F.col("v").isNull() | F.col("wide").isNull() | (F.size("v") > 2 * words) | (F.size("wide") > 2 * words)
+    return both.where(F.when(untold, True).otherwise(bits * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))).select("a", "b")
+
+
 def _candidates(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that sizes and bitmaps allow."""
     both = pairs.alias("p").join(signs.alias("x"), F.expr("p.a = x.doc_id")).join(signs.alias("y"), F.expr("p.b = y.doc_id"))
@@ -211,10 +243,11 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of documents whose sets are alike, by exact intersection of sorted arrays.
 
-    Texts of these pairs alone are shuffled: compressed they are a fraction of their sets' hashes."""
+    Only pairs that wide bitmaps leave are compared, and only their texts are shuffled: compressed they are
+    a fraction of their sets' hashes."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,8 +263,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
         give_back()
 
-    pairs = written(pairs.select("a", "b"), "pairs")
-    needed = _of(texts, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed"))
+    pairs = written(_not_told_apart(written(pairs.select("a", "b"), "allowed"), signs, percent), "pairs")
+    needed = _of(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed"))
     one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint")
@@ -282,12 +315,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     needed = every.join(largest, "doc_id").groupBy("tile").agg(F.min("largest").alias("lo"), F.max("largest").alias("hi")).where("lo <> hi OR lo = tile")
     shared = written(every.join(needed.select("tile"), "tile").select("tile", "doc_id", "n", "head"), "tiles")
     wanted = written(every.select("doc_id").distinct(), "wanted")
-    texts = written(_of(docs, wanted), "texts")
-    signs = written(_bitmaps(texts, shingle).join(every.select("doc_id", "n").distinct(), "doc_id"), "signs")
+    signs = written(_bitmaps(_of(docs, wanted), shingle).join(every.select("doc_id", "n").distinct(), "doc_id"), "signs")
     stars = every.where("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(_linked(_candidates(stars, signs, percent), texts, shingle, percent), "links")
+    narrow = signs.drop("wide")
+    links = written(_linked(_candidates(stars, narrow, percent), signs, docs, shingle, percent), "links")
     rest = _open(shared, links).where("doc_id <> first").withColumn("lone", F.col("component") != F.col("common"))  # the first has met all
-    rest = written(rest.join(signs, "doc_id"), "open-rows")
+    rest = written(rest.join(narrow, "doc_id"), "open-rows")
     blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
     left = rest.where("lone").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
@@ -295,7 +328,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.component <> y.component AND (NOT y.lone OR x.doc_id < y.doc_id)") & _alike("x", "y", percent))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     )
-    more = written(_linked(apart, texts, shingle, percent), "links")
+    more = written(_linked(apart, signs, docs, shingle, percent), "links")
     whole = written(components(links.union(more)), "components")
     of_class = written(
         classes.select("whole", "doc_id").join(whole, F.col("doc_id") == F.col("node"), "left")

@@ -251,6 +251,48 @@ def test_near_duplicates(spark, docs):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_wide_bitmaps_fold_and_bound():
+    rng = np.random.default_rng(5)
+    for n in (100, 300, 700, 5000):
+        own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        words = jaccard.wide_words(len(own))
+        assert (words == 0) == (n <= 256)
+        wide = jaccard.bitmap(own, words or 16)
+        half = len(wide) // 2
+        assert (wide[:half] ^ wide[half:] == jaccard.bitmap(own, half)).all()
+        other = np.unique(np.concatenate((own[n // 10 :], rng.integers(0, 2**63, n // 10, dtype=np.uint64))))
+        bits = sum(int(x).bit_count() for x in (wide ^ jaccard.bitmap(other, len(wide))).view(np.uint64))
+        assert bits <= len(np.setxor1d(own, other))
+
+
+def test_near_duplicates_of_long_texts_at_the_threshold(spark):
+    """Sizes about a doubling of the bitmap, and parts changed so that some pairs link and some just do not."""
+    rng = np.random.default_rng(9)
+    rows, i = [], 0
+    for n in (255, 262, 505, 530, 1020, 1040, 2100):
+        words = [f"w{n}x{j}" for j in range(n)]
+        for share in (0, 0.03, 0.09, 0.1, 0.105, 0.11, 0.115, 0.12, 0.13, 0.2):
+            cut = int(n * share)
+            at = int(rng.integers(0, n - cut + 1))
+            rows.append((i, " ".join(words[:at] + [f"n{i}x{j}" for j in range(cut)] + words[at + cut :])))
+            i += 1
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                ra, rb = root[a], root[b]
+                root = {d: min(ra, rb) if r in (ra, rb) else r for d, r in root.items()}
+    # ids of two texts, large and small: wide bitmaps of the large ones tell nothing of the small ones
+    small = " ".join(f"s{j}" for j in range(30))
+    rows += [(900, small), (901, small + " more")] + [(d, " ".join(f"v{d}x{j}" for j in range(600))) for d in (900, 901)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    found = {(r.doc_id, r.component_id) for r in got.collect()}
+    assert {x for x in found if x[0] < 900} == set(root.items())
+    assert len(set(root.values())) > 7
+    assert (901, 900) in found
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (3, 4)} == {3}
