@@ -102,6 +102,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import linked_counts
+
+    return linked_counts(documents(spark, sf_dir).select("doc_id", "text"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_lattice_scores": op1_lattice_scores,
     "op2_byte_bpe": op2_byte_bpe,
@@ -114,6 +120,7 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_transport_streams": op10_transport_streams,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
