@@ -108,6 +108,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_counts(documents(spark, sf_dir).select("doc_id", "text"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_texts
+
+    return pack_texts(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_lattice_scores": op1_lattice_scores,
     "op2_byte_bpe": op2_byte_bpe,
@@ -121,6 +127,7 @@ QUERIES = {
     "op10_transport_streams": op10_transport_streams,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_token_alignment": op12_token_alignment,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
