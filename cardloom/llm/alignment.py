@@ -11,8 +11,8 @@ import hashlib
 import os
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, parts, small_batches, written
-from .pieces import space_pieces
+from .pieces import PieceEncoder, space_pieces
 
 #: Distinct pieces of texts that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pairs with at least this share of all counted are sent to every task: so many at most.
 FREQUENT = 100_000
 
@@ -61,24 +61,8 @@ class Vocabularies:
         self.same = np.array([plain.get(x, -1) if i not in special else -1 for i, x in enumerate(self.bytes_a)], np.int64)
         self.space = plain[b" "]
 
-    def encode_a(self, strings: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.a.encode_batch_fast(strings, add_special_tokens=False)]
-
-
-def groups_of(a: list[int], b: list[int], lengths_a: list[int], lengths_b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """Cut two id streams of the same bytes where tokens of both end."""
-    x = y = j = 0
-    some_a, some_b = [], []
-    for i in a:
-        some_a.append(i)
-        x += lengths_a[i]
-        while y < x:
-            some_b.append(b[j])
-            y += lengths_b[b[j]]
-            j += 1
-        if x == y:
-            yield some_a, some_b
-            some_a, some_b = [], []
+    def encode_a(self, text: str) -> np.ndarray:
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 def spans(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +90,10 @@ class Aligner:
 
     def __init__(self, vocabularies: Vocabularies, most: int = REMEMBERED):
         self.v, self.most = vocabularies, most
-        self.lengths_a, self.lengths_b = (list(map(len, x)) for x in (self.v.bytes_a, self.v.bytes_b))
+        self.encoder = PieceEncoder(vocabularies.encode_a, 50)
+        self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.v.bytes_a, self.v.bytes_b))
+        self.wide = len(self.lengths_a) * len(self.lengths_b)
+        self.names = list(map(str, range(max(len(self.lengths_a), len(self.lengths_b)))))
         self.vector = np.zeros(len(self.v.bytes_a), np.int64)
         self.clear()
 
@@ -118,38 +105,61 @@ class Aligner:
         self.pairs, self.pair_uses, self.pair_ends = array("q"), array("q"), array("q", [0])
 
     def learn(self, keys: list[str]) -> None:
-        """A key is a piece as cut, or, if a text begins with white space, its first piece behind the space that both put before it."""
+        """A key is a piece as cut, or, if a text begins with white space, its first piece behind the space that both put before it.
+
+        All pieces are aligned at once: their bytes stand one after another, so the running ends of A's and of B's
+        tokens are places in the same bytes, and those that both have are where groups end."""
         strings = [k if k[0] in " \n" else " " + k for k in keys]
+        made = self.encoder.encode_strings(strings)
         many_b = self.v.b.encode([k[1:] if k[0] == " " else k for k in keys], num_threads=1)
-        for key, string, a, b in zip(keys, strings, self.v.encode_a(strings), many_b, strict=True):
+        for i, key in enumerate(keys):
             if key[0] == "\n":  # B put a space before the line end
-                b = b[1:] if b[:1] == [self.v.space] else []
-            self.known[key] = len(self.texts)
-            self.add(string.encode(), a, b)
-
-    def add(self, data: bytes, a: list[int], b: list[int]) -> None:
-        said, groups, links, uses = [], 0, 0, Counter()
-        whole = data == b"".join([self.v.bytes_a[i] for i in a]) == b"".join([self.v.bytes_b[i] for i in b])
-        if whole:
-            for some_a, some_b in groups_of(a, b, self.lengths_a, self.lengths_b):
-                said.append(",".join(map(str, some_a)) + "|" + ",".join(map(str, some_b)))
-                groups += 1
-                links += len(some_a) * len(some_b)
-                for i, m in Counter(some_a).items():
-                    for j, n in Counter(some_b).items():
-                        uses[i, j] += m * n
-        for (i, j), n in uses.items():
-            if self.v.same[i] == j:
-                self.ids.append(i)
-                self.id_uses.append(n)
-            else:
-                self.pairs.append(i * len(self.lengths_b) + j)
-                self.pair_uses.append(n)
-        self.id_ends.append(len(self.ids))
-        self.pair_ends.append(len(self.pairs))
-        self.texts.append(";".join(said))
-        self.whole.append(whole)
-        self.sizes.extend((len(a), len(b), groups, links))
+                many_b[i] = many_b[i][1:] if many_b[i][:1] == [self.v.space] else []
+        many_a = [made[x] for x in strings]
+        data = [x.encode() for x in strings]
+        count = lambda x: np.fromiter(map(len, x), np.int64, len(x))
+        n_a, n_b, n_bytes = count(many_a) // 4, count(many_b), count(data)
+        a = np.frombuffer(b"".join(many_a), "<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(many_b), np.int64, int(n_b.sum()))
+        piece_a, piece_b = np.repeat(np.arange(len(keys)), n_a), np.repeat(np.arange(len(keys)), n_b)
+        whole = np.ones(len(keys), bool)
+        for ids, piece, lengths, entries in ((a, piece_a, self.lengths_a, self.v.bytes_a), (b, piece_b, self.lengths_b, self.v.bytes_b)):
+            whole &= np.bincount(piece, lengths[ids], len(keys)) == n_bytes
+            said = [entries[i] for i in ids.tolist()]
+            if b"".join(said) != b"".join(data):
+                ends = np.searchsorted(piece, np.arange(len(keys) + 1))
+                whole &= np.array([b"".join(said[i:j]) == x for i, j, x in zip(ends[:-1], ends[1:], data, strict=True)], bool)
+        a, piece_a = a[whole[piece_a]], piece_a[whole[piece_a]]
+        b, piece_b = b[whole[piece_b]], piece_b[whole[piece_b]]
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        first_a, first_b = (np.searchsorted(g, np.arange(len(ends) + 1)) for g in (group_a, group_b))
+        size_a, size_b = np.diff(first_a), np.diff(first_b)
+        piece = piece_a[first_a[:-1]]  # of each group
+        place, of = spans(first_b, group_a)  # each token of A with each of B's in its group
+        code, uses = summed(piece_a[of] * self.wide + a[of] * len(self.lengths_b) + b[place], np.ones(len(of), np.int64))
+        owner, code = np.divmod(code, self.wide)
+        own = self.v.same[code // len(self.lengths_b)] == code % len(self.lengths_b)
+        for values, times, offsets, kept, found in (
+                (self.ids, self.id_uses, self.id_ends, own, code // len(self.lengths_b)), (self.pairs, self.pair_uses, self.pair_ends, ~own, code)):
+            offsets.frombytes((len(values) + np.searchsorted(owner[kept], np.arange(1, len(keys) + 1))).astype(np.int64).tobytes())
+            values.frombytes(found[kept].tobytes())
+            times.frombytes(uses[kept].tobytes())
+        numbers = (n_a * whole, n_b * whole, np.bincount(piece, minlength=len(keys)), np.bincount(piece, size_a * size_b, len(keys)))
+        self.sizes.frombytes(np.stack(numbers, axis=1).astype(np.int64).tobytes())
+        self.whole.frombytes(whole.astype(np.int8).tobytes())
+        self.say(a, b, first_a, first_b, (size_a == 1) & (size_b == 1), np.searchsorted(piece, np.arange(len(keys) + 1)))
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+
+    def say(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, single: np.ndarray, ends: np.ndarray) -> None:
+        """The groups of pieces as texts."""
+        said_a, said_b = [self.names[i] for i in a.tolist()], [self.names[i] for i in b.tolist()]
+        groups = [said_a[i] + "|" + said_b[j] for i, j in zip(first_a[:-1].tolist(), first_b[:-1].tolist(), strict=True)]
+        for g in np.flatnonzero(~single).tolist():
+            groups[g] = ",".join(said_a[first_a[g] : first_a[g + 1]]) + "|" + ",".join(said_b[first_b[g] : first_b[g + 1]])
+        at = ends.tolist()
+        self.texts += [";".join(groups[i:j]) if j - i > 1 else groups[i] if j > i else "" for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def align(self, texts: list[str | None]) -> dict:
         """Numbers, groups, and distinct linked ids and pairs with their uses, of each text; adds to ``vector``
@@ -179,11 +189,10 @@ class Aligner:
         kinds, uses = np.unique(text[keep] * len(self.texts) + at[keep], return_counts=True)
         text, at = np.divmod(kinds, max(1, len(self.texts)))
         out = {"numbers": numbers, "groups": groups}
-        wide = len(self.lengths_a) * len(self.lengths_b)
         for name, values, times, offsets in (("ids", self.ids, self.id_uses, self.id_ends), ("pairs", self.pairs, self.pair_uses, self.pair_ends)):
             place, of = spans(view(offsets), at)
-            found, times = summed(text[of] * wide + view(values)[place], view(times)[place] * uses[of])
-            texts_of, found = np.divmod(found, wide)
+            found, times = summed(text[of] * self.wide + view(values)[place], view(times)[place] * uses[of])
+            texts_of, found = np.divmod(found, self.wide)
             out[name] = np.searchsorted(texts_of, np.arange(n + 1)), found, times
         self.vector += np.bincount(out["ids"][1], minlength=len(self.vector))
         return out
@@ -191,7 +200,7 @@ class Aligner:
 
 _SCHEMA = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, groups_sha256 string, "
            "ids array<int>, id_uses array<bigint>, pairs array<bigint>, pair_uses array<bigint>, vector binary")
-_KNOWN: dict[tuple[int, int], Vocabularies] = {}
+_KNOWN: dict[tuple[int, int], Aligner] = {}  # a worker's
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -215,8 +224,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = zlib.crc32(files.value[0]), zlib.crc32(files.value[1])
         if key not in _KNOWN:
-            _KNOWN[key] = Vocabularies(*files.value)
-        aligner, row = Aligner(_KNOWN[key]), TaskContext.get().partitionId() << 33
+            _KNOWN[key] = Aligner(Vocabularies(*files.value))
+        aligner, row = _KNOWN[key], TaskContext.get().partitionId() << 33
+        aligner.vector[:] = 0
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         for batch in batches:
             for part in parts(batch, batch.column(1), 4 << 20):

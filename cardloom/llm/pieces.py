@@ -51,7 +51,7 @@ class PieceEncoder:
     def _one(self, text: str) -> bytes:
         return self.ids_of(text).astype("<u4").tobytes() if text else b""
 
-    def _many(self, strings: Sequence[str]) -> dict[str, bytes]:
+    def encode_strings(self, strings: Sequence[str]) -> dict[str, bytes]:
         """The ids of these strings, each as it stands in its text or at its beginning."""
         out, plain = {}, []
         for s in strings:
@@ -74,7 +74,7 @@ class PieceEncoder:
         known = self.known
         bases = [p for p in missing.difference(marked).union([p[:-1] for p in marked]) if p not in known]
         strings = list(map(as_in_text, bases))
-        made = self._many([*heads.union(strings)])
+        made = self.encode_strings([*heads.union(strings)])
         out = {p: made[s] for p, s in zip(bases, strings, strict=True)}
         for p in marked:
             base = p[:-1]
