@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,5 +101,16 @@ def name_score(name: Column, tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0), lambda s, t: s + F.when(F.contains(name, t), 38).otherwise(-22))
 
 
-def total(*parts: Column) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+def without_terms(text: Column, terms: Column) -> Column:
+    """A text of words without the first place of each term, in turn, where it stands as whole words."""
+    def cut(left: Column, term: Column) -> Column:
+        wanted = F.concat(F.lit(" "), term, F.lit(" "))
+        at = F.instr(left, wanted)
+        return F.when(at == 0, left).otherwise(F.concat(F.substring(left, F.lit(1), at), F.substring(left, at + F.length(wanted), F.length(left))))
+
+    return F.btrim(F.aggregate(F.coalesce(terms, F.array().cast("array<string>")), F.concat(F.lit(" "), text, F.lit(" ")), cut))
+
+
+def dynamic_terms(text: Column) -> Column:
+    """Codes of sets like SV8A or MSV8A in a text, in order."""
+    return F.regexp_extract_all(text, F.lit(r"\b[A-Z]?SV[0-9]{1,2}[A-Z]\b"), 0)

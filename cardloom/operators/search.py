@@ -1,97 +1,237 @@
-"""Searching a catalogue by texts: candidates by number, set or name, their score, and the best of each query."""
+"""Searching a catalogue by texts: what a text asks for, candidates by set, number or name, their score, and the best of each query."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.search import any_token, collector_id, direct_ids, first_digits, in_bucket, name_score, parse_query, recency, search_token
+from ..functions.search import (
+    ASIAN, WESTERN, any_token, collector_id, direct_ids, dynamic_terms, first_digits, in_bucket, name_score, parse_query, recency, search_token, without_terms)
+from ..functions.text import grams
+from ..sources.scratch import kept
+from .blocks import block_join
 
+#: Points of a result for being of the same number, or the same digits, of a set asked for, of the set named
+#: first, in the language asked for or its kind, in English where no set is preferred, and of a source.
+POINTS = {"number": 180, "digits": 80, "known": 140, "preferred_set": 28, "whole": 45, "language": 46, "bucket": 24, "english": 6}
+SOURCE_POINTS = {"tcgtracking": 4, "pokemontcg": 10}
+#: The source whose cards are looked at for a number alone.
+NUMBER_SOURCE = "pokemontcg"
 
-def parsed_queries(queries: DataFrame) -> DataFrame:
-    """``query_id``, ``query`` with ``number``, ``tokens`` and the ``cleaned`` text of its tokens."""
-    found = queries.withColumn("_p", parse_query(F.col("query")))
-    return found.select(*queries.columns, F.col("_p.number").alias("number"), F.col("_p.tokens").alias("tokens"), F.array_join("_p.tokens", " ").alias("cleaned"))
+
+def set_hits(queries: DataFrame, aliases: DataFrame, words: int = 5) -> DataFrame:
+    """Groups of set names that a query names: ``query_id``, ``grp``, ``term``, ``place``.
+
+    ``aliases``: ``grp``, ``term``. A term stands in a text as whole words; runs of up to ``words`` words meet terms by
+    equality. Each group counts once, by its longest term, then the earlier; ``place`` ranks the groups likewise. Codes
+    of the form SV8A, with a letter before them or not, are groups of their own without being listed."""
+    text = search_token(F.col("query"))
+    parts = F.split(text, " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i + n - 1 <= F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, n), " ").alias("term"), i.alias("at")))))
+    terms = aliases.select(search_token(F.col("term")).alias("term"), "grp").where("term <> ''").distinct()
+    listed = queries.select("query_id", F.inline(runs)).join(terms, "term").select("query_id", "grp", "term", "at")
+    codes = queries.select("query_id", text.alias("text"), F.posexplode(dynamic_terms(text)).alias("i", "term"))
+    at = F.size(F.split(F.substring("text", F.lit(1), F.instr("text", F.col("term"))), " "))
+    dynamic = codes.select("query_id", F.concat(F.lit("code "), "i", F.lit(" "), "term").alias("grp"), "term", at.alias("at"))
+    size = F.length("term")
+    first = listed.unionByName(dynamic).groupBy("query_id", "grp").agg(F.min(F.struct((-size).alias("size"), "at", "term")).alias("h"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("h.size", "h.at", "grp"))
+    return first.select("query_id", "grp", "h.term", place.alias("place"))
+
+
+def hit_aliases(hits: DataFrame, aliases: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Sets that a query asks for, in order of its groups: ``query_id``, ``language``, ``set_id``, ``label``, ``at``.
+
+    ``aliases``: ``grp``, ``pos``, ``language``, ``set_id``, ``label``. A code means its sets in ``codes`` (``code``, ``pos``,
+    ``language``, ``set_id``, ``label``), or, where it is not there, the Japanese set of that name."""
+    entry = ["query_id", "place", "pos", "language", "set_id", "label"]
+    named = hits.join(aliases.select("grp", "pos", "language", "set_id", "label").distinct(), "grp").select(*entry)
+    code = F.regexp_extract("term", "(SV[0-9]{1,2}[A-Z])$", 1)
+    coded = hits.where("grp like 'code %'").withColumn("code", code)
+    own = F.concat(F.expr("left(code, length(code) - 1)"), F.lower(F.expr("right(code, 1)")))
+    if codes is not None:
+        named = named.unionByName(coded.join(codes, "code").select(*entry))
+        coded = coded.join(codes.select("code").distinct(), "code", "left_anti")
+    japanese = coded.select("query_id", "place", F.lit(0).alias("pos"), F.lit("ja").alias("language"), own.alias("set_id"), own.alias("label"))
+    every = named.unionByName(japanese).groupBy("query_id", "language", "set_id").agg(F.min(F.struct("place", "pos", "label")).alias("h"))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("h.place", "h.pos", "language", "set_id"))
+    return every.select("query_id", "language", "set_id", "h.label", at.alias("at"))
+
+
+def parsed_queries(queries: DataFrame, aliases: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """What each query (``query_id``, ``query``) asks for: ``number``, ``digits``, ``tokens`` of a name and ``cleaned`` (them as
+    one text), ``set_token`` (the first set term), ``preferred_set`` (the set whose id that term is, or ends in), and
+    ``sets``, an array of the aliases of all set terms in their order.
+
+    Set terms are removed from the text before the number and the name are read, longest first, each where it first
+    stands; a term within one removed already stands there no more."""
+    text = search_token(F.col("query"))
+    hits = set_hits(queries, aliases)
+    terms = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("_t"))
+    wanted = hit_aliases(hits, aliases, codes).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "set_id", "language", "label"))).alias("_s"))
+    found = queries.join(terms, "query_id", "left").join(wanted, "query_id", "left")
+    found = found.withColumn("_p", parse_query(without_terms(text, F.transform("_t", lambda t: t["term"]))))
+    first = F.coalesce(F.try_element_at("_t", F.lit(1))["term"], F.lit(""))
+    sets = F.coalesce("_s", F.array().cast("array<struct<at:int,set_id:string,language:string,label:string>>"))
+    meant = F.filter(sets, lambda s: (search_token(s["set_id"]) != "") & F.endswith(first, search_token(s["set_id"])))
+    return found.select(
+        *queries.columns, text.alias("text"), F.col("_p.number").alias("number"), first_digits(F.col("_p.number")).alias("digits"), F.col("_p.tokens").alias("tokens"),
+        F.array_join("_p.tokens", " ").alias("cleaned"), first.alias("set_token"), F.coalesce(F.try_element_at(meant, F.lit(1))["set_id"], F.lit("")).alias("preferred_set"), sets.alias("sets"))
 
 
 def keyed_cards(cards: DataFrame) -> DataFrame:
-    """Cards with their search keys."""
-    return cards.withColumns({
-        "name_key": search_token(F.col("name")), "set_key": search_token(F.col("set_id")),
+    """Cards (``id``, ``name``, ``set_id``, ``local_id``, ``language`` and, if there, ``set_name``, ``source``) with their search keys."""
+    extra = {c: F.lit(None).cast("string") for c in ("set_name", "source") if c not in cards.columns}
+    return cards.withColumns(extra).withColumns({
+        "name_key": search_token(F.col("name")), "set_key": search_token(F.coalesce("set_name", "set_id")),
         "number_key": collector_id(F.col("local_id")), "digits_key": first_digits(F.col("local_id"))})
 
 
-def alias_hits(queries: DataFrame, aliases: DataFrame, words: int = 5) -> DataFrame:
-    """Aliases (``term``, ``set_id``) whose term stands in a query as whole words: runs of up to ``words`` words meet
-    terms by equality. ``place`` ranks the hits of a query, longest term first, then the earlier."""
-    parts = F.split(search_token(F.col("query")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i + n - 1 <= F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, n), " ").alias("term"), i.alias("at")))))
-    found = queries.select("query_id", F.inline(runs)).groupBy("query_id", "term").agg(F.min("at").alias("at"))
-    hits = found.join(aliases.select(search_token(F.col("term")).alias("term"), "set_id"), "term")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "at", "set_id")
-    return hits.withColumn("place", F.row_number().over(w)).select("query_id", "term", "set_id", "at", "place")
+def same_number(wanted: Column, digits: Column, number_key: Column, digits_key: Column) -> Column:
+    return (wanted == number_key) | ((digits != "") & (digits == digits_key))
+
+
+def wanted_sets(parsed: DataFrame, preferred: str | None = None, bucket: str | None = None) -> DataFrame:
+    """Sets in which a query's number is looked up, each with a language: the aliases of a query, and those of the same kind of
+    language in the ``preferred`` one. ``at`` orders them: the preferred language, then its ``bucket``, then English."""
+    base = parsed.where("number <> ''").select("query_id", "number", "digits", "tokens", F.inline("sets"))
+    kind = lambda x: F.when(x.isin(*ASIAN), "asian").when(x.isin(*WESTERN), "western")
+    if preferred:
+        more = base.where((kind(F.col("language")) == kind(F.lit(preferred))) & (F.col("language") != preferred))
+        base = base.unionByName(more.withColumn("language", F.lit(preferred)).withColumn("at", F.col("at") + 1_000_000))
+    value = F.when(F.col("language") == F.lit(preferred), 3).when(in_bucket(F.col("language"), bucket) if bucket else F.lit(False), 2).when(F.col("language") == "en", 1).otherwise(0)
+    once = base.groupBy("query_id", "number", "digits", "tokens", "language", "set_id").agg(F.min("at").alias("_at"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(value), "_at"))
+    return once.withColumn("at", order).drop("_at")
 
 
-def exact_set(parsed: DataFrame, hits: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards of a query's sets whose number, or digits, are the query's."""
-    wanted = parsed.where("number <> ''").join(hits.select("query_id", "set_id").distinct(), "query_id").select("query_id", "set_id", "number", first_digits(F.col("number")).alias("digits"))
-    same = (F.col("number") == F.col("number_key")) | ((F.col("digits") != "") & (F.col("digits") == F.col("digits_key")))
-    return wanted.join(cards, "set_id").where(same).select("query_id", "id")
+def direct_cards(wanted: DataFrame, cards: DataFrame) -> DataFrame:
+    """Cards whose id is made of a query's set and number, as it is or padded: ``query_id``, ``id``. Queries without a name
+    take the first set, in the order of ``wanted``, that has one. ``cards``: ``card_key``, ``id``, ``language``."""
+    keys = wanted.select("query_id", "at", "language", F.size("tokens").alias("n"), F.explode(direct_ids(F.col("set_id"), F.col("number"))).alias("card_key"))
+    found = keys.join(cards.select("card_key", "id", "language"), ["card_key", "language"])
+    first = found.withColumn("_first", F.min("at").over(Window.partitionBy("query_id")))
+    return first.where("n > 0 or at = _first").select("query_id", "id").distinct()
 
 
-def direct_cards(parsed: DataFrame, hits: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards whose id is made of a query's set and number, as it is or padded. ``cards``: card_key, id."""
-    wanted = parsed.where("number <> ''").join(hits.select("query_id", "set_id").distinct(), "query_id")
-    return wanted.select("query_id", F.explode(direct_ids(F.col("set_id"), F.col("number"))).alias("card_key")).join(cards.select("card_key", "id"), "card_key").select("query_id", "id").distinct()
+def exact_set(wanted: DataFrame, cards: DataFrame) -> DataFrame:
+    """Cards of the wanted sets in their languages whose number, or digits, are the query's."""
+    same = same_number(F.col("number"), F.col("digits"), F.col("number_key"), F.col("digits_key"))
+    return wanted.join(cards, ["set_id", "language"]).where(same).select("query_id", "id").distinct()
 
 
-def collector_only(parsed: DataFrame, hits: DataFrame) -> DataFrame:
+def is_number_only(parsed: DataFrame) -> DataFrame:
     """Queries that name a number and nothing else."""
-    return parsed.where((F.col("number") != "") & (F.size("tokens") == 0)).join(hits.select("query_id"), "query_id", "left_anti")
+    return parsed.where((F.col("number") != "") & (F.size("tokens") == 0) & (F.size("sets") == 0))
+
+
+def number_cards(parsed: DataFrame, cards: DataFrame) -> DataFrame:
+    """For queries of a number alone, that source's cards of the number in sets of which the query names the id."""
+    own = cards.where(F.col("source") == NUMBER_SOURCE)
+    terms = own.select(F.col("set_id").alias("grp"), F.col("set_id").alias("term")).distinct()
+    alone = is_number_only(parsed)
+    hits = set_hits(alone.select("query_id", "query"), terms).select("query_id", F.col("grp").alias("set_id"))
+    return alone.join(hits, "query_id").join(own.select("id", "set_id", "number_key"), "set_id").where("number = number_key").select("query_id", "id").distinct()
+
+
+def contained(needles: DataFrame, hay: DataFrame, text: str, block: int = 20_000) -> DataFrame:
+    """Rows of ``hay`` whose column ``text`` contains a ``needle`` of ``needles``, with all columns of both.
+
+    A needle is looked up by one of its runs of three letters (or itself, if shorter): the one that the fewest texts
+    have. A run that very many rows share is dealt in blocks, so no run is one task's work. Empty needles find nothing."""
+    needles = needles.where("needle <> ''")
+    runs = needles.select("needle").distinct().select("needle", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(3)))).alias("gram"))
+    every = F.array_distinct(F.flatten(F.array(*(grams(F.col(text), F.lit(n)) for n in (1, 2, 3)))))
+    runs = kept(runs, "runs")
+    lists = hay.withColumn("gram", F.explode(every)).join(runs.select("gram").distinct(), "gram", "left_semi")
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = runs.join(sizes, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("needle", "r.gram")
+    rare = kept(rare, "rare")
+    lists = lists.join(rare.select("gram").distinct(), "gram", "left_semi")
+    return block_join(needles.join(rare, "needle"), lists, ["gram"], block).where(F.contains(text, F.col("needle"))).drop("gram", "needle")
+
+
+def product_matches(parsed: DataFrame, cards: DataFrame) -> DataFrame:
+    """All cards of a query's number, or its digits, where it has one, whose name contains any of its tokens, where it has
+    some: ``query_id``, ``id``. A query of neither finds nothing."""
+    numbered = same_number_pairs(parsed.select("query_id", "number", "digits", "tokens"), cards.select("id", "name_key", "number_key", "digits_key"))
+    by_number = numbered.where((F.size("tokens") == 0) | any_token(F.col("name_key"), F.col("tokens"))).select("query_id", "id")
+    needles = parsed.where("number = ''").select("query_id", F.explode("tokens").alias("needle"))
+    return by_number.unionByName(contained(needles, cards.select("id", "name_key"), "name_key").select("query_id", "id").distinct())
+
+
+def same_number_pairs(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """Queries and cards of the same number or digits, all columns of both, each pair once."""
+    queries = queries.where("number <> ''")
+    by_digits = block_join(queries.withColumn("_k", F.col("digits")), cards.withColumn("_k", F.col("digits_key")).where("_k <> ''"), ["_k"])
+    by_number = block_join(queries.withColumn("_k", F.col("number")), cards.withColumn("_k", F.col("number_key")), ["_k"]).where("digits <> digits_key")
+    return by_digits.unionByName(by_number).drop("_k")
 
 
 def broad(parsed: DataFrame, cards: DataFrame) -> DataFrame:
-    """Cards of a query's number, with any of its name tokens where it has some; queries without a number meet cards by
-    words of their names."""
-    by_number = parsed.where("number <> ''").join(cards, F.col("number") == F.col("number_key")).where(
-        (F.size("tokens") == 0) | any_token(F.col("name_key"), F.col("tokens"))).select("query_id", "id")
-    words = cards.select("id", F.explode(F.array_distinct(F.split("name_key", " "))).alias("word"))
-    by_word = parsed.where("number = ''").select("query_id", F.explode(F.array_distinct("tokens")).alias("word")).join(words, "word").select("query_id", "id").distinct()
-    return by_number.unionByName(by_word)
+    """Queries with cards of their number or digits, or with a name that contains the first token (of two letters at least; else
+    all tokens; else the text): all columns of both, each pair once."""
+    numbered = same_number_pairs(parsed, cards)
+    first = F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit(""))
+    needle = F.when(F.length(first) >= 2, first).when(F.length("cleaned") >= 2, F.col("cleaned")).when(F.length("text") >= 2, F.col("text")).otherwise("")
+    named = contained(parsed.withColumn("needle", needle), cards, "name_key")
+    other = (F.col("number") == "") | ~same_number(F.col("number"), F.col("digits"), F.col("number_key"), F.col("digits_key"))
+    return numbered.unionByName(named.where(other).select(*numbered.columns))
 
 
-def in_known_set(pairs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Pairs whose card's set is one of the query's."""
-    return pairs.join(hits.select("query_id", "set_id").distinct(), ["query_id", "set_id"], "left_semi")
+def in_known_set(sets: Column, set_id: Column, set_key: Column) -> Column:
+    """Whether a card's set is one of a query's: by its id, or as its name holds the alias's label."""
+    return F.exists(sets, lambda s: (s["set_id"] == set_id) | ((search_token(s["label"]) != "") & F.contains(set_key, search_token(s["label"]))))
 
 
-def score(known: Column, preferred: str | None = None, bucket: str | None = None) -> Column:
+def score(preferred: str | None = None, bucket: str | None = None) -> Column:
     """The score of a card for a parsed query, with the columns of both."""
+    p, none = POINTS, F.lit(0)
     same = F.col("number") == F.col("number_key")
-    digits = first_digits(F.col("number")) == F.col("digits_key")
-    number = F.when(F.col("number") == "", 0).when(same, 180).when(digits, 80).otherwise(0)
-    whole = F.when((F.col("cleaned") != "") & F.contains("name_key", F.col("cleaned")), 45).otherwise(0)
-    language = F.when(F.col("language") == "en", 6).otherwise(0)
-    language = F.when(in_bucket(F.col("language"), bucket), 24).otherwise(language) if bucket else language
-    language = F.when(F.col("language") == preferred, 46).otherwise(language) if preferred else language
-    new = F.when((F.col("number") != "") & (F.size("tokens") == 0) & ~known, recency(F.col("set_id"))).otherwise(0)
-    return number + F.when(known, 140).otherwise(0) + name_score(F.col("name_key"), F.col("tokens")) + whole + language + new
-
-
-def search(queries: DataFrame, cards: DataFrame, aliases: DataFrame, top: int = 20, preferred: str | None = None, bucket: str | None = None) -> DataFrame:
-    """The ``top`` cards of each query (query_id, query), ties to the smaller id. Cards of a named set with the number
-    come alone where there are any; else all broad candidates."""
-    parsed, keyed = parsed_queries(queries), keyed_cards(cards)
-    hits = alias_hits(queries, aliases)
-    exact = exact_set(parsed, hits, keyed)
-    rest = broad(parsed, keyed).join(exact.select("query_id"), "query_id", "left_anti")
-    pairs = exact.withColumn("stage", F.lit(0)).unionByName(rest.withColumn("stage", F.lit(1)))
-    known = hits.select("query_id", "set_id").distinct().withColumn("_known", F.lit(True))
-    joined = pairs.join(parsed, "query_id").join(keyed, "id").join(known, ["query_id", "set_id"], "left")
-    scored = joined.withColumn("score", score(F.coalesce("_known", F.lit(False)), preferred, bucket))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "id", "stage", "score", "rank")
+    digits = F.col("digits") == F.col("digits_key")
+    number = F.when(F.col("number") == "", none).when(same, p["number"]).when(digits, p["digits"]).otherwise(none)
+    known = F.when(in_known_set(F.col("sets"), F.col("set_id"), F.col("set_key")), p["known"]).otherwise(none)
+    named = F.when((F.col("preferred_set") != "") & (F.col("preferred_set") == F.col("set_id")), p["preferred_set"]).otherwise(none)
+    whole = F.when((F.col("cleaned") != "") & F.contains("name_key", F.col("cleaned")), p["whole"]).otherwise(none)
+    language = F.when((F.col("language") == "en") & (F.col("preferred_set") == ""), p["english"]).otherwise(none)
+    language = F.when(in_bucket(F.col("language"), bucket), p["bucket"]).otherwise(language) if bucket else language
+    language = F.when(F.col("language") == preferred, p["language"]).otherwise(language) if preferred else language
+    source = F.coalesce(*(F.when(F.col("source") == k, v) for k, v in SOURCE_POINTS.items()), none)
+    alone = (F.col("number") != "") & (F.size("tokens") == 0) & (F.size("sets") == 0)
+    new = F.when(alone, recency(F.col("set_id"), F.col("id").cast("string"))).otherwise(none)
+    return number + known + named + name_score(F.col("name_key"), F.col("tokens")) + whole + language + source + new
+
+
+def search(queries: DataFrame, cards: DataFrame, aliases: DataFrame, top: int = 20, preferred: str | None = None, bucket: str | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """The ``top`` cards of each query (``query_id``, ``query``): ``query_id``, ``id``, ``stage``, ``score``, ``rank``, ties to the smaller id.
+
+    The first stage that finds cards counts alone: 0, ids made of set and number (if there is no name, or the number has a
+    letter); 1, the number in a set asked for; 2, a number alone, in one source; 3, ``broad``. Of cards with equal name, set
+    and number the smallest id counts. Texts under two characters find nothing. A card may have a ``card_key``, the id that
+    set and number make; else it is set_id-local_id, without a total.
+
+    Pairs are scored where they meet, in blocks of bounded size; of each query only the best of a task are shuffled."""
+    parsed = kept(parsed_queries(queries.where(F.length(F.trim("query")) >= 2), aliases, codes), "parsed")
+    keyed = keyed_cards(cards)
+    if "card_key" not in cards.columns:
+        keyed = keyed.withColumn("card_key", F.concat_ws("-", "set_id", F.split("local_id", "/")[0]))
+    keyed = kept(keyed, "cards")
+    wanted = wanted_sets(parsed, preferred, bucket)
+    direct = kept(direct_cards(wanted, keyed), "direct")
+    early = direct.join(parsed.where((F.size("tokens") == 0) | F.col("number").rlike("[A-Z]")).select("query_id"), "query_id", "left_semi")
+    exact = direct.unionByName(exact_set(wanted, keyed)).distinct().join(early.select("query_id").distinct(), "query_id", "left_anti")
+    alone = number_cards(parsed, keyed)
+    staged = kept(early.withColumn("stage", F.lit(0)).unionByName(exact.withColumn("stage", F.lit(1))).unionByName(alone.withColumn("stage", F.lit(2))), "staged")
+    same = Window.partitionBy("query_id", "name_key", "set_key", "number_key").orderBy("id")
+    narrow = staged.join(parsed, "query_id").join(keyed, "id").withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    once = keyed.groupBy("name_key", "set_key", "number_key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c not in ("name_key", "set_key", "number_key")]), "id").alias("_c")).select("name_key", "set_key", "number_key", "_c.*")
+    rest = kept(parsed.join(staged.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+    wide = broad(rest, kept(once, "once")).withColumn("stage", F.lit(3))
+    result = ["query_id", "id", "stage"]
+    scored = narrow.select(*result, score(preferred, bucket).alias("score")).unionByName(wide.select(*result, score(preferred, bucket).alias("score")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def dedupe_results(results: DataFrame, ordinal: str, ids: list[str]) -> DataFrame:

@@ -56,93 +56,129 @@ def f3(spark, d):
     return c.groupBy("language", s.in_bucket(F.col("language"), "asian").alias("asian"), s.in_bucket(F.col("language"), "western").alias("western")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Search: queries are the cards whose id is divisible by 20, as texts, against all cards
-
-_QUERIES = f"""qt AS (SELECT id AS query_id, CASE WHEN id % 60 = 40 THEN CAST(id % 250 AS VARCHAR) WHEN id % 60 = 0 THEN name ELSE name || ' ' || set_id || ' ' || (id % 250) END AS query FROM cards WHERE id % 20 = 0),
-tk AS (SELECT *, {_TOKEN.format('query')} AS text FROM qt),
-nu AS (SELECT *, coalesce((list_filter(regexp_extract_all(text, '\\b([0-9]{{1,4}})\\b', 1), lambda n: CAST(n AS INT) NOT BETWEEN 1900 AND 2099))[-1], '') AS raw FROM tk),
-re AS (SELECT *, CASE WHEN raw = '' THEN text ELSE concat_ws(' ', text[1:instr(text, raw) - 1], text[instr(text, raw) + len(raw):]) END AS rest FROM nu),
-pq AS (SELECT query_id, query, text, {_ID.format('raw')} AS number, list_filter(string_split_regex(rest, '\\s+'), lambda t: regexp_matches(t, '[A-Z]') AND t NOT IN ('NO','CARD','NUMBER','NUM')) AS tokens FROM re)"""
-_KEYED = f"kc AS (SELECT *, {_TOKEN.format('name')} AS name_key, {_ID.format('local_id')} AS number_key, {_DIGITS.format('local_id')} AS digits_key FROM cards)"
-_HITS = f"al AS (SELECT DISTINCT {_TOKEN.format('set_id')} AS term, set_id FROM cards), hi AS (SELECT query_id, term, set_id FROM pq JOIN al ON contains(' ' || text || ' ', ' ' || term || ' '))"
-
-
-def _queries(spark, d):
-    k = F.col("id")
-    number = (k % 250).cast("string")
-    text = F.when(k % 60 == 40, number).when(k % 60 == 0, F.col("name")).otherwise(F.concat_ws(" ", "name", "set_id", number))
-    return fx.cards(spark, d).where(k % 20 == 0).select(k.alias("query_id"), text.alias("query"))
-
-
-def _aliases(spark, d):
-    return fx.cards(spark, d).select(F.col("set_id").alias("term"), "set_id").distinct()
-
-
-@_query("c5_parsed_queries", with_views(f", {_QUERIES} SELECT query_id, query, number, array_to_string(tokens, ' ') AS cleaned FROM pq", "cards"))
+# Search: texts made of the cards whose id is divisible by 20, against all cards
+
+_PREFIXES = "TG|GG|SWSH|SM|XY|BW|DP|HGSS|SVP|SV"
+
+
+def parsed_sql(queries: str) -> str:
+    """What texts of a view (query_id, query) ask for, stage by stage: pq holds one row per text."""
+    number = f"((?:(?:{_PREFIXES})\\s*)?0*[0-9]{{1,4}}\\s*/\\s*(?:(?:{_PREFIXES})\\s*)?[0-9]{{1,4}})"
+    return f"""tk AS (SELECT *, {_TOKEN.format('query')} AS text FROM {queries}),
+tm AS (SELECT DISTINCT {_TOKEN.format('term')} AS term, grp FROM set_aliases),
+h0 AS (SELECT query_id, grp, term, instr(' ' || text || ' ', ' ' || term || ' ') AS ord FROM tk JOIN tm ON contains(' ' || text || ' ', ' ' || term || ' ')),
+h1 AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY query_id, grp ORDER BY len(term) DESC, ord, term) = 1),
+hi AS (SELECT query_id, grp, term, row_number() OVER (PARTITION BY query_id ORDER BY len(term) DESC, ord, grp) AS place FROM h1),
+ks AS (SELECT query_id, language, set_id, label, row_number() OVER (PARTITION BY query_id ORDER BY place, pos, language, set_id) AS ord FROM (
+  SELECT query_id, language, set_id, label, place, pos FROM hi JOIN set_aliases USING (grp) QUALIFY row_number() OVER (PARTITION BY query_id, language, set_id ORDER BY place, pos) = 1)),
+te AS (SELECT query_id, list(term ORDER BY place) AS terms FROM hi GROUP BY query_id),
+rm AS (SELECT tk.*, coalesce(terms[1], '') AS set_token, trim(list_reduce(list_prepend(' ' || text || ' ', coalesce(terms, [])), lambda x, t: CASE WHEN instr(x, ' ' || t || ' ') = 0 THEN x
+  ELSE x[1:instr(x, ' ' || t || ' ')] || x[instr(x, ' ' || t || ' ') + len(t) + 2:] END)) AS left_text FROM tk LEFT JOIN te USING (query_id)),
+nu AS (SELECT *, coalesce(nullif(regexp_extract(left_text, '\\b{number}\\b', 1), ''), nullif(regexp_extract(left_text, '\\b((?:{_PREFIXES})\\s*0*[0-9]{{1,4}})\\b', 1), ''),
+  (list_filter(regexp_extract_all(left_text, '\\b([0-9]{{1,4}})\\b', 1), lambda n: CAST(n AS INT) NOT BETWEEN 1900 AND 2099))[-1], '') AS raw FROM rm),
+re AS (SELECT *, CASE WHEN raw = '' THEN left_text ELSE concat_ws(' ', left_text[1:instr(left_text, raw) - 1], left_text[instr(left_text, raw) + len(raw):]) END AS rest FROM nu),
+p0 AS (SELECT query_id, query, text, set_token, {_ID.format('raw')} AS number, list_filter(string_split_regex(rest, '\\s+'), lambda t: regexp_matches(t, '[A-Z]') AND t NOT IN ('NO','CARD','NUMBER','NUM')) AS tokens FROM re),
+pq AS (SELECT *, {_DIGITS.format('number')} AS digits, array_to_string(tokens, ' ') AS cleaned, coalesce((SELECT arg_min(set_id, ord) FROM ks WHERE ks.query_id = p0.query_id AND ends_with(set_token, {_TOKEN.format('set_id')})), '') AS preferred_set,
+  coalesce((SELECT count(*) FROM ks WHERE ks.query_id = p0.query_id), 0) AS n_sets FROM p0),
+kc AS (SELECT *, {_TOKEN.format('name')} AS name_key, {_TOKEN.format('set_name')} AS set_key, {_ID.format('local_id')} AS number_key, {_DIGITS.format('local_id')} AS digits_key FROM catalogue)"""
+
+
+_SAME = "(number = number_key OR (digits <> '' AND digits = digits_key))"
+_ANY = "len(list_filter(tokens, lambda t: contains(name_key, t))) > 0"
+
+
+def wanted_sql(preferred: str | None = None) -> str:
+    """Sets in which a number is looked up; the preferred language, if any, is an Asian one here."""
+    more = f"UNION ALL SELECT query_id, '{preferred}', set_id, ord + 1000000 FROM ks WHERE language IN ('ja','ko','zh-tw','zh-cn') AND language <> '{preferred}'" if preferred else ""
+    value = f"CASE WHEN language = '{preferred}' THEN 3 WHEN language IN ('ja','ko','zh-tw','zh-cn') THEN 2 WHEN language = 'en' THEN 1 ELSE 0 END" if preferred else "CASE WHEN language = 'en' THEN 1 ELSE 0 END"
+    return f"""w0 AS (SELECT query_id, language, set_id, min(ord) AS ord FROM (SELECT query_id, language, set_id, ord FROM ks {more}) GROUP BY ALL),
+ws AS (SELECT query_id, number, digits, tokens, language, set_id, row_number() OVER (PARTITION BY query_id ORDER BY {value} DESC, ord) AS ord FROM w0 JOIN pq USING (query_id) WHERE number <> ''),
+d0 AS (SELECT query_id, ws.ord, c.id, len(tokens) AS n FROM ws JOIN kc c USING (set_id, language) WHERE split_part(local_id, '/', 1) IN (number, CASE WHEN regexp_full_match(number, '[0-9]+') THEN lpad(number, CAST(greatest(2, len(number)) AS INT), '0') END, CASE WHEN regexp_full_match(number, '[0-9]+') THEN lpad(number, CAST(greatest(3, len(number)) AS INT), '0') END)),
+di AS (SELECT DISTINCT query_id, id FROM d0 WHERE n > 0 OR ord = (SELECT min(ord) FROM d0 x WHERE x.query_id = d0.query_id)),
+es AS (SELECT DISTINCT query_id, id FROM ws JOIN kc USING (set_id, language) WHERE {_SAME})"""
+
+
+def search_sql(queries: str, top: int, preferred: str | None = None) -> str:
+    """All texts against all cards by the rules; ``rk`` holds the best of each text."""
+    language = f"CASE WHEN language = '{preferred}' THEN 46 WHEN language IN ('ja','ko','zh-tw','zh-cn') THEN 24 WHEN language = 'en' AND preferred_set = '' THEN 6 ELSE 0 END" if preferred else "CASE WHEN language = 'en' AND preferred_set = '' THEN 6 ELSE 0 END"
+    return f"""{parsed_sql(f'(SELECT * FROM {queries} WHERE len(trim(query)) >= 2)')}, {wanted_sql(preferred)},
+s0 AS (SELECT query_id, id, 0 AS stage FROM di JOIN pq USING (query_id) WHERE len(tokens) = 0 OR regexp_matches(number, '[A-Z]')),
+s1 AS (SELECT query_id, id, 1 AS stage FROM (SELECT * FROM di UNION SELECT * FROM es) WHERE query_id NOT IN (SELECT query_id FROM s0)),
+nr AS (SELECT * FROM (SELECT query_id, id, stage, name_key, set_key, number_key FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1) JOIN kc USING (id)) QUALIFY row_number() OVER (PARTITION BY query_id, name_key, set_key, number_key ORDER BY id) = 1),
+oc AS (SELECT * FROM kc QUALIFY row_number() OVER (PARTITION BY name_key, set_key, number_key ORDER BY id) = 1),
+s3 AS (SELECT query_id, id, 3 AS stage FROM pq JOIN oc ON (number <> '' AND {_SAME}) OR contains(name_key, CASE WHEN len(coalesce(tokens[1], '')) >= 2 THEN tokens[1] WHEN len(cleaned) >= 2 THEN cleaned ELSE text END) WHERE query_id NOT IN (SELECT query_id FROM nr)),
+st AS (SELECT query_id, id, stage FROM nr UNION ALL SELECT * FROM s3),
+sc AS (SELECT st.query_id, st.id, stage, CASE WHEN number = '' THEN 0 WHEN number = number_key THEN 180 WHEN digits = digits_key THEN 80 ELSE 0 END
+   + CASE WHEN EXISTS (SELECT 1 FROM ks WHERE ks.query_id = st.query_id AND (ks.set_id = kc.set_id OR contains(set_key, {_TOKEN.format('ks.label')}))) THEN 140 ELSE 0 END + CASE WHEN preferred_set <> '' AND preferred_set = kc.set_id THEN 28 ELSE 0 END
+   + coalesce(list_sum(list_transform(tokens, lambda t: CASE WHEN contains(name_key, t) THEN 38 ELSE -22 END)), 0) + CASE WHEN len(tokens) > 0 AND contains(name_key, cleaned) THEN 45 ELSE 0 END
+   + {language} + CASE source WHEN 'tcgtracking' THEN 4 WHEN 'pokemontcg' THEN 10 ELSE 0 END AS score
+ FROM st JOIN pq USING (query_id) JOIN kc USING (id)),
+rk AS (SELECT query_id, id, stage, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc QUALIFY rank <= {top})"""
+
+
+_VIEWS = ("catalogue", "searches", "set_aliases")
+_PARSED = f", {parsed_sql('searches')}"
+
+
+def _parsed(spark, d):
+    return search.parsed_queries(fx.searches(spark, d), fx.set_aliases(spark, d))
+
+
+def _keyed(spark, d):
+    return search.keyed_cards(fx.catalogue(spark, d)).withColumn("card_key", F.concat_ws("-", "set_id", F.split("local_id", "/")[0]))
+
+
+@_query("c5_parsed_queries", with_views(_PARSED + " SELECT query_id, query, number, cleaned, set_token, preferred_set, n_sets FROM pq", *_VIEWS))
 def c5(spark, d):
-    return search.parsed_queries(_queries(spark, d)).drop("tokens")
+    return _parsed(spark, d).select("query_id", "query", "number", "cleaned", "set_token", "preferred_set", F.size("sets").cast("bigint").alias("n_sets"))
 
 
-@_query("j12_alias_hits", with_views(f", {_QUERIES}, {_HITS} SELECT query_id, term, set_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY len(term) DESC, instr(' ' || text || ' ', ' ' || term || ' '), set_id) AS INT) AS place FROM hi JOIN pq USING (query_id)", "cards"))
+@_query("j12_alias_hits", with_views(_PARSED + " SELECT query_id, term, grp, CAST(place AS INT) AS place FROM hi", *_VIEWS))
 def j12(spark, d):
-    return search.alias_hits(_queries(spark, d), _aliases(spark, d)).drop("at")
+    return search.set_hits(fx.searches(spark, d), fx.set_aliases(spark, d))
+
 
+@_query("x22_wanted_sets", with_views(f"{_PARSED}, {wanted_sql('ja')} SELECT query_id, language, set_id, CAST(ord AS INT) AS place FROM ws", *_VIEWS))
+def x22(spark, d):
+    return search.wanted_sets(_parsed(spark, d), "ja", "asian").select("query_id", "language", "set_id", F.col("at").alias("place"))
 
-@_query("j4_exact_set", with_views(f", {_QUERIES}, {_KEYED}, {_HITS} SELECT DISTINCT pq.query_id, kc.id FROM pq JOIN hi USING (query_id) JOIN kc USING (set_id) WHERE number <> '' AND (number = number_key OR number = digits_key)", "cards"))
+
+@_query("j4_exact_set", with_views(f"{_PARSED}, {wanted_sql()} SELECT * FROM es", *_VIEWS))
 def j4(spark, d):
-    q = _queries(spark, d)
-    return search.exact_set(search.parsed_queries(q), search.alias_hits(q, _aliases(spark, d)), search.keyed_cards(fx.cards(spark, d)))
+    return search.exact_set(search.wanted_sets(_parsed(spark, d)), _keyed(spark, d))
 
 
-@_query("j5_direct_ids", with_views(f", {_QUERIES}, {_HITS} SELECT DISTINCT pq.query_id, c.id FROM pq JOIN hi USING (query_id) JOIN cards c ON number <> '' AND c.set_id || '-' || c.local_id[1:3] IN (hi.set_id || '-' || number, hi.set_id || '-' || lpad(number, CAST(greatest(2, len(number)) AS INT), '0'), hi.set_id || '-' || lpad(number, CAST(greatest(3, len(number)) AS INT), '0'))", "cards"))
+@_query("j5_direct_ids", with_views(f"{_PARSED}, {wanted_sql()} SELECT * FROM di", *_VIEWS))
 def j5(spark, d):
-    q = _queries(spark, d)
-    keyed = fx.cards(spark, d).withColumn("card_key", F.concat_ws("-", "set_id", F.substring("local_id", 1, 3)))
-    return search.direct_cards(search.parsed_queries(q), search.alias_hits(q, _aliases(spark, d)), keyed)
+    return search.direct_cards(search.wanted_sets(_parsed(spark, d)), _keyed(spark, d))
 
 
-@_query("f11_collector_only", with_views(f", {_QUERIES}, {_HITS} SELECT query_id, number FROM pq WHERE number <> '' AND len(tokens) = 0 AND query_id NOT IN (SELECT query_id FROM hi)", "cards"))
+@_query("f11_collector_only", with_views(_PARSED + " SELECT query_id, number FROM pq WHERE number <> '' AND len(tokens) = 0 AND n_sets = 0", *_VIEWS))
 def f11(spark, d):
-    q = _queries(spark, d)
-    return search.collector_only(search.parsed_queries(q), search.alias_hits(q, _aliases(spark, d))).select("query_id", "number")
-
+    return search.is_number_only(_parsed(spark, d)).select("query_id", "number")
 
-_BROAD = """br AS (SELECT pq.query_id, kc.id FROM pq JOIN kc ON number <> '' AND number = number_key WHERE len(tokens) = 0 OR len(list_filter(tokens, lambda t: contains(name_key, t))) > 0
-  UNION SELECT DISTINCT pq.query_id, kc.id FROM (SELECT query_id, unnest(tokens) AS t FROM pq WHERE number = '') pq JOIN (SELECT id, unnest(string_split(name_key, ' ')) AS w FROM kc) kc ON t = w)"""
 
-
-@_query("f8_product_matches", with_views(f", {_QUERIES}, {_KEYED}, {_BROAD} SELECT * FROM br", "cards"))
+@_query("f8_product_matches", with_views(f"{_PARSED} SELECT query_id, id FROM pq JOIN kc ON CASE WHEN number = '' THEN {_ANY} ELSE {_SAME} AND (len(tokens) = 0 OR {_ANY}) END", *_VIEWS))
 def f8(spark, d):
-    return search.broad(search.parsed_queries(_queries(spark, d)), search.keyed_cards(fx.cards(spark, d)))
+    return search.product_matches(_parsed(spark, d), _keyed(spark, d))
 
 
-@_query("j9_in_known_set", with_views(f", {_QUERIES}, {_KEYED}, {_HITS}, {_BROAD} SELECT DISTINCT br.query_id, br.id, kc.set_id FROM br JOIN kc USING (id) JOIN hi ON hi.query_id = br.query_id AND hi.set_id = kc.set_id", "cards"))
+@_query("j9_in_known_set", with_views(f"{_PARSED} SELECT query_id, id, set_id FROM pq JOIN kc ON number <> '' AND {_SAME} WHERE EXISTS (SELECT 1 FROM ks WHERE ks.query_id = pq.query_id AND (ks.set_id = kc.set_id OR contains(set_key, {_TOKEN.format('ks.label')})))", *_VIEWS))
 def j9(spark, d):
-    q = _queries(spark, d)
-    pairs = search.broad(search.parsed_queries(q), search.keyed_cards(fx.cards(spark, d))).join(fx.cards(spark, d).select("id", "set_id"), "id")
-    return search.in_known_set(pairs, search.alias_hits(q, _aliases(spark, d))).select("query_id", "id", "set_id")
-
-
-_SEARCH = f"""{_QUERIES}, {_KEYED}, {_HITS}, {_BROAD},
-es AS (SELECT DISTINCT pq.query_id, kc.id FROM pq JOIN hi USING (query_id) JOIN kc USING (set_id) WHERE number <> '' AND (number = number_key OR number = digits_key)),
-st AS (SELECT *, 0 AS stage FROM es UNION ALL SELECT *, 1 FROM br WHERE query_id NOT IN (SELECT query_id FROM es)),
-sc AS (SELECT st.query_id, st.id, stage, CASE WHEN number = '' THEN 0 WHEN number = number_key THEN 180 WHEN number = digits_key THEN 80 ELSE 0 END + CASE WHEN hk.set_id IS NOT NULL THEN 140 ELSE 0 END
-   + coalesce(list_sum(list_transform(tokens, lambda t: CASE WHEN contains(name_key, t) THEN 38 ELSE -22 END)), 0) + CASE WHEN len(tokens) > 0 AND contains(name_key, array_to_string(tokens, ' ')) THEN 45 ELSE 0 END
-   + CASE WHEN language = 'ja' THEN 46 WHEN language = 'ko' THEN 24 WHEN language = 'en' THEN 6 ELSE 0 END AS score
- FROM st JOIN pq USING (query_id) JOIN kc USING (id) LEFT JOIN (SELECT DISTINCT query_id, set_id FROM hi) hk ON hk.query_id = st.query_id AND hk.set_id = kc.set_id),
-rk AS (SELECT query_id, id, stage, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc)"""
+    pairs = search.same_number_pairs(_parsed(spark, d), _keyed(spark, d))
+    return pairs.where(search.in_known_set(F.col("sets"), F.col("set_id"), F.col("set_key"))).select("query_id", "id", "set_id")
 
 
 def _search(spark, d, top=20):
-    return search.search(_queries(spark, d), fx.cards(spark, d), _aliases(spark, d), top, preferred="ja", bucket="asian")
+    return search.search(fx.searches(spark, d), _keyed(spark, d).select("id", "name", "set_id", "set_name", "local_id", "language", "source", "card_key"), fx.set_aliases(spark, d), top, preferred="ja", bucket="asian")
 
 
-@_query("c7_search", with_views(f", {_SEARCH} SELECT * FROM rk WHERE rank <= 20", "cards"))
+@_query("c7_search", with_views(f", {search_sql('searches', 20, 'ja')} SELECT * FROM rk", *_VIEWS))
 def c7(spark, d):
     return _search(spark, d)
 
 
-@_query("w3_position_penalty", with_views(f", {_SEARCH} SELECT query_id, id, rank, CAST(score - 4 * (rank - 1) AS DOUBLE) AS score FROM rk WHERE rank <= 5", "cards"))
+@_query("w3_position_penalty", with_views(f", {search_sql('searches', 5, 'ja')} SELECT query_id, id, rank, CAST(score - 4 * (rank - 1) AS DOUBLE) AS score FROM rk", *_VIEWS))
 def w3(spark, d):
     return rerank.position_penalty(_search(spark, d, 5)).select("query_id", "id", "rank", F.col("score").cast("double").alias("score"))
 

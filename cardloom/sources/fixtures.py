@@ -60,6 +60,37 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("card_id"), v.alias("vector"), "label")
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with numbers of several forms, set names, languages and sources, for searching."""
+    k = F.col("p_partkey")
+    plain = F.concat(F.lpad((k % 250).cast("string"), 3, "0"), F.lit("/200"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat("p_name", F.when(k % 4 == 1, " EX").when(k % 4 == 2, " V").otherwise("")).alias("name"), F.col("p_brand").alias("set_id"),
+        F.concat("p_brand", F.lit(" Series")).alias("set_name"),
+        F.when(k % 7 == 0, F.concat(F.lit("TG"), F.lpad((k % 30).cast("string"), 2, "0"))).when(k % 7 == 1, F.concat(F.lit("GG"), (k % 70).cast("string"))).otherwise(plain).alias("local_id"),
+        F.when(k % 5 == 1, "ja").when(k % 5 == 2, "ko").when(k % 5 == 3, "fr").otherwise("en").alias("language"),
+        F.when(k % 11 == 0, "pokemontcg").when(k % 11 == 1, "tcgtracking").otherwise("tcgdex").alias("source"))
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of parts of names, sets and numbers: one for each card whose id is divisible by 20."""
+    k = F.col("id")
+    form, number = F.floor(k / 20) % 6, F.split("local_id", "/")[0]
+    text = F.when(form == 0, F.concat_ws(" ", F.substring("name", 1, 4), (k % 250).cast("string"))).when(form == 1, (k % 250).cast("string")).when(
+        form == 2, F.concat_ws(" ", "name", "set_id", number)).when(form == 3, F.col("name")).when(form == 4, F.concat_ws(" ", "set_id", number)).otherwise(
+        F.concat_ws(" ", F.substring("name", 3, 5), "set_name"))
+    return catalogue(spark, sf_dir).where(k % 20 == 0).select(k.alias("query_id"), text.alias("query"))
+
+
+def set_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each set: its id, for an English and a Japanese set, and its name, for a Korean one."""
+    s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("s")).distinct()
+    name = F.concat("s", F.lit(" Series"))
+    rows = [F.struct(F.col("s").alias("grp"), F.col("s").alias("term"), F.lit(i).alias("pos"), F.lit(x).alias("language"), F.col("s").alias("set_id"), name.alias("label")) for i, x in enumerate(("en", "ja"))]
+    rows.append(F.struct(name.alias("grp"), name.alias("term"), F.lit(0).alias("pos"), F.lit("ko").alias("language"), F.col("s").alias("set_id"), name.alias("label")))
+    return s.select(F.inline(F.array(*rows)))
+
+
 VIEWS = {
     "cards": """SELECT p_partkey AS id, p_name AS name, p_brand AS set_id, lpad(CAST(p_partkey % 250 AS VARCHAR), 3, '0') || '/200' AS local_id,
   p_type AS variant, CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' ELSE 'fr' END AS language, p_retailprice AS price FROM part""",
@@ -72,6 +103,13 @@ VIEWS = {
     "deals": """SELECT o_orderkey AS id, o_totalprice / 4 AS shop_price_yen, o_orderkey % (SELECT count(*) FROM part) AS card_id,
   CASE o_orderkey % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'psa9' ELSE 'psa10' END AS condition,
   CASE o_orderstatus WHEN 'F' THEN 'bought' WHEN 'P' THEN 'skipped' ELSE 'seen' END AS status, o_orderdate AS created_at FROM orders""",
+    "catalogue": """SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 1 THEN ' EX' WHEN 2 THEN ' V' ELSE '' END AS name, p_brand AS set_id, p_brand || ' Series' AS set_name,
+  CASE WHEN p_partkey % 7 = 0 THEN 'TG' || lpad(CAST(p_partkey % 30 AS VARCHAR), 2, '0') WHEN p_partkey % 7 = 1 THEN 'GG' || (p_partkey % 70) ELSE lpad(CAST(p_partkey % 250 AS VARCHAR), 3, '0') || '/200' END AS local_id,
+  CASE p_partkey % 5 WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' WHEN 3 THEN 'fr' ELSE 'en' END AS language, CASE p_partkey % 11 WHEN 0 THEN 'pokemontcg' WHEN 1 THEN 'tcgtracking' ELSE 'tcgdex' END AS source FROM part""",
+    "searches": """SELECT id AS query_id, CASE id // 20 % 6 WHEN 0 THEN name[1:4] || ' ' || (id % 250) WHEN 1 THEN CAST(id % 250 AS VARCHAR) WHEN 2 THEN name || ' ' || set_id || ' ' || split_part(local_id, '/', 1)
+  WHEN 3 THEN name WHEN 4 THEN set_id || ' ' || split_part(local_id, '/', 1) ELSE name[3:7] || ' ' || set_name END AS query FROM catalogue WHERE id % 20 = 0""",
+    "set_aliases": """SELECT DISTINCT p_brand AS grp, p_brand AS term, pos, language, p_brand AS set_id, p_brand || ' Series' AS label FROM part, (VALUES (0, 'en'), (1, 'ja')) t(pos, language)
+  UNION ALL SELECT DISTINCT p_brand || ' Series', p_brand || ' Series', 0, 'ko', p_brand, p_brand || ' Series' FROM part""",
     "vectors": "SELECT vec_id, vec_id // 4 AS card_id, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings",
 }
 

@@ -60,12 +60,60 @@ def test_search_keys(spark):
     assert one(spark, keys.recency(F.lit("sv08.5"))) == 308 and one(spark, keys.recency(F.lit("base1"))) == 0
 
 
-def test_search_prefers_the_named_set(spark):
-    cards = spark.createDataFrame([(1, "Blaziken", "swsh12", "015/195", "en"), (2, "Blaziken", "sv1", "015/198", "en"), (3, "Torchic", "swsh12", "014/195", "en")], "id long, name string, set_id string, local_id string, language string")
-    aliases = spark.createDataFrame([("silver tempest", "swsh12"), ("SIT", "swsh12")], "term string, set_id string")
-    queries = spark.createDataFrame([(1, "Blaziken SIT 15"), (2, "blaziken silver tempest 15"), (3, "blaziken"), (4, "torchic 14"), (5, None)], "query_id long, query string")
-    got = search.search(queries, cards, aliases).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.id, r.stage) for r in got] == [(1, 1, 0), (2, 1, 0), (3, 1, 1), (3, 2, 1), (4, 3, 1)]
+ALIASES = [
+    ("em", "EM", 0, "en", "ex9", "Emerald"), ("em", "Emerald", 0, "en", "ex9", "Emerald"), ("sit", "SIT", 0, "en", "swsh12", "Silver Tempest"), ("sit", "Silver Tempest", 0, "en", "swsh12", "Silver Tempest"),
+    ("sit tg", "Silver Tempest TG", 0, "en", "swsh12", "Silver Tempest"), ("fut", "FUT20", 0, "en", "fut2020", "Futsal 2020"), ("fut", "Futsal", 0, "en", "fut2020", "Futsal 2020"), ("fut", "FUTSAL 2020", 0, "en", "fut2020", "Futsal 2020"),
+    ("mew", "151", 0, "en", "sv03.5", "151"), ("mew", "151", 1, "ja", "SV2a", "Card 151"), ("hif", "HIF", 0, "en", "sm115", "Hidden Fates"), ("hif", "HIF", 1, "en", "sma", "Shiny Vault"), ("sv8", "SV8", 0, "en", "sv08", "Sparks"),
+]
+CODES = [("SV2A", 0, "en", "sv03.5", "151"), ("SV2A", 1, "ja", "SV2a", "Card 151")]
+
+
+@pytest.fixture(scope="module")
+def aliases(spark):
+    return spark.createDataFrame(ALIASES, "grp string, term string, pos int, language string, set_id string, label string")
+
+
+def test_texts_are_parsed(spark, aliases):
+    """Set names leave the text before its number and name are read."""
+    codes = spark.createDataFrame(CODES, "code string, pos int, language string, set_id string, label string")
+    want = {
+        "Blaziken SIT 15": ("15", ["BLAZIKEN"], ["swsh12"]), "Blaziken VMAX Silver Tempest TG15": ("TG15", ["BLAZIKEN", "VMAX"], ["swsh12"]), "Blaziken TG15": ("TG15", ["BLAZIKEN"], []),
+        "Pikachu on the Ball Futsal 2020 1": ("1", ["PIKACHU", "ON", "THE", "BALL"], ["fut2020"]), "Blaziken EM 1": ("1", ["BLAZIKEN"], ["ex9"]), "151 175": ("175", [], ["sv03.5", "SV2a"]),
+        "msv2a 177": ("177", [], ["sv03.5", "SV2a"]), "175 SV2a": ("175", [], ["sv03.5", "SV2a"]), "SV9b 12": ("12", [], ["SV9b"]), "Charizard GX HIF SV49": ("SV49", ["CHARIZARD", "GX"], ["sm115", "sma"]),
+        "Mewtwo VSTAR GG44": ("GG44", ["MEWTWO", "VSTAR"], []), "Card No 1999": ("", [], []), "": ("", [], []), "Silver Tempest TG silver tempest 3": ("3", [], ["swsh12"]),
+    }
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate([*want, None])], "query_id long, query string")
+    got = {r.query: r for r in search.parsed_queries(queries, aliases, codes).collect()}
+    assert {q: (r.number, r.tokens, [s.set_id for s in r.sets]) for q, r in got.items() if q is not None} == want
+    assert got[None].tokens == [] and got["175 SV2a"].preferred_set == "SV2a" and got["Blaziken SIT 15"].preferred_set == ""
+
+
+def test_search_finds_parts_digits_and_sets(spark, aliases):
+    rows = [
+        (1, "Blaziken VMAX", "swsh12", "TG15/195", "en"), (2, "Chesnaught V", "swsh12", "015/195", "en"), (3, "Blaziken", "ex9", "1/106", "en"), (4, "Charizard", "sv1", "5/165", "ja"),
+        (5, "Mewtwo", "sv1", "TG5/30", "en"), (6, "Charizard", "sv1", "5/165", "en"), (7, "Torchic", "swsh12", "14/195", "en"), (8, "Mew", "sv1", "6/165", "ja"), (9, None, None, None, None),
+    ]
+    cards = spark.createDataFrame([(*r, r[2]) for r in rows], "id long, name string, set_id string, local_id string, language string, set_name string")
+    texts = ["Blaziken SIT 15", "chariz", "mew 5", "SIT TG15", "torchic", "x", None, "silver tempest 14", "zzz"]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, query string")
+    found = {}
+    for r in search.search(queries, cards, aliases).orderBy("query_id", "rank").collect():
+        found.setdefault(texts[r.query_id], []).append((r.id, r.stage))
+    assert found["Blaziken SIT 15"] == [(1, 1), (2, 1)]  # the name outweighs the number of its digits alone
+    assert found["chariz"] == [(4, 3)]  # a part of a name; the same card once
+    assert found["mew 5"][0] == (5, 3) and {i for i, _ in found["mew 5"]} == {4, 5, 8}  # digits of TG5
+    assert found["SIT TG15"] == [(1, 0)] and found["torchic"] == [(7, 3)] and found["silver tempest 14"] == [(7, 0)]
+    assert not {"x", None, "zzz"} & set(found)
+    assert search.search(queries.limit(0), cards, aliases).count() == search.search(queries, cards.limit(0), aliases).count() == 0
+
+
+def test_contained_by_rarest_run(spark):
+    words = ["ring", "string", "rin", "", None, "a", "ab", "ringring"] + ["thing"] * 50
+    hay = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, text string")
+    needles = spark.createDataFrame([("ring",), ("a",), ("hin",), ("",), ("gri",), ("zz",), ("ring",)], "needle string").withColumn("n", F.monotonically_increasing_id())
+    got = search.contained(needles, hay, "text", block=7)
+    want = [(n, i) for n in ["ring", "a", "hin", "gri", "zz", "ring"] for i, w in enumerate(words) if w and n in w]
+    assert got.count() == len(want)
 
 
 def test_merge_goes_by_listed_sources(spark):
