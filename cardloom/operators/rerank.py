@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.search import collector_score, language_score
 from ..functions.text import normalize_number
+from .similarity import coarse_to_fine
 
 #: Weights of the features, alone, and with a collector number read with this confidence.
 WEIGHTS = {"visual": 0.45, "name": 0.15, "number": 0.20, "language": 0.05}
@@ -47,19 +48,17 @@ def blended(coarse: Column, embedding: Column, orb: Column, weight: float = 0.52
     return (coarse * 0.62 + orb * 0.38) * (1 - w) + F.coalesce(embedding, F.lit(0.0)) * w
 
 
-def visual_match(coarse: DataFrame, embeddings: DataFrame, weight: float = 0.52, keep: int = 80, top: int = 10) -> DataFrame:
+def visual_match(candidates: DataFrame, weight: float = 0.52, keep: int = 80, top: int = 10) -> DataFrame:
     """Per query the ``top`` cards of highest final score among the ``keep`` of highest coarse score, ties to the smaller card.
 
-    ``coarse``: query_id, card_id, score of hash and histogram (and orb, if known); ``embeddings``: query_id, card_id,
-    similarity. A card without an embedding keeps its coarse score and counts 0 in the final blend."""
+    ``candidates``: query_id, card_id, score of hash and histogram, similarity of the embedding (and orb, if known). A card without an
+    embedding keeps its score as its coarse one and counts 0 in the final blend."""
     w = min(0.85, max(0.0, weight))
-    joined = coarse.join(embeddings, ["query_id", "card_id"], "left")
     mixed = F.when(F.col("similarity").isNull(), F.col("score")).otherwise(F.col("score") * (1 - w) + F.col("similarity") * w)
-    orb = F.coalesce("orb", F.lit(0.0)) if "orb" in coarse.columns else F.lit(0.0)
-    scored = joined.withColumns({"coarse": F.round(mixed, 6), "_orb": orb}).withColumn("final", F.round(blended(F.col("coarse"), F.col("similarity"), F.col("_orb"), w), 6))
-    by = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c), "card_id")
-    kept = scored.withColumn("_k", F.row_number().over(by("coarse"))).where(F.col("_k") <= keep)
-    return kept.withColumn("rank", F.row_number().over(by("final"))).where(F.col("rank") <= top).select("query_id", "card_id", "coarse", "similarity", F.col("final").alias("score"), "rank")
+    orb = F.coalesce("orb", F.lit(0.0)) if "orb" in candidates.columns else F.lit(0.0)
+    scored = candidates.withColumns({"coarse": F.round(mixed, 6), "_orb": orb}).withColumn("fine", F.round(blended(F.col("coarse"), F.col("similarity"), F.col("_orb"), w), 6))
+    best = coarse_to_fine(scored.withColumn("_s", F.col("score")).withColumn("score", F.col("coarse")), keep, top)
+    return best.select("query_id", "card_id", "coarse", "similarity", F.col("fine").alias("score"), "rank")
 
 
 def attach_cards(scores: DataFrame, cards: DataFrame) -> DataFrame:
@@ -71,33 +70,39 @@ def rerank(matches: DataFrame, evidence: DataFrame, top: int = 8) -> DataFrame:
     """Matches (query_id, card_id, score, similarity, name, local_id, language) by visual and text features.
 
     ``evidence``: query_id, read_name, read_number, number_confidence, read_attack, read_language. Without any
-    text of a query the visual score counts alone; a similarity of 0 falls back to the score."""
+    text of a query the visual score counts alone; a similarity of 0 falls back to the score. Scores are not rounded: what is
+    shown may be (see ``shown``), what decides is not."""
     joined = matches.join(evidence, "query_id", "left")
     read = lambda c: F.coalesce(c, F.lit("")) != ""
     any_text = read("read_name") | read("read_number") | read("read_attack") | read("read_language")
     sure = read("read_number") & (F.coalesce("number_confidence", F.lit(0.0)) >= SURE)
     visual = clamp(F.coalesce(F.when(F.col("similarity") != 0, F.col("similarity")), F.col("score")))
     featured = joined.withColumns({
-        "visual_score": F.round(visual, 5),
-        "name_score": F.when(read("read_name"), F.round(text_similarity("read_name", "name"), 5)).otherwise(0.0),
+        "visual_score": visual,
+        "name_score": F.when(read("read_name"), text_similarity("read_name", "name")).otherwise(0.0),
         "number_score": collector_score(normalize_number(F.col("read_number")), normalize_number(F.col("local_id"))),
         "language_score": language_score(F.col("read_language"), F.col("language")),
     })
     weight = lambda k: F.when(~any_text, 1.0 if k == "visual" else 0.0).when(sure, SURE_WEIGHTS[k]).otherwise(WEIGHTS[k])
     score = sum((weight(k) * F.col(f"{k}_score") for k in WEIGHTS), F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), F.desc("score"), "card_id")
-    return featured.withColumn("confidence", F.round(score, 5)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return featured.withColumn("confidence", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def shown(scores: DataFrame) -> DataFrame:
+    """Features and confidence to five places."""
+    return scores.withColumns({c: F.round(c, 5) for c in scores.columns if c == "confidence" or c.endswith("_score")})
 
 
 def recognition(reranked: DataFrame, cutoff: float = 0.72) -> DataFrame:
     """One row per query: the best card, its confidence, whether it needs review, the recognised fields (read texts
     first) and the candidates in order."""
-    entry = F.struct("rank", "card_id", "confidence")
+    entry = F.struct("rank", "card_id", F.round("confidence", 5).alias("confidence"))
     best = F.min_by(F.struct("card_id", "confidence", "name", "local_id", "language", "read_name", "read_number", "read_language"), "rank").alias("b")
     rows = reranked.groupBy("query_id").agg(best, F.array_sort(F.collect_list(entry)).alias("c"))
     either = lambda read, own: F.coalesce(F.nullif(F.col(f"b.{read}"), F.lit("")), F.col(f"b.{own}"))
     return rows.select(
-        "query_id", "b.card_id", F.col("b.confidence").alias("confidence"), (F.col("b.confidence") < cutoff).alias("needs_review"),
+        "query_id", "b.card_id", F.round("b.confidence", 5).alias("confidence"), (F.col("b.confidence") < cutoff).alias("needs_review"),
         either("read_name", "name").alias("name"), either("read_number", "local_id").alias("number"), either("read_language", "language").alias("language"),
         F.transform("c", lambda x: x["card_id"]).alias("candidates"))
 

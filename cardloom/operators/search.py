@@ -242,21 +242,75 @@ def dedupe_results(results: DataFrame, ordinal: str, ids: list[str]) -> DataFram
     return results.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(ordinal)).alias("_r"), *filled).select("_r.*", *ids)
 
 
-def band_equivalents(source: DataFrame, other: DataFrame, width: int = 10) -> DataFrame:
-    """Per card of ``source`` the card of ``other`` of the same name whose number is within ``width``: the nearest, then
-    the smaller id. Numbers meet in bands of ``width``: a card is sent to three, its partner to one."""
-    band = lambda n: F.floor(n / width)
-    a = source.select(F.col("id").alias("source_id"), F.col("number").alias("n"), search_token(F.col("name")).alias("key"), F.explode(F.array(*(band(F.col("number")) + i for i in (-1, 0, 1)))).alias("band"))
-    b = other.select(F.col("id").alias("other_id"), F.col("number").alias("m"), search_token(F.col("name")).alias("key"), band(F.col("number")).alias("band"))
-    near = a.join(b, ["key", "band"]).withColumn("d", F.abs(F.col("n") - F.col("m"))).where(F.col("d") <= width)
-    best = near.groupBy("source_id").agg(F.min(F.struct("d", "other_id")).alias("m"))
-    return best.select("source_id", "m.other_id", F.col("m.d").alias("distance"))
+#: Points of an equivalent for the same number, illustrator, health, stage, types and attacks, and the least that count.
+EQUAL_POINTS = {"number": 8, "illustrator": 70, "hp": 20, "stage": 12, "types": 18, "attacks": 30}
+EQUAL_LEAST = 70
+
+
+def attack_signature(attacks: Column) -> Column:
+    """The attacks of a card (array of ``cost``, an array of texts, and ``damage``) in order, as one text; empty for none."""
+    one = lambda a: F.concat(F.array_join(F.coalesce(a["cost"], F.array().cast("array<string>")), ""), F.lit(":"), F.coalesce(a["damage"].cast("string"), F.lit("")))
+    return F.array_join(F.transform(F.coalesce(attacks, F.array().cast("array<struct<cost:array<string>,damage:string>>")), one), "|")
+
+
+def same_list(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same in the same order; empty and missing lists are the same as none."""
+    return F.coalesce((F.size(a) > 0) & (a == b), F.lit(False))
+
 
+def equivalent_score(a: Column, b: Column, same_number: Column) -> Column:
+    """The points of a card ``b`` for being the card ``a`` in another language, by their details."""
+    p = EQUAL_POINTS
 
-def resolve_external(ids: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
-    """Per id the record of which one of ``keys`` is equal to it: the first key wins, then the smaller record."""
-    entry = records.select("id", F.inline(F.array(*(F.struct(F.lit(i).alias("priority"), F.col(k).cast("string").alias("external")) for i, k in enumerate(keys)))))
-    return ids.join(entry.where("external is not null"), "external").groupBy("external").agg(F.min(F.struct("priority", "id")).alias("m")).select("external", "m.id", "m.priority")
+    def same(c: str) -> Column:
+        return F.coalesce((a[c].cast("string") != "") & (a[c].cast("string") != "0") & (a[c] == b[c]), F.lit(False))
+
+    points = F.when(same_number, p["number"]).otherwise(0)
+    for c in ("illustrator", "hp", "stage"):
+        points = points + F.when(same(c), p[c]).otherwise(0)
+    signature = attack_signature(a["attacks"])
+    return points + F.when(same_list(a["types"], b["types"]), p["types"]).otherwise(0) + F.when((signature != "") & (signature == attack_signature(b["attacks"])), p["attacks"]).otherwise(0)
+
+
+def near_numbers(source: DataFrame, other: DataFrame, sets: DataFrame, width: int = 10) -> DataFrame:
+    """Cards of ``other`` that may be a card of ``source`` in another language: those of the equivalent set whose number is within
+    ``width``, or, for a number with letters, equal: all columns of both (``other_`` before those of other), ``distance`` and ``place``.
+
+    ``source``, ``other``: ``id``, ``set_id``, ``local_id``, ``detail``; ``sets``: ``set_id``, ``other_set``. Numbers meet in bands of ``width``: a
+    card is sent to three, its partners to one. ``place`` orders them: the same number, then nearer, the lower first."""
+    number = lambda c: collector_id(F.col(c)).try_cast("int")
+    keyed = source.withColumns({"_set": F.lower("set_id"), "_key": collector_id(F.col("local_id")), "_n": number("local_id")})
+    a = keyed.join(sets.select(F.lower("set_id").alias("_set"), "other_set"), "_set").drop("_set")
+    b = other.select(*(F.col(c).alias(f"other_{c}") for c in other.columns)).withColumn("_okey", collector_id(F.col("other_local_id"))).withColumn("_m", number("other_local_id"))
+    band = lambda n: F.floor(n / width)
+    left = a.where("_n is not null").select("*", F.explode(F.array(*(band(F.col("_n")) + i for i in (-1, 0, 1)))).alias("_b"))
+    right = b.where("_m > 0").withColumn("_b", band(F.col("_m"))).withColumn("other_set", F.col("other_set_id"))
+    close = left.join(right, ["other_set", "_b"]).drop("_b").withColumn("distance", F.abs(F.col("_n") - F.col("_m"))).where(F.col("distance") <= width)
+    named = a.where("_n is null and _key <> ''").join(b.withColumn("other_set", F.col("other_set_id")), "other_set").where("_key = _okey").withColumn("distance", F.lit(0))
+    return close.unionByName(named.select(*close.columns)).withColumn("place", 2 * F.col("distance") + F.when(F.col("_m") > F.col("_n"), 1).otherwise(0)).drop("_m", "_n", "_okey", "_key", "other_set")
+
+
+def equivalents(source: DataFrame, other: DataFrame, sets: DataFrame, width: int = 10) -> DataFrame:
+    """Per card of ``source`` the card of ``other`` that is it in another language: ``source_id``, ``other_id``, ``score``.
+
+    Of the near numbers the one of most points, of equal ones the first in their order, if it has ``EQUAL_LEAST``; for a card without a
+    ``detail`` the one of the same number, without points. See ``near_numbers``; cards of sets without an equivalent have none."""
+    pairs = near_numbers(source, other, sets, width)
+    same = collector_id(F.col("local_id")) == collector_id(F.col("other_local_id"))
+    points = F.when(F.col("detail").isNotNull(), equivalent_score(F.col("detail"), F.col("other_detail"), same))
+    scored = pairs.select(F.col("id").alias("source_id"), "other_id", points.alias("score"), "place", same.alias("_same"))
+    fit = scored.where((F.col("score") >= EQUAL_LEAST) | (F.col("score").isNull() & F.col("_same")))
+    best = fit.groupBy("source_id").agg(F.min(F.struct((-F.coalesce("score", F.lit(0))).alias("s"), "place", "other_id", "score")).alias("m"))
+    return best.select("source_id", "m.other_id", "m.score")
+
+
+def first_exact(hits: DataFrame, by: str, wanted: str, keys: list[str], order: str) -> DataFrame:
+    """Of the records found for each ``by`` the first, in ``order``, of which one of ``keys`` is equal to ``wanted``; without such the first of all.
+    ``exact`` says which; records of equal order are told by their keys. All columns stay."""
+    same = F.coalesce(F.array_contains(F.array(*(F.col(k).cast("string") for k in keys)), F.col(wanted).cast("string")), F.lit(False))
+    entry = F.struct((~same).alias("_inexact"), F.col(order).alias("_o"), *(F.col(c) for c in hits.columns if c != by))
+    best = hits.groupBy(by).agg(F.min(entry).alias("_m"))
+    return best.select(by, *(F.col(f"_m.{c}").alias(c) for c in hits.columns if c != by), (~F.col("_m._inexact")).alias("exact"))
 
 
 def best_link(links: DataFrame, wanted: Column, least: int | None = None) -> DataFrame:

@@ -28,8 +28,8 @@ def rescaled(score: Column) -> Column:
     return F.least(F.greatest((score + 1) / 2, F.lit(0.0)), F.lit(1.0))
 
 
-def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], ddl: str) -> DataFrame:
-    """``kernel`` over each pair of a block of ``queries`` (by query_id) and a block of ``refs`` (by all their columns).
+def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], ddl: str, by: list[str] | None = None) -> DataFrame:
+    """``kernel`` over each pair of a block of ``queries`` (by query_id) and a block of ``refs`` (by ``by``, or all their columns).
 
     The queries are a stated set. Blocks are bounded, and each side is sent once per block of the other."""
     def blocks(df: DataFrame, size: int) -> int:
@@ -39,7 +39,7 @@ def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, p
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # columns of both sides may come from one table
     left = own.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"), "_r": every(m)})
-    right = refs.withColumns({"_r": F.pmod(F.xxhash64(*refs.columns), F.lit(m)).cast("int"), "_q": every(n)})
+    right = refs.withColumns({"_r": F.pmod(F.xxhash64(*(by or refs.columns)), F.lit(m)).cast("int"), "_q": every(n)})
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         return kernel(q, r) if len(q) and len(r) else pd.DataFrame({c.split()[0]: [] for c in ddl.split(", ")})
@@ -51,40 +51,110 @@ def _matrix(arrays: pd.Series) -> np.ndarray:
     return np.stack(arrays.to_list()).astype(float)
 
 
-def _card_scores(q: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The cards of a block in order, and per query and card the highest cosine."""
-    r = r.sort_values("card_id")
-    cards, starts = np.unique(r.card_id.to_numpy(), return_index=True)
-    return cards, np.round(np.maximum.reduceat(_matrix(q.v) @ _matrix(r.vector).T, starts, axis=1), 6)
+#: Queries of a block that are scored at once.
+TILE = 256
 
 
-def max_similarity(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per query and card the highest cosine over the card's vectors, as ``score``. ``queries``: query_id, vector;
-    ``refs``: card_id, vector (unit length). The result has a row for each pair, as asked."""
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cards, scores = _card_scores(q, r)
-        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), len(cards)), "card_id": np.tile(cards, len(q)), "score": scores.ravel()})
+def _own(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+    """Where a reference is the query's own row."""
+    return q.query_id.to_numpy()[:, None] == r.vec_id.to_numpy()[None, :]
+
+
+def _cosines(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+    scores = np.round(_matrix(q.v) @ _matrix(r.vector).T, 6)
+    scores[_own(q, r)] = -np.inf
+    return scores
+
+
+def _unit(arrays: pd.Series) -> np.ndarray:
+    h = _matrix(arrays)
+    h = h - h.mean(axis=1, keepdims=True)
+    size = np.sqrt((h * h).sum(axis=1, keepdims=True))
+    return np.divide(h, size, out=np.full_like(h, np.nan), where=size > 0)
+
+
+def _prints(q: pd.DataFrame, r: pd.DataFrame, weight: float) -> np.ndarray:
+    """Scores of prints by hash and histogram; a constant histogram is like none."""
+    apart = np.bitwise_count(q["hash"].to_numpy().view(np.uint64)[:, None] ^ r["hash"].to_numpy().view(np.uint64))
+    alike = np.clip((_unit(q.histogram) @ _unit(r.histogram).T + 1) / 2, 0, 1)
+    scores = np.round(weight * np.maximum(0, 1 - apart / 64.0) + (1 - weight) * np.nan_to_num(alike), 6)
+    scores[_own(q, r)] = -np.inf
+    return scores
+
+
+def _best(q: pd.DataFrame, cards: np.ndarray, order: np.ndarray, k: int, **columns: np.ndarray) -> pd.DataFrame:
+    """The ``k`` first cards of each query by ``order`` (higher first, ties to the smaller card), with values of ``columns``."""
+    top = np.argsort(-order, axis=1, kind="stable")[:, :k]
+    out = {"query_id": np.repeat(q.query_id.to_numpy(), top.shape[1]), "card_id": cards[top].ravel()} | {n: np.take_along_axis(x, top, 1).ravel() for n, x in columns.items()}
+    return pd.DataFrame(out)[np.isfinite(np.take_along_axis(order, top, 1).ravel())]
+
 
-    found = tiled(queries.select("query_id", normalized(F.col("vector")).alias("v")), refs.select("card_id", "vector"), best, "query_id bigint, card_id bigint, score double")
-    return found.groupBy("query_id", "card_id").agg(F.max("score").alias("score"))
+def _tiles(q: pd.DataFrame):
+    return (q.iloc[i : i + TILE] for i in range(0, len(q), TILE))
 
 
 def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:
-    """Per query the ``k`` cards of highest cosine over their vectors (rounded to 6 places; ties to the smaller card).
+    """Per query the ``k`` cards of highest cosine over their vectors but the query's own (rounded to 6 places; ties to the smaller card).
 
-    ``queries``: query_id, vector; ``refs``: card_id, vector (unit length). Each pair of blocks keeps ``k`` cards a
+    ``queries``: query_id, vector; ``refs``: vec_id, card_id, vector (unit length). Each pair of blocks keeps ``k`` cards a
     query. Maxima per card are taken before each cut, so the result is exact: a card of the final list is in
     the list of the block that holds its best vector.
     """
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cards, scores = _card_scores(q, r)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q.query_id.to_numpy(), top.shape[1]), "card_id": cards[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    found = tiled(queries.select("query_id", normalized(F.col("vector")).alias("v")), refs.select("card_id", "vector"), best, "query_id bigint, card_id bigint, score double")
+        r = r.sort_values("card_id")
+        cards, starts = np.unique(r.card_id.to_numpy(), return_index=True)
+        found = []
+        for part in _tiles(q):
+            scores = np.maximum.reduceat(_cosines(part, r), starts, axis=1)
+            found.append(_best(part, cards, scores, k, score=scores))
+        return pd.concat(found)
+
+    found = tiled(queries.select("query_id", normalized(F.col("vector")).alias("v")), refs.select("vec_id", "card_id", "vector"), best, "query_id bigint, card_id bigint, score double")
     return rank_candidates(found.groupBy("query_id", "card_id").agg(F.max("score").alias("score")), k)
 
 
+def best_coarse(queries: DataFrame, prints: DataFrame, k: int = 80, weight: float = 0.72) -> DataFrame:
+    """Per query the ``k`` cards of the best print by hash and histogram, with that print, of equal ones the smallest vector id.
+
+    ``queries``: query_id, hash, histogram; ``prints``: card_id, vec_id, hash, histogram, of which the query's own does not
+    count. Each pair of blocks keeps ``k`` cards a query."""
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values(["card_id", "vec_id"])
+        cards, starts, sizes = np.unique(r.card_id.to_numpy(), return_index=True, return_counts=True)
+        found = []
+        for part in _tiles(q):
+            scores = _prints(part, r, weight)
+            most = np.maximum.reduceat(scores, starts, axis=1)
+            ids = np.where(scores == np.repeat(most, sizes, axis=1), r.vec_id.to_numpy(), np.iinfo(np.int64).max)
+            found.append(_best(part, cards, most, k, score=most, vec_id=np.minimum.reduceat(ids, starts, axis=1)))
+        return pd.concat(found)
+
+    scored = tiled(queries.select("query_id", "hash", "histogram"), prints.select("card_id", "vec_id", "hash", "histogram"), best, "query_id bigint, card_id bigint, score double, vec_id bigint")
+    once = scored.groupBy("query_id", "card_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m")).select(
+        "query_id", "card_id", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
+    return rank_candidates(once, k).drop("rank")
+
+
+def visual_candidates(queries: DataFrame, refs: DataFrame, k: int = 80, weight: float = 0.52, hash_weight: float = 0.72) -> DataFrame:
+    """Cards that may be among the ``k`` of highest coarse score of a query: ``query_id``, ``card_id``, ``score`` (best print) and
+    ``similarity`` (highest cosine, from 0 to 1). Both sides: vector, hash, histogram, with query_id, or vec_id and card_id.
+
+    The coarse score blends both, each the best over a card's rows but the query's own; so a card's rows, few by their nature, are
+    in one block, and each pair of blocks keeps ``k`` cards a query."""
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("card_id")
+        cards, starts = np.unique(r.card_id.to_numpy(), return_index=True)
+        found = []
+        for part in _tiles(q):
+            prints = np.maximum.reduceat(_prints(part, r, hash_weight), starts, axis=1)
+            alike = np.round(np.clip((np.maximum.reduceat(_cosines(part, r), starts, axis=1) + 1) / 2, 0, 1), 7)
+            found.append(_best(part, cards, np.round(prints * (1 - weight) + alike * weight, 6), k, score=prints, similarity=alike))
+        return pd.concat(found)
+
+    left = queries.select("query_id", normalized(F.col("vector")).alias("v"), "hash", "histogram")
+    return tiled(left, refs.select("card_id", "vec_id", "vector", "hash", "histogram"), best, "query_id bigint, card_id bigint, score double, similarity double", by=["card_id"])
+
+
 def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "card_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -103,11 +173,6 @@ def retrieval_metrics(ranks: DataFrame, n: int = 5) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("queries"), within(1).alias("top1"), within(n).alias("topn"), within(20).alias("top20"), mrr.alias("mrr"))
 
 
-def hash_score(a: Column, b: Column) -> Column:
-    """1 - d/64 for two 64-bit hashes, d the bits that differ."""
-    return F.greatest(F.lit(0.0), 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0)
-
-
 def sign_hash(vector: Column) -> Column:
     """The signs of 64 components as a 64-bit integer."""
     bits = F.array_join(F.transform(F.slice(vector, 1, 64), lambda x: F.when(x > 0, "1").otherwise("0")), "")
@@ -115,44 +180,6 @@ def sign_hash(vector: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(33))
 
 
-def hist_similarity(a: Column, b: Column) -> Column:
-    """Pearson correlation to 0..1; 0 for empty or constant histograms."""
-    n = F.size(a)
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    ma, mb = mean(a), mean(b)
-    da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    size = F.sqrt(dot(da, da) * dot(db, db))
-    return F.when(size > 0, rescaled(dot(da, db) / size)).otherwise(0.0)
-
-
-def best_coarse(queries: DataFrame, prints: DataFrame, weight: float = 0.72) -> DataFrame:
-    """Per query and card the best of its prints by hash and histogram; of equal ones the smallest vector id.
-
-    ``queries``: query_id, hash, histogram; ``prints``: card_id, vec_id, hash, histogram. Pairs of blocks give a row per
-    query and card."""
-    def unit(arrays: pd.Series) -> np.ndarray:
-        h = _matrix(arrays)
-        h = h - h.mean(axis=1, keepdims=True)
-        size = np.sqrt((h * h).sum(axis=1, keepdims=True))
-        return np.divide(h, size, out=np.full_like(h, np.nan), where=size > 0)
-
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values(["card_id", "vec_id"])
-        cards, starts, sizes = np.unique(r.card_id.to_numpy(), return_index=True, return_counts=True)
-        apart = np.bitwise_count(q["hash"].to_numpy().view(np.uint64)[:, None] ^ r["hash"].to_numpy().view(np.uint64))
-        alike = np.clip((unit(q.histogram) @ unit(r.histogram).T + 1) / 2, 0, 1)  # a constant histogram is like none
-        scores = np.round(weight * np.maximum(0, 1 - apart / 64.0) + (1 - weight) * np.nan_to_num(alike), 6)
-        most = np.maximum.reduceat(scores, starts, axis=1)
-        ids = np.where(scores == np.repeat(most, sizes, axis=1), r.vec_id.to_numpy(), np.iinfo(np.int64).max)
-        return pd.DataFrame({
-            "query_id": np.repeat(q.query_id.to_numpy(), len(cards)), "card_id": np.tile(cards, len(q)),
-            "score": most.ravel(), "vec_id": np.minimum.reduceat(ids, starts, axis=1).ravel()})
-
-    scored = tiled(queries.select("query_id", "hash", "histogram"), prints.select("card_id", "vec_id", "hash", "histogram"), best, "query_id bigint, card_id bigint, score double, vec_id bigint")
-    return scored.groupBy("query_id", "card_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m")).select(
-        "query_id", "card_id", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
-
-
 def auto_select(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per query the first candidate of this confidence."""
     good = candidates.where(F.col("score") >= threshold)

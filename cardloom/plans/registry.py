@@ -164,16 +164,20 @@ def j6(spark, d):
 
 # Vectors
 
-_Q25 = """, q AS (SELECT vec_id AS query_id, vector, label, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS v FROM vectors WHERE vec_id % 25 = 0),
-r AS (SELECT * FROM vectors WHERE vec_id % 25 <> 0),
-s AS (SELECT query_id, card_id, max(round(list_inner_product(q.v, r.vector), 6)) AS score FROM q JOIN r ON true GROUP BY ALL),
+_TOP = """, q AS (SELECT vec_id AS query_id, vector, label, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) AS v FROM vectors WHERE vec_id % 20 = 0),
+r AS (SELECT * FROM vectors),
+s AS (SELECT query_id, card_id, max(round(list_inner_product(q.v, r.vector), 6)) AS score FROM q JOIN r ON r.vec_id <> q.query_id GROUP BY ALL),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) AS INT) AS rank FROM s),
 top AS (SELECT * FROM k WHERE rank <= 20)"""
 
 
 def _sides(spark, d):
     v = fx.vectors(spark, d)
-    return v.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 25 <> 0")
+    return v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v
+
+
+def _prints(spark, d):
+    return fx.vectors(spark, d).select("vec_id", "card_id", "label", "vector", F.transform("vector", F.abs).alias("histogram"), similarity.sign_hash(F.col("vector")).alias("hash"))
 
 
 def _top(spark, d):
@@ -181,19 +185,19 @@ def _top(spark, d):
     return similarity.vector_topk(q.select("query_id", "vector"), r, 20)
 
 
-@_query("k1_vector_topk", with_views(_Q25 + " SELECT query_id, card_id, score, rank FROM top", "vectors"))
+@_query("k1_vector_topk", with_views(_TOP + " SELECT query_id, card_id, score, rank FROM top", "vectors"))
 def k1(spark, d):
     return _top(spark, d)
 
 
-@_query("a1_max_similarity", with_views(_Q25 + " SELECT query_id, card_id, round(least(greatest((score + 1) / 2, 0), 1), 7) AS similarity FROM s", "vectors"))
+@_query("a1_max_similarity", with_views(_TOP + " SELECT query_id, card_id, round(least(greatest((score + 1) / 2, 0), 1), 7) AS similarity FROM k WHERE rank <= 80", "vectors"))
 def a1(spark, d):
     q, r = _sides(spark, d)
-    best = similarity.max_similarity(q.select("query_id", "vector"), r)
+    best = similarity.vector_topk(q.select("query_id", "vector"), r, 80)
     return best.select("query_id", "card_id", F.round(similarity.rescaled(F.col("score")), 7).alias("similarity"))
 
 
-@_query("a3_retrieval_metrics", with_views(_Q25 + """, e AS (SELECT q.query_id, min(top.rank) AS rank FROM q LEFT JOIN (SELECT DISTINCT label, card_id FROM r) l ON l.label = q.label
+@_query("a3_retrieval_metrics", with_views(_TOP + """, e AS (SELECT q.query_id, min(top.rank) AS rank FROM q LEFT JOIN (SELECT DISTINCT label, card_id FROM r) l ON l.label = q.label
   LEFT JOIN top ON top.query_id = q.query_id AND top.card_id = l.card_id GROUP BY q.query_id)
 SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS topn,
  round(avg(CASE WHEN rank <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top20, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM e""", "vectors"))
@@ -203,18 +207,18 @@ def a3(spark, d):
     return similarity.retrieval_metrics(similarity.expected_rank(_top(spark, d), labels), 5)
 
 
-@_query("f4_auto_select", with_views(_Q25 + " SELECT query_id, arg_min(card_id, rank) AS card_id, min(rank) AS rank FROM top WHERE score >= 0.2 GROUP BY query_id", "vectors"))
+@_query("f4_auto_select", with_views(_TOP + " SELECT query_id, arg_min(card_id, rank) AS card_id, min(rank) AS rank FROM top WHERE score >= 0.2 GROUP BY query_id", "vectors"))
 def f4(spark, d):
     return similarity.auto_select(_top(spark, d), 0.2)
 
 
-@_query("f5_needs_review", with_views(_Q25 + " SELECT query_id, max(score) AS best, max(score) < 0.72 AS review FROM top GROUP BY query_id", "vectors"))
+@_query("f5_needs_review", with_views(_TOP + " SELECT query_id, max(score) AS best, max(score) < 0.72 AS review FROM top GROUP BY query_id", "vectors"))
 def f5(spark, d):
     best = _top(spark, d).groupBy("query_id").agg(F.max("score").alias("best"))
     return best.withColumn("review", similarity.needs_review(F.col("best")))
 
 
-@_query("w2_expected_rank", with_views(_Q25 + """ SELECT q.query_id, min(top.rank) AS rank FROM q JOIN (SELECT DISTINCT label, card_id FROM r) l ON l.label = q.label
+@_query("w2_expected_rank", with_views(_TOP + """ SELECT q.query_id, min(top.rank) AS rank FROM q JOIN (SELECT DISTINCT label, card_id FROM r) l ON l.label = q.label
   LEFT JOIN top ON top.query_id = q.query_id AND top.card_id = l.card_id GROUP BY q.query_id""", "vectors"))
 def w2(spark, d):
     q, r = _sides(spark, d)
@@ -222,27 +226,12 @@ def w2(spark, d):
     return similarity.expected_rank(_top(spark, d), labels)
 
 
-@_query("k5_candidate_topk", with_views(_Q25 + " SELECT query_id, card_id, score, rank FROM top WHERE rank <= 8", "vectors"))
+@_query("k5_candidate_topk", with_views(_TOP + " SELECT query_id, card_id, score, rank FROM top WHERE rank <= 8", "vectors"))
 def k5(spark, d):
     return similarity.rank_candidates(_top(spark, d).drop("rank"), 8)
 
 
-@_query("k2_coarse_to_fine", with_views(_Q25 + """, f AS (SELECT query_id, card_id, score, round(0.62::DOUBLE * score + 0.38::DOUBLE * ((card_id % 100) / 100::DOUBLE), 6) AS fine FROM top WHERE rank <= 15),
-g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, card_id) AS INT) AS rank FROM f) SELECT * FROM g WHERE rank <= 5""", "vectors"))
-def k2(spark, d):
-    fine = F.round(0.62 * F.col("score") + 0.38 * ((F.col("card_id") % 100) / 100.0), 6)
-    return similarity.coarse_to_fine(_top(spark, d).drop("rank").withColumn("fine", fine), 15, 5)
-
-
-@_query("k2_coarse_to_fine_whole", with_views(_Q25 + """, f AS (SELECT query_id, card_id, score, round(0.62::DOUBLE * score + 0.38::DOUBLE * ((card_id % 100) / 100::DOUBLE), 6) AS fine FROM k WHERE rank <= 80),
-g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, card_id) AS INT) AS rank FROM f) SELECT * FROM g WHERE rank <= 10""", "vectors"))
-def k2_whole(spark, d):
-    q, r = _sides(spark, d)
-    fine = F.round(0.62 * F.col("score") + 0.38 * ((F.col("card_id") % 100) / 100.0), 6)
-    return similarity.coarse_to_fine(similarity.vector_topk(q.select("query_id", "vector"), r, 80).drop("rank").withColumn("fine", fine), 80, 10)
-
-
-@_query("a15_best_per_card", with_views(_Q25 + " SELECT card_id, max(score) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM top GROUP BY card_id", "vectors"))
+@_query("a15_best_per_card", with_views(_TOP + " SELECT card_id, max(score) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM top GROUP BY card_id", "vectors"))
 def a15(spark, d):
     return similarity.best_per_card(_top(spark, d))
 
@@ -259,12 +248,11 @@ def _centered(v: str) -> str:
 c AS (SELECT *, {_centered('h')} AS c FROM h),
 s AS (SELECT q.vec_id AS query_id, r.card_id, r.vec_id, round(0.72::DOUBLE * greatest(0, 1 - bit_count(xor(q.bits, r.bits)) / 64.0::DOUBLE)
     + (1 - 0.72::DOUBLE) * least(greatest((list_inner_product(q.c, r.c) / sqrt(list_inner_product(q.c, q.c) * list_inner_product(r.c, r.c)) + 1) / 2, 0), 1), 6) AS score
-  FROM c q JOIN c r ON q.vec_id % 25 = 0 AND r.vec_id % 25 <> 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id, card_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, card_id, score, vec_id FROM k WHERE k = 1""", "vectors"))
+  FROM c q JOIN c r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, card_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, card_id, score, vec_id FROM k WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, card_id) <= 80""", "vectors"))
 def a2(spark, d):
-    h = fx.vectors(spark, d).select("vec_id", "card_id", F.transform("vector", F.abs).alias("histogram"), similarity.sign_hash(F.col("vector")).alias("hash"))
-    q = h.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "hash", "histogram")
-    return similarity.best_coarse(q, h.where("vec_id % 25 <> 0"))
+    h = _prints(spark, d)
+    return similarity.best_coarse(h.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), h)
 
 
 # Catalogue

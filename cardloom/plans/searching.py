@@ -8,6 +8,7 @@ from ..functions import search as s
 from ..operators import rerank, search, similarity
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
+from ..sources.scratch import kept
 from .base import _query
 
 # Keys
@@ -195,19 +196,57 @@ def a13(spark, d):
     return search.dedupe_results(x, "id", list(ids))
 
 
-@_query("j7_band_equivalents", with_views(f""", x AS (SELECT id, language, id % 250 AS n, {_TOKEN.format('name')} AS key FROM cards),
-j AS (SELECT a.id AS source_id, min((abs(a.n - b.n), b.id)) AS m FROM x a JOIN x b ON a.language = 'en' AND b.language = 'ja' AND a.key = b.key AND abs(a.n - b.n) <= 10 GROUP BY a.id) SELECT source_id, m[2] AS other_id, m[1] AS distance FROM j""", "cards"))
+# Cards in another language: Japanese cards of a set against the English ones of the set that follows it by name
+
+_DETAILS = """br AS (SELECT p_brand AS set_id, lead(p_brand) OVER (ORDER BY p_brand) AS other_set FROM (SELECT DISTINCT p_brand FROM part)),
+de AS (SELECT id, set_id, local_id, language, CASE WHEN id % 13 <> 0 THEN {'illustrator': CASE WHEN id % 5 <> 1 OR id % 3 = 0 THEN 'a' || (id % 3) ELSE '' END, 'hp': id % 4 * 10, 'stage': 's' || (id % 2), 'types': CASE id % 3 WHEN 0 THEN ['x'] WHEN 1 THEN ['x', 'y'] ELSE [] END, 'sig': CASE WHEN id % 4 = 0 THEN '' ELSE 'cc' || (id % 4) || ':' || (id % 5) || '|:' END} END AS detail FROM catalogue),
+kd AS (SELECT *, regexp_replace(upper(regexp_replace(split_part(local_id, '/', 1), '[^A-Za-z0-9]', '', 'g')), '^([A-Z]*?)0*([0-9]+)$', '\\1\\2') AS key FROM de),
+np AS (SELECT a.id, b.id AS other_id, a.key = b.key AS same, coalesce(abs(TRY_CAST(a.key AS INT) - TRY_CAST(b.key AS INT)), 0) AS distance, coalesce(2 * abs(TRY_CAST(a.key AS INT) - TRY_CAST(b.key AS INT)) + CASE WHEN TRY_CAST(b.key AS INT) > TRY_CAST(a.key AS INT) THEN 1 ELSE 0 END, 0) AS place, a.detail AS d, b.detail AS o
+  FROM kd a JOIN br USING (set_id) JOIN kd b ON b.set_id = br.other_set AND a.language = 'ja' AND b.language = 'en' AND (CASE WHEN TRY_CAST(a.key AS INT) IS NULL THEN a.key = b.key ELSE TRY_CAST(b.key AS INT) > 0 AND abs(TRY_CAST(a.key AS INT) - TRY_CAST(b.key AS INT)) <= 10 END))"""
+
+
+def _details(spark, d):
+    k = F.col("id")
+    t = lambda x: x.cast("string")
+    attack = lambda cost, damage: F.struct(cost.alias("cost"), damage.alias("damage"))
+    none = F.lit(None).cast("string")
+    attacks = F.when(k % 4 == 0, F.array().cast("array<struct<cost:array<string>,damage:string>>")).otherwise(F.array(attack(F.array(F.lit("c"), F.concat(F.lit("c"), t(k % 4))), t(k % 5)), attack(F.array().cast("array<string>"), none)))
+    detail = F.struct(
+        F.when((k % 5 != 1) | (k % 3 == 0), F.concat(F.lit("a"), t(k % 3))).otherwise("").alias("illustrator"), (k % 4 * 10).alias("hp"), F.concat(F.lit("s"), t(k % 2)).alias("stage"),
+        F.when(k % 3 == 0, F.array(F.lit("x"))).when(k % 3 == 1, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>")).alias("types"), attacks.alias("attacks"))
+    return fx.catalogue(spark, d).select("id", "set_id", "local_id", "language", F.when(k % 13 != 0, detail).alias("detail"))
+
+
+def _language_pairs(spark, d):
+    from pyspark.sql import Window
+
+    c = _details(spark, d)
+    brands = fx.table(spark, d, "part").select(F.col("p_brand").alias("set_id")).distinct()  # as many rows as there are sets
+    sets = brands.withColumn("other_set", F.lead("set_id").over(Window.orderBy("set_id"))).where("other_set is not null")
+    return c.where("language = 'ja'").drop("language"), c.where("language = 'en'").drop("language"), sets
+
+
+@_query("j7_band_equivalents", with_views(f", {_DETAILS} SELECT id AS source_id, other_id, CAST(distance AS INT) AS distance, CAST(place AS INT) AS place FROM np", "catalogue"))
 def j7(spark, d):
-    c = fx.cards(spark, d).select("id", "name", "language", (F.col("id") % 250).alias("number"))
-    return search.band_equivalents(c.where("language = 'en'"), c.where("language = 'ja'"))
+    return search.near_numbers(*_language_pairs(spark, d)).select(F.col("id").alias("source_id"), "other_id", "distance", "place")
+
+
+@_query("c19_equivalents", with_views(f"""{", "}{_DETAILS}, sc AS (SELECT *, CASE WHEN d IS NOT NULL THEN CASE WHEN same THEN 8 ELSE 0 END + CASE WHEN d.illustrator <> '' AND d.illustrator = o.illustrator THEN 70 ELSE 0 END + CASE WHEN d.hp <> 0 AND d.hp = o.hp THEN 20 ELSE 0 END
+  + CASE WHEN d.stage = o.stage THEN 12 ELSE 0 END + CASE WHEN len(d.types) > 0 AND d.types = o.types THEN 18 ELSE 0 END + CASE WHEN d.sig <> '' AND d.sig = o.sig THEN 30 ELSE 0 END END AS score FROM np),
+f AS (SELECT * FROM sc WHERE score >= 70 OR (score IS NULL AND same) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, place, other_id) = 1) SELECT id AS source_id, other_id, score FROM f""", "catalogue"))
+def c19(spark, d):
+    return search.equivalents(*_language_pairs(spark, d))
 
 
-@_query("j13_resolve_external", with_views(""", i AS (SELECT CAST(o_orderkey AS VARCHAR) AS external FROM orders), r AS (SELECT id, 0 AS priority, CAST(CASE WHEN id % 3 = 0 THEN id * 2 END AS VARCHAR) AS external FROM cards UNION ALL SELECT id, 1, CAST(id AS VARCHAR) FROM cards UNION ALL SELECT id, 2, CAST(id + 7 AS VARCHAR) FROM cards)
-SELECT external, min((priority, id))[2] AS id, min((priority, id))[1] AS priority FROM i JOIN r USING (external) GROUP BY external""", "cards"))
+@_query("j13_resolve_external", with_views(""", m AS (SELECT count(*) AS n FROM cards), h AS (SELECT o_orderkey AS ask, CAST(o_orderkey * 7 % n AS VARCHAR) AS external, place, (o_orderkey * f + place) % n AS id FROM orders, m, (VALUES (0, 3), (1, 7), (2, 13)) t(place, f)),
+k AS (SELECT *, CAST(external IN (CAST(id * 2 AS VARCHAR), CAST(id AS VARCHAR), CAST(id - 1 AS VARCHAR)) AS BOOLEAN) AS exact FROM h)
+SELECT ask, id, place, exact FROM k QUALIFY row_number() OVER (PARTITION BY ask ORDER BY exact DESC, place) = 1""", "cards"))
 def j13(spark, d):
-    k = F.col("id")
-    records = fx.cards(spark, d).select("id", F.when(k % 3 == 0, k * 2).alias("a"), k.alias("b"), (k + 7).alias("c"))
-    return search.resolve_external(fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("external")), records, ["a", "b", "c"])
+    n = fx.cards(spark, d).count()
+    hits = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("ask"), (F.col("o_orderkey") * 7 % n).cast("string").alias("external"), F.inline(F.array(*(
+        F.struct(F.lit(i).alias("place"), ((F.col("o_orderkey") * f + i) % n).alias("id")) for i, f in enumerate((3, 7, 13))))))
+    keyed = hits.withColumns({"a": F.col("id") * 2, "b": F.col("id"), "c": F.col("id") - 1})
+    return search.first_exact(keyed, "ask", "external", ["a", "b", "c"], "place").select("ask", "id", "place", "exact")
 
 
 _LINKS = """l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS place FROM pages),
@@ -223,16 +262,16 @@ def k7(spark, d):
     return search.best_link(page_links(fx.table(spark, d, "pages")), has("TH", 5) + has("A", 2) + has("RE", 8), 2)
 
 
-# Matching: vectors whose id is divisible by 25 against the rest, as in K1
+# Matching: vectors whose id is divisible by 20 against all others, as in K1
 
 def _hash_views():
-    from .registry import _Q25, _centered, _hist
+    from .registry import _TOP, _centered, _hist
 
-    return _Q25 + f""", h AS (SELECT vec_id, card_id, {_hist('vector')} AS h, list_reduce(list_transform(vector, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS bits FROM vectors),
+    return _TOP + f""", h AS (SELECT vec_id, card_id, {_hist('vector')} AS h, list_reduce(list_transform(vector, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS bits FROM vectors),
 cc AS (SELECT *, {_centered('h')} AS c FROM h),
 co AS (SELECT q.vec_id AS query_id, r.card_id, max(round(0.72::DOUBLE * greatest(0, 1 - bit_count(xor(q.bits, r.bits)) / 64.0::DOUBLE)
     + (1 - 0.72::DOUBLE) * least(greatest((list_inner_product(q.c, r.c) / sqrt(list_inner_product(q.c, q.c) * list_inner_product(r.c, r.c)) + 1) / 2, 0), 1), 6)) AS score
-  FROM cc q JOIN cc r ON q.vec_id % 25 = 0 AND r.vec_id % 25 <> 0 GROUP BY ALL),
+  FROM cc q JOIN cc r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id GROUP BY ALL),
 si AS (SELECT query_id, card_id, round(least(greatest((score + 1) / 2, 0), 1), 7) AS similarity FROM s),
 mi AS (SELECT co.query_id, co.card_id, similarity, round(co.score * (1 - 0.52::DOUBLE) + similarity * 0.52::DOUBLE, 6) AS coarse, round((co.score * (1 - 0.52::DOUBLE) + similarity * 0.52::DOUBLE), 17) AS c0 FROM co JOIN si USING (query_id, card_id)),
 fi AS (SELECT *, round(coarse * 0.62::DOUBLE * (1 - 0.52::DOUBLE) + similarity * 0.52::DOUBLE, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY coarse DESC, card_id) AS k FROM mi),
@@ -240,9 +279,10 @@ vm AS (SELECT query_id, card_id, coarse, similarity, final AS score, CAST(row_nu
 
 
 def _visual(spark, d, top=10):
-    from .registry import a1, a2
+    from .registry import _prints
 
-    return rerank.visual_match(a2(spark, d).drop("vec_id"), a1(spark, d), top=top)
+    h = _prints(spark, d)
+    return rerank.visual_match(similarity.visual_candidates(h.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), h), top=top)
 
 
 def _register_matching():
@@ -252,6 +292,14 @@ def _register_matching():
     def c1(spark, d):
         return _visual(spark, d)
 
+    @_query("k2_coarse_to_fine", with_views(views + " SELECT query_id, card_id, score AS fine, rank FROM vm WHERE rank <= 5", "vectors"))
+    def k2(spark, d):
+        return _visual(spark, d, 5).select("query_id", "card_id", F.col("score").alias("fine"), "rank")
+
+    @_query("k2_coarse_to_fine_whole", with_views(views + " SELECT query_id, card_id, score AS fine, rank FROM vm WHERE rank <= 10", "vectors"))
+    def k2_whole(spark, d):
+        return _visual(spark, d, 10).select("query_id", "card_id", F.col("score").alias("fine"), "rank")
+
     @_query("j3_attach_cards", with_views(views + " SELECT query_id, card_id, rank, name, set_id FROM vm JOIN cards ON cards.id = card_id WHERE rank <= 10", "vectors", "cards"))
     def j3(spark, d):
         return rerank.attach_cards(_visual(spark, d), fx.cards(spark, d)).select("query_id", "card_id", "rank", "name", "set_id")
@@ -275,11 +323,11 @@ def _register_matching():
 
     @_query("x9_number_and_language_scores", with_views(views + reads + " SELECT query_id, card_id, CAST(c AS DOUBLE) AS number_score, CAST(l AS DOUBLE) AS language_score FROM sc", "vectors", "cards"))
     def x9(spark, d):
-        return _reranked(spark, d, 10).select("query_id", "card_id", "number_score", "language_score")
+        return rerank.shown(_reranked(spark, d, 10)).select("query_id", "card_id", "number_score", "language_score")
 
     @_query("c2_text_rerank")
     def c2(spark, d):
-        return _reranked(spark, d).select("query_id", "card_id", "visual_score", "name_score", "number_score", "language_score", "confidence", "rank")
+        return rerank.shown(_reranked(spark, d)).select("query_id", "card_id", "visual_score", "name_score", "number_score", "language_score", "confidence", "rank")
 
     @_query("c3_recognition")
     def c3(spark, d):
@@ -287,8 +335,9 @@ def _register_matching():
 
 
 def _reranked(spark, d, top=8):
-    matches = _visual(spark, d).drop("rank").join(fx.cards(spark, d).select(F.col("id").alias("card_id"), "name", "local_id", "language"), "card_id")
-    best = _visual(spark, d, 1).join(fx.cards(spark, d).withColumnRenamed("id", "card_id"), "card_id")
+    seen = kept(_visual(spark, d), "matches")
+    matches = seen.drop("rank").join(fx.cards(spark, d).select(F.col("id").alias("card_id"), "name", "local_id", "language"), "card_id")
+    best = seen.where("rank = 1").join(fx.cards(spark, d).withColumnRenamed("id", "card_id"), "card_id")
     k = F.col("query_id")
     evidence = best.select(
         "query_id", F.when(k % 4 == 0, "").when(k % 4 == 1, F.col("name")).when(k % 4 == 2, F.concat(F.lit("rare "), F.upper("name"))).alias("read_name"),

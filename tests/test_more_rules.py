@@ -141,10 +141,38 @@ def test_rerank_by_number(spark):
     assert [(r.card_id, r.confidence) for r in alone] == [(25, 0.9), (84, 0.72)]
     best = rerank.recognition(rerank.rerank(matches, evidence)).first()
     assert (best.card_id, best.needs_review, best.number, best.candidates) == (84, False, "084/165", [84, 25])
+    close = spark.createDataFrame([(1, 2, 0.720000, 0.720000, "x", "1", "en"), (1, 3, 0.720004, 0.720004, "x", "1", "en"), (2, 4, 0.719996, 0.719996, "x", "1", "en")], matches.schema)
+    ranked = rerank.rerank(close, evidence.limit(0))
+    assert [r.card_id for r in ranked.where("query_id = 1").orderBy("rank").collect()] == [3, 2]  # by what is not rounded
+    assert [(r.query_id, r.confidence, r.needs_review) for r in rerank.recognition(ranked).orderBy("query_id").collect()] == [(1, 0.72, False), (2, 0.72, True)]
     assert rerank.similarity("Charzard", "charizard") == SequenceMatcher(None, "charzard", "charizard").ratio()
     assert (rerank.similarity("Pikachu", "PIKACHU ex"), rerank.similarity("", "x"), rerank.similarity("Ａb", "ab")) == (0.88, 0.0, 1.0)
 
 
+def test_equivalents(spark):
+    none = (None,) * 5
+    detail = "struct<illustrator:string,hp:int,stage:string,types:array<string>,attacks:array<struct<cost:array<string>,damage:string>>>"
+    full = ("Ann", 60, "Basic", ["Fire"], [(["F", "C"], "20"), ([], None)])
+    source = [
+        (1, "SV2a", "025/165", full), (2, "SV2a", "30", None), (3, "SV2a", "TG5", full), (4, "other", "25", full), (5, "SV2a", "100", none), (6, "SV2a", "5", ("", 0, "Basic", [], None))]
+    other = [
+        (11, "sv03.5", "025", none), (12, "sv03.5", "035", full), (13, "sv03.5", "36", full), (14, "sv03.5", "15", full), (15, "sv03.5", "30", None), (16, "sv03.5", "TG05", ("Ann", 0, "", None, None)),
+        (17, "sv03.5", "100", none), (18, "sv03.5", "5", ("", 0, "Basic", [], None)), (19, "sv03.5", "0", full)]
+    cols = f"id long, set_id string, local_id string, detail {detail}"
+    sets = spark.createDataFrame([("sv2a", "sv03.5"), ("sv4a", "sv04.5")], "set_id string, other_set string")
+    got = search.equivalents(spark.createDataFrame(source, cols), spark.createDataFrame(other, cols), sets).orderBy("source_id").collect()
+    # 1: 70 + 20 + 12 + 18 + 30, of two as near the lower; 2: no detail, so the same number; 3: the same illustrator and number; 5 and 6: too few points
+    assert [tuple(r) for r in got] == [(1, 14, 150), (2, 15, None), (3, 16, 78)]
+    assert one(spark, search.attack_signature(F.lit(None).cast("array<struct<cost:array<string>,damage:string>>"))) == ""
+
+
+def test_first_exact(spark):
+    rows = [("a", 0, "x", None, 5), ("a", 1, "y", "a", 6), ("a", 2, "a", "a", 7), ("b", 1, "x", "y", 8), ("b", 0, "p", None, 9), ("5", 0, "x", None, 1), ("5", 1, "x", "q", 5)]
+    df = spark.createDataFrame([(r[0], *r) for r in rows], "ask string, wanted string, place int, k1 string, k2 string, k3 int")
+    got = {r.ask: (r.place, r.exact) for r in search.first_exact(df, "ask", "wanted", ["k1", "k2", "k3"], "place").collect()}
+    assert got == {"a": (1, True), "b": (0, False), "5": (1, True)}
+
+
 def test_stream_of_decisions_equals_batch(spark, tmp_path):
     from cardloom.plans import registry
     from cardloom.sources import fixtures as fx
