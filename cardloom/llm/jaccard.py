@@ -27,6 +27,8 @@ BAND = 1.5
 STEP = 1 << 19
 #: Members of a tile that meet in one group; larger tiles are cut into blocks.
 MEMBERS = 256
+#: Tiles that a member of open tiles carries, the smallest, so that a pair which shares several is made in the first alone.
+CARRIED = 16
 #: Documents whose ids may be broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 
@@ -323,12 +325,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     narrow = signs.drop("wide")
     links = written(_linked(_candidates(stars, narrow, percent), signs, docs, shingle, percent), "links")
     rest = _open(shared, links).where("doc_id <> first").withColumn("lone", F.col("component") != F.col("common"))  # the first has met all
-    rest = written(rest.join(narrow, "doc_id"), "open-rows")
+    carried = rest.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, CARRIED).alias("carried"))
+    rest = written(rest.join(narrow, "doc_id").join(carried, "doc_id"), "open-rows")
     blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
     left = rest.where("lone").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    # both ends of a pair are in its least shared tile, where it is made; a tile is passed over only for a smaller one that both carry
+    first = ~F.coalesce(F.array_min(F.array_intersect("x.carried", "y.carried")) < F.col("x.tile"), F.lit(False))
     apart = (
-        left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.component <> y.component AND (NOT y.lone OR x.doc_id < y.doc_id)") & _alike("x", "y", percent))
+        left.alias("x").join(right.alias("y"), F.expr("x.tile = y.tile AND x.block = y.block AND x.component <> y.component AND (NOT y.lone OR x.doc_id < y.doc_id)") & _alike("x", "y", percent) & first)
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     )
     more = written(_linked(apart, signs, docs, shingle, percent), "links")
