@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,16 @@ def _priced(record: Column, market: str, unit: str, variant: Column) -> Column:
         F.lit(market).alias("market"), F.lit(unit).alias("unit"), variant.alias("variant"), e["key"].alias("measure"), F.try_variant_get(e["value"], "$", "double").alias("value")))
 
 
+def _variant_prices(market: str, unit: str) -> Callable[[Column], Column]:
+    return lambda e: _priced(e["value"], market, unit, e["key"])
+
+
 def _prices(record: Column, kind: str) -> Column:
     parts = []
     for path, market, unit in PRICES[kind]:
         if path and path[-1] == "*":
             named = F.filter(_entries(at(record, *path[:-1])), lambda e: F.coalesce(is_record(e["value"]), F.lit(False)))
-            parts.append(F.flatten(F.transform(named, lambda e, m=market, u=unit: _priced(e["value"], m, u, e["key"]))))
+            parts.append(F.flatten(F.transform(named, _variant_prices(market, unit))))
         else:
             parts.append(_priced(at(record, *path) if path else record, market, unit, F.lit("")))
     return F.concat(*parts).cast(_ENTRY)
