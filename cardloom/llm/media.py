@@ -102,7 +102,8 @@ def write_stream(payload: bytes) -> bytes:
 def read_stream(media: bytes) -> dict:
     """Parse a transport stream by its own tables; raises ValueError where it is broken.
 
-    Returns ``payload``, ``units`` (timestamp, offset, length, random access), ``program``,
+    The first program is read; an entry for the network before it is passed over. A packet that repeats the one before it of its
+    stream, as the format allows, counts once, and where a packet says that its counter jumps, that is no gap. Returns ``payload``, ``units`` (timestamp, offset, length, random access), ``program``,
     ``table_pid``, ``stream_pid``, ``packets`` and ``gaps`` (continuity errors).
     """
     if len(media) % PACKET or not media:
@@ -129,16 +130,27 @@ def read_stream(media: bytes) -> dict:
             raise ValueError("a program table is missing")
         return found[8 : 3 + (struct.unpack_from(">H", found, 1)[0] & 0xFFF) - 4]
 
-    program, table = struct.unpack_from(">HH", section(PAT_PID))
-    table &= 0x1FFF
+    listed = section(PAT_PID)
+    entries = [struct.unpack_from(">HH", listed, i) for i in range(0, len(listed) - 3, 4)]
+    program, table = next(((n, pid & 0x1FFF) for n, pid in entries if n), (0, 0))  # number 0 names the network's table
+    if not program:
+        raise ValueError("a program table is missing")
     body = section(table)
     at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
     stream = struct.unpack_from(">H", body, at + 1)[0] & 0x1FFF
-    gaps = 0
-    for pid in (PAT_PID, table, stream):
-        c = counts[(pids == pid) & (control & 1 > 0)].astype(np.int16)
-        gaps += int((np.diff(c) % 16 != 1).sum())
-    rows = np.flatnonzero((pids == stream) & (control & 1 > 0))
+    jumps = (control & 2 > 0) & (packets[:, 4] > 0) & (packets[:, 5] & 0x80 > 0)
+
+    def once(pid: int) -> tuple[np.ndarray, int]:
+        """The packets of a stream that hold data, without repeated ones, and how often its counter is broken."""
+        at = np.flatnonzero((pids == pid) & (control & 1 > 0))
+        same = np.flatnonzero(counts[at[1:]] == counts[at[:-1]]) + 1
+        again = [i for i in same if packets[at[i], offsets[at[i]] :].tobytes() == packets[at[i - 1], offsets[at[i - 1]] :].tobytes()]
+        at = np.delete(at, again)
+        return at, int(((np.diff(counts[at].astype(np.int16)) % 16 != 1) & ~jumps[at[1:]]).sum())
+
+    gaps = sum(once(pid)[1] for pid in (PAT_PID, table))
+    rows, broken = once(stream)
+    gaps += broken
     es, begin = packets[rows], offsets[rows]
     data = es[np.arange(PACKET) >= begin[:, None]].tobytes()
     starts = np.flatnonzero(es[:, 1] & 0x40)

@@ -114,7 +114,7 @@ def read(lists: Lists, queries: np.ndarray, own: np.ndarray, best: Best) -> None
 
 def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, part: int = PART) -> pd.DataFrame:
     """Ids and scores of the ``k`` best candidates of each query but its own row, ties to the smaller id."""
-    kind = fitting(most(values) * most(queries) * values.shape[1])
+    kind = fitting(sum(most(v) * most(q) for v, q in zip(values.T, queries.T, strict=True)))
     order = np.argsort(ids, kind="stable")
     ids, values, queries = ids[order], values[order].astype(kind), queries.astype(kind)
     best = Best(len(queries), k)
