@@ -69,11 +69,11 @@ def parsed_queries(queries: DataFrame, aliases: DataFrame, codes: DataFrame | No
     text = search_token(F.col("query"))
     hits = set_hits(queries, aliases)
     terms = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("_t"))
-    wanted = hit_aliases(hits, aliases, codes).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "set_id", "language", "label"))).alias("_s"))
+    wanted = hit_aliases(hits, aliases, codes).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "set_id", "language", "label", search_token(F.col("label")).alias("label_key")))).alias("_s"))
     found = queries.join(terms, "query_id", "left").join(wanted, "query_id", "left")
     found = found.withColumn("_p", parse_query(without_terms(text, F.transform("_t", lambda t: t["term"]))))
     first = F.coalesce(F.try_element_at("_t", F.lit(1))["term"], F.lit(""))
-    sets = F.coalesce("_s", F.array().cast("array<struct<at:int,set_id:string,language:string,label:string>>"))
+    sets = F.coalesce("_s", F.array().cast("array<struct<at:int,set_id:string,language:string,label:string,label_key:string>>"))
     meant = F.filter(sets, lambda s: (search_token(s["set_id"]) != "") & F.endswith(first, search_token(s["set_id"])))
     return found.select(
         *queries.columns, text.alias("text"), F.col("_p.number").alias("number"), first_digits(F.col("_p.number")).alias("digits"), F.col("_p.tokens").alias("tokens"),
@@ -95,7 +95,7 @@ def same_number(wanted: Column, digits: Column, number_key: Column, digits_key:
 def wanted_sets(parsed: DataFrame, preferred: str | None = None, bucket: str | None = None) -> DataFrame:
     """Sets in which a query's number is looked up, each with a language: the aliases of a query, and those of the same kind of
     language in the ``preferred`` one. ``at`` orders them: the preferred language, then its ``bucket``, then English."""
-    base = parsed.where("number <> ''").select("query_id", "number", "digits", "tokens", F.inline("sets"))
+    base = parsed.where("number <> ''").select("query_id", "number", "digits", "tokens", F.inline("sets")).drop("label_key")
     kind = lambda x: F.when(x.isin(*ASIAN), "asian").when(x.isin(*WESTERN), "western")
     if preferred:
         more = base.where((kind(F.col("language")) == kind(F.lit(preferred))) & (F.col("language") != preferred))
@@ -182,7 +182,7 @@ def broad(parsed: DataFrame, cards: DataFrame) -> DataFrame:
 
 def in_known_set(sets: Column, set_id: Column, set_key: Column) -> Column:
     """Whether a card's set is one of a query's: by its id, or as its name holds the alias's label."""
-    return F.exists(sets, lambda s: (s["set_id"] == set_id) | ((search_token(s["label"]) != "") & F.contains(set_key, search_token(s["label"]))))
+    return F.exists(sets, lambda s: (s["set_id"] == set_id) | ((s["label_key"] != "") & F.contains(set_key, s["label_key"])))
 
 
 def score(preferred: str | None = None, bucket: str | None = None) -> Column:
