@@ -412,4 +412,4 @@ def st1_fresh(spark, d):
     return fresh(latest(fx.table(spark, d, "events"), ["user_id", "event_type"]), F.lit("2024-01-29 00:00:00").cast("timestamp"))
 
 
-from . import links, markup, more, payloads, pricing, scanning, searching  # noqa: E402, F401  each registers its queries
+from . import addresses, links, markup, more, payloads, pricing, scanning, searching  # noqa: E402, F401  each registers its queries
