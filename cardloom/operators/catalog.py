@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_uid, normalize_number, variant_class
+from .ranks import values_at_ranks
 
 
 def with_uid(cards: DataFrame) -> DataFrame:
@@ -55,13 +56,16 @@ def category_counts(points: DataFrame, *by: str) -> DataFrame:
 
 
 def axis_bounds(points: DataFrame, axes: Sequence[str], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    return points.agg(*(F.round(F.percentile(a, q), 6).alias(f"{a}_{n}") for a in axes for n, q in (("lo", lo), ("hi", hi))))
+    """One row with the quantiles ``lo`` and ``hi`` of each axis, to six places; see ``quantiles``."""
+    found = quantiles(points, axes, (lo, hi))
+    return found.agg(*(F.round(F.max(F.when((F.col("axis") == a) & (F.col("q") == q), F.col("value"))), 6).alias(f"{a}_{n}") for a in axes for n, q in (("lo", lo), ("hi", hi))))
 
 
 def focus(points: DataFrame, axes: Sequence[str], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
     """Points within the quantile bounds on all axes; the bounds are one row."""
-    bounds = points.agg(*(F.percentile(a, F.array(F.lit(lo), F.lit(hi))).alias(f"_{a}") for a in axes))
-    inside = reduce(lambda a, b: a & b, [F.col(a).between(F.col(f"_{a}")[0], F.col(f"_{a}")[1]) for a in axes])
+    found = quantiles(points, axes, (lo, hi))
+    bounds = found.agg(*(F.max(F.when((F.col("axis") == a) & (F.col("q") == q), F.col("value"))).alias(f"_{a}_{n}") for a in axes for n, q in (("lo", lo), ("hi", hi))))
+    inside = reduce(lambda a, b: a & b, [F.col(a).between(F.col(f"_{a}_lo"), F.col(f"_{a}_hi")) for a in axes])
     return points.join(F.broadcast(bounds)).where(inside).select(*points.columns)
 
 
@@ -100,6 +104,23 @@ def complete(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.where(reduce(lambda a, b: a & b, there))
 
 
+def quantiles(points: DataFrame, axes: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """Exact quantiles of columns, between two values in proportion: ``axis``, ``q``, ``value``. Nulls do not count; a column without values has no rows."""
+    long = points.select(F.inline(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in axes))))
+    place = lambda q, n: q * (n - 1) + 1
+    ranks = lambda n: F.array(*(f(place(q, n)) for q in at for f in (F.floor, F.ceil)))
+    found = values_at_ranks(long, ["axis"], "value", ranks)
+    entry = F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_v")
+    by_axis = found.groupBy("axis").agg(entry, F.max("n").alias("n"))
+
+    def between(q: float) -> Column:
+        exact = place(q, F.col("n"))
+        low, high = F.element_at("_v", F.floor(exact)), F.element_at("_v", F.ceil(exact))
+        return F.struct(F.lit(float(q)).alias("q"), (low + (high - low) * (exact - F.floor(exact))).alias("value"))
+
+    return by_axis.select("axis", F.inline(F.array(*map(between, at))))
+
+
 def manifest(crops: DataFrame, by: str, crop: str) -> DataFrame:
     """Per label its crops in order, and how many there are."""
     return complete(crops, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(crop)).alias("crops"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import catalog, deals, prices, similarity
+from ..operators import catalog, deals, prices, ranks, similarity
 from ..sources import fixtures as fx
 from ..sources.fixtures import with_views
 from ..streaming.latest import fresh, latest
@@ -106,7 +106,7 @@ def a5(spark, d):
 
 @_query("a6_upper_median", with_views(", l AS (SELECT product_id, list_sort(list(price) FILTER (price > 0 AND isfinite(price))) AS xs FROM listings GROUP BY product_id) SELECT product_id, xs[1 + len(xs) // 2] AS median FROM l", "listings"))
 def a6(spark, d):
-    return fx.listings(spark, d).groupBy("product_id").agg(money.upper_median(F.collect_list("price")).alias("median"))
+    return ranks.group_upper_median(fx.listings(spark, d), ["product_id"], "price")
 
 
 @_query("a8_variant_price", with_views(""", p AS (SELECT card_id, max(raw) FILTER (source_order = 0) AS a, max(raw) FILTER (source_order = 1) * (1 + card_id % 5) AS b FROM provider_prices GROUP BY card_id)
