@@ -152,11 +152,15 @@ WITH c AS (
 n AS (SELECT *, {_SIZE} + 4 AS n,
     length('<|im_start|>' || replace({_escaped('role')}, chr(10), '<|nl|>') || chr(10) || {_escaped('text')} || '<|im_end|>' || chr(10)) AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM c),
-p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM n),
-w AS (SELECT *, CAST(floor(p / 512) AS BIGINT) AS k FROM p),
-s AS (SELECT conv_id, k, min(p) AS start, min(i) AS i0 FROM w GROUP BY ALL),
+y AS (SELECT *, coalesce(max(CASE WHEN i = 0 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id), 0) AS sys,
+    coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM n),
+p AS (SELECT *, CAST(CASE WHEN i = 0 THEN 0 ELSE q - sys END AS BIGINT) AS p, CASE WHEN i = 0 AND sys > 0 THEN 0 ELSE n END AS m, CAST(greatest(512 - 128 - sys, 1) AS BIGINT) AS room FROM y),
+u AS (SELECT *, p // room AS cell FROM p),
+v AS (SELECT *, max(p + m) OVER g - min(p) OVER g > room AND p = max(p) OVER g AND p > min(p) OVER g AS off FROM u WINDOW g AS (PARTITION BY conv_id, cell)),
+w AS (SELECT *, 2 * cell + CAST(off AS INT) AS k FROM v),
+s AS (SELECT conv_id, k, sys, min(p) AS start, min(i) AS i0, least(128, 512 - sys - (max(p + m) - min(p))) AS back FROM w GROUP BY conv_id, k, sys),
 rep AS (SELECT s.conv_id, sum(w.chars) AS chars FROM s JOIN w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i < s.i0
-    AND (w.p >= s.start - 128 OR (w.i = 0 AND w.role = 'system')) GROUP BY s.conv_id)
+    AND (w.p >= s.start - s.back OR (w.i = 0 AND w.sys > 0)) GROUP BY s.conv_id)
 SELECT w.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
