@@ -19,8 +19,6 @@ from .hashing import mixed
 GROUP_BYTES = 8 << 20
 #: Bytes up to which stretches of every word are looked up; beyond, only stretches that begin as a longer piece does.
 STEM = 16
-#: Log probability of a word that no class can write; nothing else is bound by it.
-FLOOR = -1e5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: The token that ends every text; no word holds a space.
 END = b" "
@@ -192,9 +190,9 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
     vocabulary's pieces, by forward recursion in log space, times that of the word's end. D is n1 /
     (n1 + 2 n2), from the numbers of words seen once and twice. The lattice starts from the
     vocabulary's own scores; ``rounds`` of expectation maximisation over the different training words
-    (each once) fit its weights. The end token has its share of the training tokens alone. Log
-    probabilities stay in log space, so words of any length have their own; where training has no word
-    at all, so that no unseen word has any, one counts ``FLOOR``.
+    (each once) fit its weights. The end token has its share of the training tokens alone. Where training
+    has no word at all the lattice alone scores words. Log probabilities stay in log space, so words of
+    any length have their own.
 
     Where ``docs`` has a column ``class`` (a language, say; of few values, as each has a column of
     counts), counts are kept apart for each value and for null, and a text's probability is the
@@ -253,6 +251,8 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
     discount = np.clip(per[:, 2] / np.maximum(per[:, 2] + 2 * per[:, 3], 1), 0.05, 0.95)
     free = np.where(per[:, 0] > 0, discount * (per[:, 1] - (ends > 0)) / np.maximum(per[:, 0], 1), 1.0)
     share = ends / ends.sum() if ends.sum() else np.eye(many)[0]
+    if not free[share > 0].any():
+        free = np.ones_like(free)  # no training text has a word
 
     model = own = normalised({p: float(np.exp(s)) * 1e4 for p, s in vocabulary(path).items()}, 1e4, prior)
     for _ in range(rounds if kinds else 0):
@@ -264,7 +264,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
             for batch in batches:
                 for _, rows in by_length([w for w in batch.column(0).to_pylist() if w != END]):
                     uses += lattice.expected(rows)
-            hit = np.flatnonzero(uses > 1e-6)
+            hit = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(uses[hit])], ["piece", "uses"])
 
         got = counts.where(every > 0).select("word").mapInArrow(used, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
@@ -294,8 +294,6 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
         with np.errstate(divide="ignore"):
             s = np.logaddexp(np.log(np.maximum(c - discount[:, None], 0) / n), np.log(free)[:, None] + right.column("lattice").to_numpy())
             s[:, index[END]] = np.log(np.maximum(c[:, index[END]], 0.5) / n[:, 0])
-            if not free[share > 0].any():
-                s = np.maximum(s, FLOOR)
             prior_of = np.log(share)
         seen, own = c.sum(0), right.column("own").to_numpy()
         base = np.log10((seen + 0.5) / (tokens + 0.5 * (kinds + 1)))
