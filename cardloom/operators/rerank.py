@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.search import collector_score, language_score
-from ..functions.text import normalize_number
+from ..functions.text import normalize_number, variant_class
+from .catalog import market_queries, with_uid
 from .similarity import coarse_to_fine
 
 #: Weights of the features, alone, and with a collector number read with this confidence.
@@ -107,5 +108,26 @@ def recognition(reranked: DataFrame, cutoff: float = 0.72) -> DataFrame:
         F.transform("c", lambda x: x["card_id"]).alias("candidates"))
 
 
+def recognized_fields(best: DataFrame) -> DataFrame:
+    """Per query what is known of its card, what was read before what the card says: ``query_id``, ``name``, ``collector_number``, ``set_id``,
+    ``set_name``, ``variant_class``, ``language``; all null but the id where there is no card.
+
+    ``best``: query_id, card_id, read_name, read_number, read_language, name, local_id, set_id, set_name, variant, language. Blank and missing readings do not count."""
+    there = F.col("card_id").isNotNull()
+    either = lambda read, own: F.when(there, F.coalesce(F.nullif(F.col(read), F.lit("")), F.col(own)))
+    return best.select(
+        "query_id", either("read_name", "name").alias("name"), either("read_number", "local_id").alias("collector_number"), F.when(there, F.col("set_id")).alias("set_id"),
+        F.when(there, F.col("set_name")).alias("set_name"), F.when(there, variant_class(F.col("variant"))).alias("variant_class"), either("read_language", "language").alias("language"))
+
+
+def recognition_candidates(reranked: DataFrame, cards: DataFrame, limit: int = 8) -> DataFrame:
+    """The first ``limit`` candidates of each query, a row each: ``query_id``, ``rank``, ``card_id``, ``uid``, ``score`` and the features to five places, and the
+    search texts of two markets, ``query_us`` and ``query_eu``. ``cards``: id, name, set_id, local_id, variant, language; candidates of unknown cards go."""
+    first = shown(reranked.where(F.col("rank") <= limit)).select("query_id", "rank", "card_id", F.col("confidence").alias("score"), *(f"{k}_score" for k in WEIGHTS))
+    known = with_uid(cards).select(F.col("id").alias("card_id"), "uid")
+    searched = market_queries(cards).withColumnRenamed("id", "card_id")
+    return first.join(known, "card_id").join(searched, "card_id")
+
+
 def position_penalty(ranked: DataFrame, step: float = 4.0) -> DataFrame:
     return ranked.withColumn("score", F.col("score") - step * (F.col("rank") - 1))

@@ -329,20 +329,34 @@ def _register_matching():
     def c2(spark, d):
         return rerank.shown(_reranked(spark, d)).select("query_id", "card_id", "visual_score", "name_score", "number_score", "language_score", "confidence", "rank")
 
+    @_query("p7_recognized_fields", with_views(views + reads + """ SELECT query_id, coalesce(nullif(read_name, ''), name) AS name, coalesce(nullif(read_number, ''), local_id) AS collector_number, set_id, set_id || ' Series' AS set_name,
+      lower(variant) AS variant_class, coalesce(nullif(read_language, ''), language) AS language FROM vm JOIN cards ON cards.id = card_id LEFT JOIN ev USING (query_id) WHERE rank = 1""", "vectors", "cards"))
+    def p7(spark, d):
+        return rerank.recognized_fields(_best_read(spark, d, kept(_visual(spark, d), "matches")).withColumn("set_name", F.concat("set_id", F.lit(" Series"))))
+
+    @_query("p6_recognition_candidates")
+    def p6(spark, d):
+        return rerank.recognition_candidates(_reranked(spark, d), fx.cards(spark, d))
+
     @_query("c3_recognition")
     def c3(spark, d):
         return rerank.recognition(_reranked(spark, d))
 
 
+def _best_read(spark, d, seen):
+    """The best visual match of each query with its card and what was read."""
+    best = seen.where("rank = 1").join(fx.cards(spark, d).withColumnRenamed("id", "card_id"), "card_id")
+    k = F.col("query_id")
+    return best.withColumns({
+        "read_name": F.when(k % 4 == 0, "").when(k % 4 == 1, F.col("name")).when(k % 4 == 2, F.concat(F.lit("rare "), F.upper("name"))),
+        "read_number": F.when(k % 3 == 0, F.col("local_id")).when(k % 3 == 1, "").otherwise(F.concat(F.substring("local_id", 1, 3), F.lit("/999"))),
+        "number_confidence": 0.7 + (k % 4) / 10.0, "read_attack": F.lit(""), "read_language": F.when(k % 5 == 0, "").otherwise(F.concat("language", F.lit("-XX")))})
+
+
 def _reranked(spark, d, top=8):
     seen = kept(_visual(spark, d), "matches")
     matches = seen.drop("rank").join(fx.cards(spark, d).select(F.col("id").alias("card_id"), "name", "local_id", "language"), "card_id")
-    best = seen.where("rank = 1").join(fx.cards(spark, d).withColumnRenamed("id", "card_id"), "card_id")
-    k = F.col("query_id")
-    evidence = best.select(
-        "query_id", F.when(k % 4 == 0, "").when(k % 4 == 1, F.col("name")).when(k % 4 == 2, F.concat(F.lit("rare "), F.upper("name"))).alias("read_name"),
-        F.when(k % 3 == 0, F.col("local_id")).when(k % 3 == 1, "").otherwise(F.concat(F.substring("local_id", 1, 3), F.lit("/999"))).alias("read_number"),
-        (0.7 + (k % 4) / 10.0).alias("number_confidence"), F.lit("").alias("read_attack"), F.when(k % 5 == 0, "").otherwise(F.concat("language", F.lit("-XX"))).alias("read_language"))
+    evidence = _best_read(spark, d, seen).select("query_id", "read_name", "read_number", "number_confidence", "read_attack", "read_language")
     return rerank.rerank(matches, evidence, top)
 
 
