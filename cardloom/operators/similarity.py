@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries and references in one block; a task holds one of each.
 BLOCK, REFS = 4_096, 16_384
+#: Queries in one block where a block gives a row for each of its queries and cards.
+FEW = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,14 +30,14 @@ def rescaled(score: Column) -> Column:
     return F.least(F.greatest((score + 1) / 2, F.lit(0.0)), F.lit(1.0))
 
 
-def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], ddl: str, by: list[str] | None = None) -> DataFrame:
-    """``kernel`` over each pair of a block of ``queries`` (by query_id) and a block of ``refs`` (by ``by``, or all their columns).
+def tiled(queries: DataFrame, refs: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], ddl: str, by: list[str] | None = None, size: int = BLOCK) -> DataFrame:
+    """``kernel`` over each pair of a block of ``queries`` (by query_id, of about ``size``) and a block of ``refs`` (by ``by``, or all their columns).
 
     The queries are a stated set. Blocks are bounded, and each side is sent once per block of the other."""
     def blocks(df: DataFrame, size: int) -> int:
         return max(1, -(-df.count() // size))
 
-    n, m = blocks(queries, BLOCK), blocks(refs, REFS)
+    n, m = blocks(queries, size), blocks(refs, REFS)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     own = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # columns of both sides may come from one table
     left = own.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"), "_r": every(m)})
@@ -93,6 +95,30 @@ def _tiles(q: pd.DataFrame):
     return (q.iloc[i : i + TILE] for i in range(0, len(q), TILE))
 
 
+def _every(q: pd.DataFrame, cards: np.ndarray, order: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    """Every query and card that met (finite in ``order``), with values of ``columns``."""
+    at, card = np.nonzero(np.isfinite(order))
+    return pd.DataFrame({"query_id": q.query_id.to_numpy()[at], "card_id": cards[card]} | {n: x[at, card] for n, x in columns.items()})
+
+
+def max_similarity(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Per query and card the highest cosine (rounded to 6 places) over the card's vectors but the query's own, as ``score``.
+
+    ``queries``: query_id, vector; ``refs``: vec_id, card_id, vector (unit length). The result has a row for each pair, as asked;
+    a card's rows, few by their nature, are in one block, so these rows are not shuffled."""
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("card_id")
+        cards, starts = np.unique(r.card_id.to_numpy(), return_index=True)
+        found = []
+        for part in _tiles(q):
+            scores = np.maximum.reduceat(_cosines(part, r), starts, axis=1)
+            found.append(_every(part, cards, scores, score=scores))
+        return pd.concat(found)
+
+    left = queries.select("query_id", normalized(F.col("vector")).alias("v"))
+    return tiled(left, refs.select("vec_id", "card_id", "vector"), best, "query_id bigint, card_id bigint, score double", by=["card_id"], size=FEW)
+
+
 def vector_topk(queries: DataFrame, refs: DataFrame, k: int = 20) -> DataFrame:
     """Per query the ``k`` cards of highest cosine over their vectors but the query's own (rounded to 6 places; ties to the smaller card).
 
