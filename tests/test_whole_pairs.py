@@ -29,3 +29,19 @@ def test_max_similarity_over_blocks(spark, monkeypatch):
     got = {(x.query_id, x.card_id): x.score for x in similarity.max_similarity(q, r.where("vec_id <> 5").unionByName(alone)).collect()}
     assert len(got) == 20 * 151 - 2 and (5, 999) not in got and (4, 2) not in got
     assert got[5, 2] == -1 and got[3, 1] == -1 and got[2, 1] == 0.6 and got[0, 999] == 0
+
+
+def test_best_coarse_has_each_pair(spark):
+    got, want = registry.queries()["a2_best_coarse"](spark, SMALL), pairs(spark)
+    assert got.count() == want.count() and got.select("query_id", "card_id").exceptAll(want).count() == 0
+    assert got.groupBy("query_id").count().where("count > 80").count() > 0
+
+
+def test_best_coarse_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", 2)
+    monkeypatch.setattr(similarity, "REFS", 32)
+    prints = spark.createDataFrame([(i, i // 3, i % 3, [1.0, 2.0, 4.0]) for i in range(300)], "vec_id long, card_id long, hash long, histogram array<double>")
+    q = prints.where("vec_id < 6").selectExpr("vec_id AS query_id", "0L AS hash", "histogram")
+    got = {(x.query_id, x.card_id): (x.score, x.vec_id) for x in similarity.best_coarse(q, prints).collect()}
+    # hashes 1 and 2 differ from 0 in one bit, so the smaller vector id counts where the card's print of hash 0 is the query's own
+    assert len(got) == 6 * 100 and got[1, 7] == (1, 21) and got[0, 0] == (round(0.72 * 63 / 64 + 0.28, 6), 1) and got[3, 0] == (1, 0)
