@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, parts, shared_dir, small_batches
-from .pieces import PieceEncoder
+from .pieces import ColumnEncoder
 
 #: Ids in the rolling hash, and bits of it that must be zero where a chunk ends.
 WINDOW, MASK = 16, (1 << 10) - 1
@@ -97,10 +97,10 @@ class CrcJoin:
         return a ^ b
 
 
-_ENCODERS: dict[int, tuple[PieceEncoder, int]] = {}
+_ENCODERS: dict[int, tuple[ColumnEncoder, int]] = {}
 
 
-def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
+def _encoder(spec: bytes) -> tuple[ColumnEncoder, int]:
     """An encoder from a tokenizers file's bytes, kept by the worker, and the vocabulary's size."""
     key = zlib.crc32(spec)
     if key not in _ENCODERS:
@@ -113,7 +113,7 @@ def _encoder(spec: bytes) -> tuple[PieceEncoder, int]:
         def ids_of(text: str) -> np.ndarray:
             return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-        _ENCODERS[key] = PieceEncoder(ids_of, 50, REMEMBERED, special), t.get_vocab_size()
+        _ENCODERS[key] = ColumnEncoder(ids_of, 50, REMEMBERED, special), t.get_vocab_size()
     return _ENCODERS[key]
 
 
@@ -155,15 +155,14 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, size = _encoder(spec.value)
         width = 2 if size <= 1 << 16 and end_id < 1 << 16 else 4
-        end, sent, row = np.array([end_id], "<u4").tobytes(), set(), 0
+        sent, row = set(), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             for part in parts(batch, batch.column(1), 4 << 20):
-                raw = encoder.encode([x or "" for x in part.column(1).to_pylist()])
-                ids = np.frombuffer(b"".join([x for r in raw for x in (r, end)]), "<u4")
+                ids, counts = encoder.encode(part.column(1))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), (counts + 1).tolist()
                 marks, small = chunk_marks(ids), ids.astype(f"<u{width}").tobytes()
                 chunks, digests, lengths, ends, at = {}, [], [], [0], 0
-                counts = [len(r) // 4 + 1 for r in raw]
                 for n in counts:
                     for to in chunk_ends(marks, at, at + n):
                         data = small[at * width : to * width]
@@ -177,7 +176,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> Non
                             chunks[key] = data
                         at = to
                     ends.append(len(digests))
-                a, b = len(chunks), len(raw)
+                a, b = len(chunks), len(counts)
                 keys = [*chunks, *(struct.pack(">IQ", task, row + i) for i in range(b))]
                 row += b
                 uses = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(lengths, pa.int32())], ["digest", "n"])
