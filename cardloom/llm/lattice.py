@@ -206,7 +206,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
 
     Texts are dealt by hash into groups of about ``GROUP_BYTES`` and sent twice: once to list a group's
     different words with their counts, once to meet their scores. Counts are summed and words scored
-    once each, by word; a common word has one row a group. The driver gets sums over the corpus and
+    once each, by word, beside the list of the groups that hold it; a word's scores go to each of these. The driver gets sums over the corpus and
     the uses of the vocabulary's pieces, bound by its size.
     """
     spark = docs.sparkSession
@@ -239,8 +239,8 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(words), pa.int32()), pa.array(words, pa.binary()), *columns], ["g", "word", *names])
 
     ddl = ", ".join(f"{c} bigint" for c in names)
-    lists = written(dealt.groupBy("g").applyInArrow(listed, f"g int, word binary, {ddl}"), "group-words")
-    counts = written(lists.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "word-counts")
+    lists = dealt.groupBy("g").applyInArrow(listed, f"g int, word binary, {ddl}")
+    counts = written(lists.groupBy("word").agg(*(F.sum(c).alias(c) for c in names), F.collect_list("g").alias("groups")), "word-counts")
     c = [F.col(x) for x in names]
     every = reduce(lambda a, b: a + b, c)
     sums = counts.agg(
@@ -273,6 +273,8 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
     by_piece = dict(zip(own.pieces, own.logs, strict=True))
     shared = spark.sparkContext.broadcast(pickle.dumps((model, np.array([by_piece[p] for p in model.pieces]), own.end)))
 
+    fields = ["word", *names, "lattice", "own", "groups"]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, own_logs, own_end = pickle.loads(shared.value)
         for batch in batches:
@@ -282,10 +284,10 @@ def score_texts(docs: DataFrame, path: str, rounds: int = 2, prior: float = 0.1)
                 arcs = lattice.arcs(rows)
                 logs[at] = lattice.forward(rows, arcs)[-1] + lattice.end
                 own[at] = lattice.forward(rows, arcs, own_logs)[-1] + own_end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs), pa.array(own)], ["word", *names, "lattice", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logs), pa.array(own), batch.columns[-1]], fields)
 
-    scores = written(counts.select("word", *names).mapInArrow(scored, f"word binary, {ddl}, lattice double, own double"), "word-scores")
-    by_group = lists.select("g", "word").join(scores, "word")
+    scores = written(counts.select("word", *names, "groups").mapInArrow(scored, f"word binary, {ddl}, lattice double, own double, groups array<int>"), "word-scores")
+    by_group = scores.select(F.explode("groups").alias("g"), *fields[:-1])
 
     def summed(left, right):
         index = dict(zip(right.column("word").to_pylist(), range(right.num_rows), strict=True))
