@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, parts, small_batches, written
+from .pieces import ranges
 from .token_store import _encoder
 
 
@@ -108,23 +109,18 @@ def cut_texts(docs: DataFrame, path: str, end_id: int, size: int = 1024) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _encoder(spec.value)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in parts(batch, batch.column(1), 4 << 20):
-                of, piece, start, length, ids = [], [], [], [], []
-                for row, raw in enumerate(encoder.encode([x or "" for x in part.column(1).to_pylist()])):
-                    raw += end
-                    n = len(raw) // 4
-                    at, to, i = 0, n % size or size, 0
-                    while at < n:
-                        of.append(row)
-                        piece.append(i)
-                        start.append(at)
-                        length.append(to - at)
-                        ids.append(raw[4 * at : 4 * to])
-                        at, to, i = to, to + size, i + 1
+                ids, counts = encoder.encode(part.column(1))
+                data, n = np.insert(ids, np.cumsum(counts), end_id).tobytes(), counts + 1
+                each = -(-n // size)
+                of, piece = np.repeat(np.arange(len(n)), each), ranges(np.zeros_like(each), each)
+                first = n - (each - 1) * size
+                start = np.where(piece > 0, first[of] + (piece - 1) * size, 0)
+                length = np.where(piece > 0, size, first[of])
+                ends = (4 * np.cumsum(length)).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([data[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"])
         give_back()
 

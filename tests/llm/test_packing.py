@@ -134,6 +134,19 @@ def test_odd_texts_and_sequences(spark):
     assert packing.pack_texts(df.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 1024])
+def test_cut_ids_are_those_of_whole_texts(spark, size):
+    texts = [None, "", "a", "x " * 1022, "x " * 1023, " wort,\n\n wort, <|endoftext|>", None, "wort wort, " * 900]
+    t = Tokenizer.from_file(PATH)
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        ends = [*range(len(ids), 0, -size)][::-1]
+        want += [(i, k, a, b - a, ids[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
+    got = packing.cut_texts(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1), PATH, 2, size).collect()
+    assert [(r.doc_id, r.piece, r.start, r.length, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == want
+
+
 def test_pieces_without_length(spark):
     df = spark.createDataFrame([(1, 5, "x", 1), (2, None, "x", 1), (3, 0, "x", 1), (4, 1024, "x", 1), (5, 5, "x", 1)], "doc_id long, length int, offset string, _rank int")
     got = {r.doc_id: (r.sequence_id is None, r.offset) for r in packing.pack(df).collect()}
