@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import parse_condition, parse_price
+from ..functions.values import CODES, parse_condition, parse_price
 
 #: What is priced, and the names of its cell, the first that has a price counts.
 PRICE_CELLS = {
@@ -100,27 +101,92 @@ class _Page(HTMLParser):
         self.open.parts.append(data)
 
 
+#: Plain markup: a tag whose attributes are quoted and hold no markup, or text without references. Elements whose content is no markup.
+_NAME = r"[A-Za-z][A-Za-z0-9]*"
+_ATTR = r"""[ \n]+([A-Za-z][A-Za-z0-9-]*)=(?:"([^"<>&]*)"|'([^'<>&]*)')"""
+_PLAIN = re.compile(rf"""<({_NAME})((?:{_ATTR.replace('(["', '(?:["')})*)>|</({_NAME})>|([^<&]+)""")
+_ATTRS = re.compile(_ATTR)
+_RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+
+
+def _plain(html: str) -> "_Element | None":
+    """The elements of a page of plain markup, as ``_Page`` reads them; none where anything else is in it."""
+    root = now = _Element("", {}, None)
+    at, empty = 0, _Page.EMPTY
+    for m in _PLAIN.finditer(html):
+        if m.start() != at:
+            return None
+        at = m.end()
+        tag, attrs, _, _, _, closed, text = m.groups()
+        if text is not None:
+            now.parts.append(text)
+        elif tag is not None:
+            tag = tag.lower()
+            if tag in _RAW:
+                return None
+            e = _Element(tag, {k.lower(): v or w for k, v, w in reversed(_ATTRS.findall(attrs))} if attrs else {}, now)
+            now.parts.append(e)
+            if tag not in empty:
+                now = e
+        else:
+            closed, e = closed.lower(), now
+            while e.inside is not None and e.tag != closed:
+                e = e.inside
+            if e.inside is not None:
+                now = e.inside
+    return root if at == len(html) else None
+
+
+def _read(html: str) -> _Element:
+    plain = _plain(html)
+    return _Page(html).root if plain is None else plain
+
+
 def _is_row(e: _Element) -> bool:
-    own, classes = e.attrs.get("id", ""), e.classes()
+    if not e.attrs:
+        return False
+    own, classes = e.attrs.get("id", ""), e.classes() if e.tag == "div" else ()
     return "data-article-id" in e.attrs or (e.tag == "div" and ("article-row" in classes or own.startswith("articleRow") or {"row", "no-gutters"} <= classes and own.startswith("article"))) or (
         e.tag == "tr" and own.startswith("article"))
 
 
+#: Texts that certainly name a price, also where an amount in euros is asked for, or a condition, whatever follows them: nothing behind them counts.
+_AMOUNT = r"(?=[^1-9]*[1-9])[ \n]*(?:[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]{2}|[0-9]{1,15}[.,][0-9]{2})[ \n]*"
+_SURE_PRICE, _SURE_EUROS = re.compile(rf"{_AMOUNT}€?[ \n]*"), re.compile(rf"{_AMOUNT}€[ \n]*")
+_NO_WORD = r"[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]"
+_SURE_CONDITION = re.compile(rf"(?:^|{_NO_WORD})(?:{'|'.join(CODES)})(?:\Z|{_NO_WORD})")
+
+
 def _row(e: _Element) -> tuple[str, list[str], list[str], str]:
-    """What a row says: its id, texts that may hold its price and its condition, in order, and the seller."""
+    """What a row says: its id, texts that may hold its price and its condition, in order, up to one that certainly does, and the seller.
+
+    A row that is left unclosed holds all that follow; it is read on only as far as something is not known yet."""
     ids = lambda x: x.attrs.get("data-article-id") or x.attrs.get("data-id-article")
     named = e.attrs.get("id", "").removeprefix("articleRow").removeprefix("article-")
     article = ids(e) or named or next(filter(None, map(ids, e.below())), "")
-    prices, conditions, seller = [], [], "unknown"
+    prices, conditions, seller, sure = [], [], "unknown", False
     for x in e.below():
-        classes = x.classes()
+        if not x.attrs:
+            continue
+        classes = x.classes() if "class" in x.attrs else ()
         if not prices and ("price-container" in classes or (x.tag == "span" and "price" in classes) or "data-price" in x.attrs):
             prices.append(x.attrs.get("data-price") or x.text())
-        if {"title", "data-original-title", "aria-label"} & x.attrs.keys() or "condition" in classes:
+        if not sure and ("title" in x.attrs or "data-original-title" in x.attrs or "aria-label" in x.attrs or "condition" in classes):
             conditions.append(" ".join(filter(None, [*(x.attrs.get(k, "") for k in ("title", "data-original-title", "aria-label")), x.text()])))
+            sure = _SURE_CONDITION.search(conditions[-1]) is not None
         if seller == "unknown" and (x.tag == "span" and "seller-name" in classes or x.tag == "a" and "/Users/" in x.attrs.get("href", "")):
             seller = x.text()
-    return article, [*prices, *(s for s in e.strings() if "€" in s)], [*conditions, e.text()], seller
+        if prices and sure and seller != "unknown":
+            break
+    if not (prices and _SURE_PRICE.fullmatch(prices[0])):
+        for s in e.strings():
+            if "€" in s:
+                prices.append(s)
+                if _SURE_EUROS.fullmatch(s):
+                    break
+    if not sure:
+        conditions.append(e.text())
+    return article, prices, conditions, seller
 
 
 def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -133,7 +199,7 @@ def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
         for frame in frames:
             out = []
             for k, page in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                out += [(k, i, *_row(e)) for i, e in enumerate(x for x in _Page(page).root.below() if _is_row(x))]
+                out += [(k, i, *_row(e)) for i, e in enumerate(x for x in _read(page).below() if _is_row(x))]
             yield pd.DataFrame(out, columns=["k", "i", "article_id", "prices", "conditions", "seller"])
 
     kind = pages.schema[key].dataType.simpleString()
