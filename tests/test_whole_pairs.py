@@ -45,3 +45,13 @@ def test_best_coarse_over_blocks(spark, monkeypatch):
     got = {(x.query_id, x.card_id): (x.score, x.vec_id) for x in similarity.best_coarse(q, prints).collect()}
     # hashes 1 and 2 differ from 0 in one bit, so the smaller vector id counts where the card's print of hash 0 is the query's own
     assert len(got) == 6 * 100 and got[1, 7] == (1, 21) and got[0, 0] == (round(0.72 * 63 / 64 + 0.28, 6), 1) and got[3, 0] == (1, 0)
+
+
+def test_blocks_send_few_copies(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", similarity.FEW // 64)
+    monkeypatch.setattr(similarity, "REFS", similarity.REFS // 64)
+    tiled = similarity.tiled
+    monkeypatch.setattr(similarity, "tiled", lambda q, r, f, ddl, **kw: tiled(q, r, lambda a, b: a.iloc[:1].assign(n=len(a) + len(b))[["query_id", "n"]], "query_id bigint, n bigint", **kw))
+    prints = spark.range(1024).selectExpr("id AS vec_id", "id AS card_id", "id AS hash", "array(1D) AS histogram")
+    got = similarity.best_coarse(prints.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id"), prints)
+    assert got.agg({"n": "sum"}).first()[0] < 40_000  # rows that are sent; blocks of few queries and many references sent 66,560
