@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,28 +104,32 @@ class _Page(HTMLParser):
 
 #: Plain markup: a tag whose attributes are quoted and hold no markup, or text without references. Elements whose content is no markup.
 _NAME = r"[A-Za-z][A-Za-z0-9]*"
-_ATTR = r"""[ \n]+([A-Za-z][A-Za-z0-9-]*)=(?:"([^"<>&]*)"|'([^'<>&]*)')"""
-_PLAIN = re.compile(rf"""<({_NAME})((?:{_ATTR.replace('(["', '(?:["')})*)>|</({_NAME})>|([^<&]+)""")
-_ATTRS = re.compile(_ATTR)
+_VALUE = r"""(?:"[^"<>&]*"|'[^'<>&]*')"""
+_PLAIN = re.compile(rf"<({_NAME})((?:[ \n]+[A-Za-z][A-Za-z0-9-]*={_VALUE})*)>|</({_NAME})>|([^<&]+)")
+_ATTRS = re.compile(rf"([A-Za-z][A-Za-z0-9-]*)=({_VALUE})")
 _RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
 
 
+@lru_cache(4096)
+def _attrs(text: str) -> dict[str, str]:
+    """Attributes of a tag, the first of a name; shared, so not to be changed."""
+    return {k.lower(): v[1:-1] for k, v in reversed(_ATTRS.findall(text))}
+
+
 def _plain(html: str) -> "_Element | None":
     """The elements of a page of plain markup, as ``_Page`` reads them; none where anything else is in it."""
+    if _PLAIN.sub("", html):
+        return None
     root = now = _Element("", {}, None)
-    at, empty = 0, _Page.EMPTY
-    for m in _PLAIN.finditer(html):
-        if m.start() != at:
-            return None
-        at = m.end()
-        tag, attrs, _, _, _, closed, text = m.groups()
-        if text is not None:
+    empty = _Page.EMPTY
+    for tag, attrs, closed, text in _PLAIN.findall(html):
+        if text:
             now.parts.append(text)
-        elif tag is not None:
+        elif tag:
             tag = tag.lower()
             if tag in _RAW:
                 return None
-            e = _Element(tag, {k.lower(): v or w for k, v, w in reversed(_ATTRS.findall(attrs))} if attrs else {}, now)
+            e = _Element(tag, _attrs(attrs) if attrs else {}, now)
             now.parts.append(e)
             if tag not in empty:
                 now = e
@@ -134,7 +139,7 @@ def _plain(html: str) -> "_Element | None":
                 e = e.inside
             if e.inside is not None:
                 now = e.inside
-    return root if at == len(html) else None
+    return root
 
 
 def _read(html: str) -> _Element:
@@ -152,7 +157,7 @@ def _is_row(e: _Element) -> bool:
 
 #: Texts that certainly name a price, also where an amount in euros is asked for, or a condition, whatever follows them: nothing behind them counts.
 _AMOUNT = r"(?=[^1-9]*[1-9])[ \n]*(?:[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]{2}|[0-9]{1,15}[.,][0-9]{2})[ \n]*"
-_SURE_PRICE, _SURE_EUROS = re.compile(rf"{_AMOUNT}€?[ \n]*"), re.compile(rf"{_AMOUNT}€[ \n]*")
+_SURE_PRICE, _SURE_EUROS = re.compile(rf"{_AMOUNT}€?[ \n]*|(?=[^1-9]*[1-9])[0-9]{{1,15}}(?:[.,][0-9]{{1,9}})?"), re.compile(rf"{_AMOUNT}€[ \n]*")
 _NO_WORD = r"[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]"
 _SURE_CONDITION = re.compile(rf"(?:^|{_NO_WORD})(?:{'|'.join(CODES)})(?:\Z|{_NO_WORD})")
 
@@ -195,20 +200,30 @@ def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     A row's price is that of its price element, or of the first text with an amount in euros; its condition the first that a label
     names, or its whole text, or EX. Rows without an id or a price are left out, and of rows of one id the first stays. Rows may hold
     rows and be left unclosed; null and empty pages have none."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, page in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                out += [(k, i, *_row(e)) for i, e in enumerate(x for x in _read(page).below() if _is_row(x))]
-            yield pd.DataFrame(out, columns=["k", "i", "article_id", "prices", "conditions", "seller"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    read = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(
-        run, f"k {kind}, i int, article_id string, prices array<string>, conditions array<string>, seller string")
+    kind, texts = pages.schema[key].dataType.simpleString(), pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for n, page in enumerate(batch.column(1).to_pylist()):
+                found = [(i, *_row(e)) for i, e in enumerate(x for x in _read(page).below() if _is_row(x))]
+                at += [n] * len(found)
+                out += found
+            i, article, prices, conditions, seller = zip(*out, strict=True) if out else ((),) * 5
+            # of one text each, as of most rows, no list is made
+            one = lambda lists: pa.array([x[0] if len(x) == 1 else None for x in lists], pa.string())
+            more = lambda lists: pa.array([None if len(x) == 1 else x for x in lists], texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int32())), pa.array(i, pa.int32()), pa.array(article, pa.string()), one(prices), more(prices), one(conditions), more(conditions), pa.array(seller, pa.string())],
+                names=["k", "i", "article_id", "price", "prices", "condition", "conditions", "seller"])
+
+    read = pages.where(F.col(html).isNotNull()).select(F.col(key).alias("k"), F.col(html).alias("h")).mapInArrow(
+        run, f"k {kind}, i int, article_id string, price string, prices array<string>, condition string, conditions array<string>, seller string")
     amounts = F.transform("prices", lambda t, j: F.when((j == 0) | t.rlike(r"[0-9]+[.,][0-9]{2}\s*€"), parse_price(t)))
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
-    rows = read.where("article_id <> ''").select(
-        F.col("k").alias(key), "i", "article_id", first(amounts).alias("price"), F.coalesce(first(F.transform("conditions", parse_condition)), F.lit("EX")).alias("condition"), "seller").where("price is not null")
+    price = F.when(F.col("price").isNotNull(), parse_price(F.col("price"))).otherwise(first(amounts))
+    condition = F.when(F.col("condition").isNotNull(), parse_condition(F.col("condition"))).otherwise(first(F.transform("conditions", parse_condition)))
+    rows = read.where("article_id <> ''").select(F.col("k").alias(key), "i", "article_id", price.alias("price"), F.coalesce(condition, F.lit("EX")).alias("condition"), "seller").where("price is not null")
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "article_id").orderBy("i"))).where("_n = 1")
     place = F.row_number().over(Window.partitionBy(key).orderBy("i"))
     return once.select(key, place.alias("place"), "article_id", "price", "condition", "seller")
